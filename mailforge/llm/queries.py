@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailforge.llm import formatting, mixing, packing, splitting, survivors, tokens
+from mailforge.llm import formatting, mixing, neardup, packing, splitting, survivors, tokens
 from mailforge.session import table
 
 
@@ -19,6 +19,14 @@ def p2_survivors(spark, d):
     return survivors.survivors_wide(table(spark, d, "duplicate_samples"), table(spark, d, "source_registry"))
 
 
+def p3_found(spark, d):
+    return neardup.near_pairs(table(spark, d, "combine"), threshold=0.5, shingle_words=3, min_words=20)
+
+
+def p3_classes(spark, d):
+    return neardup.near_duplicates(table(spark, d, "combine"), threshold=0.5, shingle_words=3, min_words=20)
+
+
 def p4_found(spark, d):
     return mixing.mix_passes(table(spark, d, "combine"), table(spark, d, "source_registry"), table(spark, d, "mix_plan"))
 
@@ -61,7 +69,7 @@ def p10_texts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p2_found, p2_survivors, p4_found, p4_drawn, p4_shares, p6_found, p6_copies, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
+    names = [p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p6_found, p6_copies, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
     return {f.__name__: f for f in names}
 
 
