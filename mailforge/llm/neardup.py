@@ -5,7 +5,7 @@
    GRAM + WINDOW - 1 words share an anchor. Their counts over all texts go into a hashed table of fixed size.
 3. A text keeps its rarest anchors only: if two texts share at least PHI of their anchors, these prefixes meet (any order common to
    all texts will do, so hash collisions in the counts cost time, never links). Anchors counted once cannot meet and are dropped.
-4. Tiles: rows meeting in an anchor are compared when their sizes lie in the same band, first by 256-bit parity bitmaps: the bits in
+4. Tiles: rows meeting in an anchor are compared when their sizes lie in the same band, first by parity bitmaps of 256 to 4,096 bits: the bits in
    which two bitmaps differ are at most the shingles the texts do not share, which bounds the overlap from above. What passes is
    linked; linked rows of a task are reduced to stars.
 5. Components of these links are tiles again: their shingle sets come together once per distinct text, are compared by size band,
@@ -30,7 +30,8 @@ from mailforge.llm.words import distinct_by_text, fingerprints, grams, inside_te
 from mailforge.session import cut
 
 GRAM, WINDOW, PHI = 6, 6, 0.15
-WORDS_OF_BITMAP = 4
+#: Bitmap widths in 64-bit words, and the distinct shingles from which the next one is used.
+WIDTHS, STEPS = (4, 16, 64), (120, 500)
 TOP = np.uint64((1 << 64) - 1)
 
 
@@ -83,13 +84,59 @@ class Texts:
         return distinct_by_text(t, v)
 
 
-def bitmaps(text: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
-    """Parity bitmaps: each shingle flips one of 256 bits."""
-    bit = (shingle >> np.uint64(24)) & np.uint64(64 * WORDS_OF_BITMAP - 1)
-    flips = np.bincount(text * (64 * WORDS_OF_BITMAP) + bit.astype(np.int64), minlength=n * 64 * WORDS_OF_BITMAP) & 1
+def bitmaps(text: np.ndarray, shingle: np.ndarray, n: int, words: int) -> np.ndarray:
+    """Parity bitmaps of n texts: each shingle flips one of 64 * words bits (a power of two, so that wide ones fold to narrow ones)."""
+    bit = (shingle >> np.uint64(24)) & np.uint64(64 * words - 1)
+    flips = np.bincount(text * (64 * words) + bit.astype(np.int64), minlength=n * 64 * words) & 1
     return np.packbits(flips.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
 
 
+def packed_bitmaps(text: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each text's bitmap in the width its size asks for."""
+    out: list[bytes] = [b""] * len(n)
+    kind = np.searchsorted(STEPS, n)
+    for c, words in enumerate(WIDTHS):
+        for block in np.array_split(own := np.flatnonzero(kind == c), len(own) * words // 20_000 + 1):
+            if len(block):
+                place = np.full(len(n), -1)
+                place[block] = np.arange(len(block))
+                sel = place[text] >= 0
+                for i, row in zip(block.tolist(), bitmaps(place[text[sel]], shingle[sel], len(block), words)):
+                    out[i] = row.tobytes()
+    return out
+
+
+class Maps:
+    """Bitmaps of the rows of a block; two rows are compared in the narrower one's width and below."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.n = n
+        size = np.array([len(r) // 8 for r in raw])
+        self.levels = []
+        for words in WIDTHS:
+            index = np.full(len(raw), -1)
+            rows = np.flatnonzero(size >= words)
+            index[rows] = np.arange(len(rows))
+            values = np.zeros((len(rows), words), np.uint64)
+            for wide in WIDTHS:
+                own = rows[size[rows] == wide]
+                if len(own):
+                    bits = np.frombuffer(b"".join([raw[i] for i in own.tolist()]), np.uint64).reshape(len(own), wide // words, words)
+                    values[index[own]] = np.bitwise_xor.reduce(bits, axis=1)
+            self.levels.append((index, values))
+
+    def near(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+        """Of the pairs (i, j), those that sizes and bitmaps allow to have similarity t."""
+        n1, n2 = self.n[i], self.n[j]
+        ok = np.minimum(n1, n2) >= t * np.maximum(n1, n2) - 1e-9
+        most = (n1 + n2) * ((1 - t) / (1 + t)) + 1e-9
+        for index, values in self.levels:
+            at = np.flatnonzero(ok & (index[i] >= 0) & (index[j] >= 0))
+            for part in np.array_split(at, len(at) // 100_000 + 1):
+                ok[part] = np.bitwise_count(values[index[i[part]]] ^ values[index[j[part]]]).sum(-1) <= most[part]
+        return ok
+
+
 def source(messages: DataFrame) -> DataFrame:
     return messages.select("message_id", "subject", "body").where("message_id is not null")
 
@@ -156,20 +203,11 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def may_reach(n1, n2, bm1, bm2, t: float) -> np.ndarray:
-    """Whether sizes and bitmaps allow a similarity of t."""
-    apart = np.bitwise_count(bm1 ^ bm2).sum(-1)
-    return (np.minimum(n1, n2) >= t * np.maximum(n1, n2) - 1e-9) & (apart <= (n1 + n2) * ((1 - t) / (1 + t)) + 1e-9)
-
-
 SMALL_RUN = 64
 
 
-def links_of_runs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, bm: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal key (sorted by key, then fp)."""
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-    key, fp, n, bm = key[keep], fp[keep], n[keep], bm[keep]
+def links_of_runs(key: np.ndarray, fp: np.ndarray, maps: Maps, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows of equal key (sorted by key)."""
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
     of = np.repeat(size, size)
@@ -180,27 +218,27 @@ def links_of_runs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, bm: np.ndarray
         small = small[key[small] == key[small + d]]
         if not len(small):
             break
-        ok = may_reach(n[small], n[small + d], bm[small], bm[small + d], t)
+        ok = maps.near(small, small + d, t)
         a.append(fp[small[ok]])
         b.append(fp[small[ok] + d])
     for s, m in zip(start[size > SMALL_RUN], size[size > SMALL_RUN]):
-        order = np.argsort(n[s : s + m], kind="stable") + s
-        # each row still without a link to the class at hand is compared; members of one class are not compared with each other
-        root = np.arange(m)
-        sizes, maps = n[order], bm[order]
+        rows = np.argsort(maps.n[s : s + m], kind="stable") + s
+        # rows of one class are not compared with each other; the size band ends each row's comparisons
+        root, n, parts = np.arange(m), maps.n[rows], m
         for i in range(m):
-            end = np.searchsorted(sizes, sizes[i] / t + 1e-9, "right")
-            j = np.arange(i + 1, end)
+            if parts == 1:
+                break
+            j = np.arange(i + 1, np.searchsorted(n, n[i] / t + 1e-9, "right"))
             j = j[root[j] != root[i]]
             if not len(j):
                 continue
-            j = j[may_reach(sizes[i], sizes[j], maps[i], maps[j], t)]
+            j = j[maps.near(np.full(len(j), rows[i]), rows[j], t)]
             if len(j):
-                a.append(np.full(len(j), fp[order[i]]))
-                b.append(fp[order[j]])
-                root[np.isin(root, root[j])] = root[i]
-                if (root == root[0]).all():
-                    break
+                a.append(np.full(len(j), fp[rows[i]]))
+                b.append(fp[rows[j]])
+                joined = np.unique(root[j])
+                root[np.isin(root, joined)] = root[i]
+                parts -= len(joined)
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return stars(np.concatenate(a), np.concatenate(b))
@@ -261,15 +299,20 @@ def links(messages: DataFrame, t: float, k: int, min_words: int) -> DataFrame:
             keep = (rank < prefix[text]) & (lv > 16)
             st, sv = x.shingles(k)
             n = np.bincount(st, minlength=len(x.fp))
-            bm = bitmaps(st, sv, len(x.fp))
+            raw = pa.array(packed_bitmaps(st, sv, n), pa.binary())
             text, anchor = text[keep], anchor[keep]
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS_OF_BITMAP), len(text), [None, pa.py_buffer(np.ascontiguousarray(bm[text]))])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(x.fp[text]), pa.array(n[text].astype(np.int32)), raw.cast(pa.binary())], ["key", "fp", "n", "bm"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(x.fp[text]), pa.array(n[text].astype(np.int32)), raw.take(pa.array(text))], ["key", "fp", "n", "bm"])
 
     def tiles(batches):
         for block in by_runs(batches, "key"):
-            bm = np.frombuffer(b"".join(block.column("bm").to_pylist()), np.uint64).reshape(-1, WORDS_OF_BITMAP)
-            a, b = links_of_runs(block.column("key").to_numpy(), block.column("fp").to_numpy(), block.column("n").to_numpy().astype(np.int64), bm, t)
+            key, fp = block.column("key").to_numpy(), block.column("fp").to_numpy()
+            keep = np.ones(len(key), bool)
+            keep[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+            # rows that meet nobody need no bitmap
+            keep[1:-1] &= (key[1:-1] == key[:-2]) | (key[1:-1] == key[2:])
+            block, key, fp = block.filter(pa.array(keep)), key[keep], fp[keep]
+            maps = Maps(block.column("bm").to_pylist(), block.column("n").to_numpy().astype(np.int64))
+            a, b = links_of_runs(key, fp, maps, t)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     met = m.mapInArrow(rows, "key long, fp long, n int, bm binary").repartition("key").sortWithinPartitions("key", "fp")
@@ -283,7 +326,9 @@ def classes_of_tile(fp: np.ndarray, sets: list[np.ndarray], t: float) -> np.ndar
     order = np.argsort(n, kind="stable")
     n, sets = n[order], [sets[i] for i in order]
     text = np.repeat(np.arange(m), n)
-    bm = bitmaps(text, np.concatenate(sets) << np.uint64(24), m)
+    words = 1 << max(0, math.ceil(math.log2(max(1, int(n[-1]) / 16))))
+    bm = bitmaps(text, np.concatenate(sets) << np.uint64(24), m, words)
+    share = (1 - t) / (1 + t)
     root = np.arange(m)
     parts = m
     for i in range(m):
@@ -295,7 +340,7 @@ def classes_of_tile(fp: np.ndarray, sets: list[np.ndarray], t: float) -> np.ndar
         if not len(j):
             continue
         met = []
-        for c in j[may_reach(n[i], n[j], bm[i], bm[j], t)].tolist():
+        for c in j[np.bitwise_count(bm[i] ^ bm[j]).sum(-1) <= (n[i] + n[j]) * share + 1e-9].tolist():
             both = len(np.intersect1d(sets[i], sets[c], assume_unique=True))
             if both >= t * (n[i] + n[c] - both):
                 met.append(c)
