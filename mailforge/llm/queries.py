@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailforge.llm import formatting, mixing, neardup, packing, splitting, survivors, tokens
+from mailforge.llm import formatting, leakage, mixing, neardup, packing, splitting, survivors, tokens
 from mailforge.session import table
 
 
@@ -47,6 +47,14 @@ def p6_copies(spark, d):
     return formatting.copy_counts(table(spark, d, "combine"))
 
 
+def p7_found(spark, d):
+    return leakage.cross_split_pairs(table(spark, d, "combine"), table(spark, d, "split_rows"), threshold=0.5, shingle_words=3, min_words=20)
+
+
+def p7_report(spark, d):
+    return leakage.overlap_report(table(spark, d, "combine"), table(spark, d, "split_rows"), threshold=0.5, shingle_words=3, min_words=20)
+
+
 def p8_ids(spark, d):
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -69,7 +77,7 @@ def p10_texts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p6_found, p6_copies, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
+    names = [p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
     return {f.__name__: f for f in names}
 
 
