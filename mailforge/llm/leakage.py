@@ -29,7 +29,7 @@ from mailforge.llm.words import distinct_by_text, grams, inside_text, text_of, w
 
 GRAM, STRIDE, SHORT, PHI = 6, 3, 60, 0.15
 #: Characters of evaluation text in one index.
-SHARD_CHARS = 48_000_000
+SHARD_CHARS = 32_000_000
 
 
 class Index:
@@ -40,22 +40,31 @@ class Index:
         n, docs = len(h), len(bounds) - 1
         at = np.arange(n) + np.repeat(np.arange(docs), np.diff(bounds))  # a separator, symbol 0, ends each text
         self.size = n + docs
-        text = np.zeros(self.size + GRAM, np.int64)
+        text = np.zeros(self.size + GRAM, np.int32)
         text[at] = ids + 1
         self.doc = np.zeros(self.size, np.int32)
-        self.doc[at] = np.repeat(np.arange(docs), np.diff(bounds))
+        self.doc[at] = np.repeat(np.arange(docs, dtype=np.int32), np.diff(bounds))
+        del at, ids
 
         def pair(a, b):
-            return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1] if len(a) else a
+            key = a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            rank = np.empty(len(key), np.int32)
+            rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]), dtype=np.int32)
+            return rank
 
         two = pair(text[:-1], text[1:])
-        four = pair(two[:-2], two[2:])
-        self.suffix = np.argsort(four[: self.size] * (int(two.max()) + 1) + two[4 : self.size + 4], kind="stable").astype(np.int32)
+        key = pair(two[:-2], two[2:])[: self.size].astype(np.int64) * (int(two.max()) + 1)
+        key += two[4 : self.size + 4]
+        self.suffix = np.argsort(key, kind="stable").astype(np.int32)
+        del two, key
         before = text[self.suffix - 1]
         before[self.suffix == 0] = 0
+        del text
         order = np.argsort(before, kind="stable")
         self.span = self.size + 1
-        self.steps = before[order] * self.span + order
+        self.steps = before[order].astype(np.int64) * self.span + order
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """Symbol of each word; -1 for words that are not in the index."""

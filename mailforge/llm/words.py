@@ -43,8 +43,28 @@ def powers() -> np.ndarray:
         return np.cumprod(np.full(1 << 12, M1 | np.uint64(1), np.uint64))
 
 
+#: Characters whose arrays are held at once.
+BLOCK = 1 << 20
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word in order, bounds): the words of text i are [bounds[i]:bounds[i + 1]]."""
+    blocks, block, held = [], [], 0
+    for t in texts:
+        block.append(t)
+        held += len(t)
+        if held >= BLOCK:
+            blocks.append(_word_hashes(block))
+            block, held = [], 0
+    if block or not blocks:
+        blocks.append(_word_hashes(block))
+    if len(blocks) == 1:
+        return blocks[0]
+    sizes = np.concatenate([np.diff(b) for _, b in blocks])
+    return np.concatenate([h for h, _ in blocks]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [t.lower() for t in texts]
     n = len(lowered)
     points = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
