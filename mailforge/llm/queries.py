@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailforge.llm import formatting, leakage, mixing, neardup, packing, splitting, survivors, tokens
+from mailforge.llm import formatting, leakage, mixing, mojibake, neardup, packing, splitting, survivors, tokens
 from mailforge.session import table
 
 
+def p1_found(spark, d):
+    return mojibake.garbled_fields(table(spark, d, "combine"))
+
+
+def p1_restored(spark, d):
+    return mojibake.judge(table(spark, d, "combine"))
+
+
 def p2_found(spark, d):
     return survivors.survivors_long(table(spark, d, "duplicate_samples"), table(spark, d, "source_registry"))
 
@@ -77,7 +85,7 @@ def p10_texts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
+    names = [p1_found, p1_restored, p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
     return {f.__name__: f for f in names}
 
 
