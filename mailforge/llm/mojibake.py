@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from mailforge.session import cut
+
 #: Encodings a text may have been read in, and those it may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp437", "cp850", "cp852", "mac_roman", "cp1251", "koi8-r", "cp866", "iso8859-15", "cp1254", "iso8859-5")
 WRITTEN_IN = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp437", "cp850", "cp852", "mac_roman")
@@ -38,6 +40,7 @@ UNLIKELY = regex.compile(r"[\u0180-\u0191\u0193-\u0217\u0221-\u02c5\u02c8-\u02db
 T3, T2, T1, T0 = 1 << 18, 1 << 16, 1 << 13, 1 << 20
 SIZE = T3 + T2 + T1 + T0
 STEP, BINS = 0.5, 200
+UNSEEN = 30.0
 
 
 @cache
@@ -94,6 +97,7 @@ def utf8_readings(token: str, raise_case: bool = True) -> list[tuple[str, str]]:
     return list(out.items())
 
 
+@lru_cache(1 << 14)
 def candidates(token: str) -> list[tuple[str, str]]:
     """(candidate, chain), the token itself left out."""
     out = {}
@@ -148,6 +152,7 @@ class Model:
         self.c3, self.c2, self.c1, self.c0 = np.split(counts, np.cumsum([T3, T2, T1]))
         self.total = float(self.c1.sum())
         self.known: dict[str, float] = {}
+        self.chars: dict[str, bool] = {}
 
     def _piece(self, abc: str) -> float:
         h = lambda s, size: zlib.crc32(s.encode("utf-8", "replace")) & (size - 1)
@@ -170,10 +175,20 @@ class Model:
             s += p
         return s
 
+    def seen(self, text: str) -> bool:
+        """Whether all signs of a text occur in the clean tokens."""
+        for c in text:
+            known = self.chars.get(c)
+            if known is None:
+                known = self.chars[c] = c.isascii() or self.c1[zlib.crc32(c.lower().encode("utf-8", "replace")) & (T1 - 1)] > 0
+            if not known:
+                return False
+        return True
+
     def gains(self, token: str) -> list[tuple[float, str, str]]:
-        """(gain, candidate, chain) of all candidates, the likeliest first."""
+        """(gain, candidate, chain) of all candidates, the likeliest first; those with signs never seen lose UNSEEN."""
         own = self.score(token)
-        return sorted(((self.score(c) - own, c, chain) for c, chain in candidates(token)), reverse=True)
+        return sorted(((self.score(c) - own if self.seen(c) or "utf-8" in chain else -UNSEEN, c, chain) for c, chain in candidates(token)), reverse=True)
 
     def outdone(self, token: str) -> bool:
         """Whether a candidate occurs as a token more than twice as often."""
@@ -241,21 +256,34 @@ def _add(df: DataFrame, size: int) -> np.ndarray:
 SPARSE = "part long, idx binary, cnt binary"
 
 
+def distinct_tokens(messages: DataFrame) -> DataFrame:
+    """(token, n) of all tokens beyond ASCII, in as many even parts as there are cores."""
+
+    def count(batches):
+        found = tokens_of(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
+
+    per_task = messages.select("subject", "body").mapInArrow(count, "token string, n long")
+    return per_task.groupBy("token").sum("n").toDF("token", "n").repartition(messages.sparkSession.sparkContext.defaultParallelism, "token")
+
+
 def train(messages: DataFrame) -> tuple[np.ndarray, float]:
     """(model table, margin) of a message table."""
-    m = messages.select("subject", "body")
+    spark = messages.sparkSession
+    tokens = cut(distinct_tokens(messages))
+    pairs = lambda batches: ((t, n) for b in batches for t, n in zip(b.column("token").to_pylist(), b.column("n").to_pylist()))
 
     def count(batches):
-        yield _sparse(count_tokens(Counter({t: n for t, n in tokens_of(batches).items() if clean(t)})))
+        yield _sparse(count_tokens(Counter({t: n for t, n in pairs(batches) if clean(t)})))
 
-    first = m.sparkSession.sparkContext.broadcast(_add(m.mapInArrow(count, SPARSE), SIZE))
+    first = spark.sparkContext.broadcast(_add(tokens.mapInArrow(count, SPARSE), SIZE))
 
     def recount(batches):  # without the tokens that occur more often as another chain would have them
         model = Model(first.value)
-        yield _sparse(count_tokens(Counter({t: n for t, n in tokens_of(batches).items() if clean(t) and not model.outdone(t)})))
+        yield _sparse(count_tokens(Counter({t: n for t, n in pairs(batches) if clean(t) and not model.outdone(t)})))
 
-    table = _add(m.mapInArrow(recount, SPARSE), SIZE)
-    shared = m.sparkSession.sparkContext.broadcast(table)  # 11 MB, whatever the corpus
+    table = _add(tokens.mapInArrow(recount, SPARSE), SIZE)
+    shared = spark.sparkContext.broadcast(table)  # 11 MB, whatever the corpus
 
     def bin_of(gain: float) -> int:
         return min(BINS - 1, max(0, int(gain / STEP) + 1)) if gain > 0 else 0
@@ -263,14 +291,14 @@ def train(messages: DataFrame) -> tuple[np.ndarray, float]:
     def validate(batches):
         model = Model(shared.value)
         out = np.zeros(2 * BINS)
-        for t in tokens_of(batches):
+        for t, _ in pairs(batches):
             if clean(t):
                 out[bin_of(model.best(t)[0])] += 1
                 if (g := garble(t)) is not None:
                     out[BINS + bin_of(model.best(g)[0])] += 1
         yield _sparse(out)
 
-    h = _add(m.mapInArrow(validate, SPARSE), 2 * BINS)
+    h = _add(tokens.mapInArrow(validate, SPARSE), 2 * BINS)
     right, wrong = h[:BINS], h[BINS:]
     error = [right[b:].sum() / max(1.0, right.sum()) + wrong[:b].sum() / max(1.0, wrong.sum()) for b in range(1, BINS)]
     even = [b for b, e in enumerate(error) if e <= min(error) + 1e-4]  # the middle of the stretch that errs least
@@ -295,7 +323,9 @@ def judge(messages: DataFrame) -> DataFrame:
         def whole(tokens: Counter) -> tuple[float, str]:
             """The single-byte chain that explains the field's tokens together best, with its gain."""
             total: Counter = Counter()
-            for t, n in tokens.items():
+            if not any(gain > 0.5 and not chain.endswith("utf-8") for t in tokens for gain, _, chain in look(t)[1][:3]):
+                return -math.inf, ""
+            for t in tokens:
                 for gain, _, chain in look(t)[1]:
                     if not chain.endswith("utf-8"):
                         total[chain] += gain
