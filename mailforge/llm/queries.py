@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailforge.llm import formatting, leakage, mixing, mojibake, neardup, packing, splitting, survivors, tokens
+from mailforge.llm import formatting, leakage, mixing, mojibake, neardup, newtext, packing, splitting, survivors, tokens
 from mailforge.session import table
 
 
@@ -47,6 +47,14 @@ def p4_shares(spark, d):
     return mixing.shares(table(spark, d, "combine"), table(spark, d, "source_registry"), table(spark, d, "mix_plan"))
 
 
+def p5_found(spark, d):
+    return newtext.removed_lines(table(spark, d, "combine"))
+
+
+def p5_new_text(spark, d):
+    return newtext.new_text(table(spark, d, "combine"))
+
+
 def p6_found(spark, d):
     return formatting.format_copies(table(spark, d, "combine"))
 
@@ -85,7 +93,7 @@ def p10_texts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_restored, p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
+    names = [p1_found, p1_restored, p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p5_found, p5_new_text, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
     return {f.__name__: f for f in names}
 
 
