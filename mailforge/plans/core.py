@@ -1,9 +1,392 @@
+"""The engine's own queries: curation, splits, overlap, metrics, ranking, series and text, over the message table.
+
+Each plan is a function of a dialect that returns SQL over named tables. Catalyst gets the Spark spelling; the other spelling is the
+independent check. ``run`` binds tables, so a plan works on any tables of the same columns.
+Shared parts: ``clean`` strips subject and body and drops rows empty in both; ``ord`` is the order of rows (source rank, row, id).
+"""
+
 from __future__ import annotations
 
+import os
+
+from mailforge.plans.dialect import BLANKS, Duck, Spark
+
+TABLES = ("combine", "split_rows", "events", "embeddings", "source_registry", "duplicate_report")
+PLANS = {}
+
+
+def plan(f):
+    PLANS[f.__name__] = f
+    return f
+
+
+def strip(d, x):
+    return d.rx(f"coalesce({x}, '')", f"^{BLANKS}+|{BLANKS}+$")
+
+
+def source(d, x="source"):
+    return d.rx(f"lower({strip(d, x)})", r"[\s_\-]+", "_")
+
+
+def high(d, x):
+    """Body key without case, markup, addresses and signs."""
+    # fixed values: what counts as a tag, an address of the web, a mail address, a sign
+    y = f"lower({x})"
+    for pattern in (r"<[^>]+>", r"(https?://\S+|www\.\S+)", r"\b[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}\b", r"[^a-z0-9]+"):
+        y = d.rx(y, pattern)
+    return y
+
+
+def clean(d):
+    key = ", ".join(f"lpad({d.text(x)}, {n}, '0')" for x, n in (("coalesce(source_rank, 999)", 4), ("coalesce(row_in_source, 0)", 15), ("message_id", 19)))
+    return f"""clean as (
+  select * from (select message_id, {strip(d, 'subject')} as subject, {strip(d, 'body')} as body, label, case when {source(d)} = '' then 'unknown' else {source(d)} end as source, concat({key}) as pos from combine) c
+  where subject <> '' or body <> '')"""
+
+
+def scored(d):
+    """Deterministic scores of the labelled rows: a stand-in for a model's predictions."""
+    return f"""{clean(d)}, scored as (
+  select message_id, label, source, (label * 300 + (message_id * 7919) % 701) / 1000.0e0 as score,
+    case when message_id % 37 = 0 then -1 when label * 300 + (message_id * 7919) % 701 >= 500 then 1 else 0 end as prediction
+  from clean where label in (0, 1))"""
+
+
+CONFUSION = "sum(case when label = 1 and p = 1 then 1 else 0 end) as tp, sum(case when label = 0 and p = 1 then 1 else 0 end) as fp, sum(case when label = 1 and p = 0 then 1 else 0 end) as fn, sum(case when label = 0 and p = 0 then 1 else 0 end) as tn"
+
+
+def rates(c="m"):
+    p, r, s = "tp / cast(greatest(tp + fp, 1) as double)", "tp / cast(greatest(tp + fn, 1) as double)", "tn / cast(greatest(tn + fp, 1) as double)"
+    f1 = f"2 * ({p}) * ({r}) / greatest(({p}) + ({r}), 1e-12)"
+    return f"""round((tp + tn) / cast(greatest(tp + fp + fn + tn, 1) as double), 6) as accuracy, round({p}, 6) as prec, round({r}, 6) as recall, round({f1}, 6) as f1, round({s}, 6) as specificity,
+    round((({r}) + ({s})) / 2, 6) as balanced_accuracy, round(fp / cast(greatest(tn + fp, 1) as double), 6) as fpr, round(fn / cast(greatest(tp + fn, 1) as double), 6) as fnr, round((tp + fp) / cast(greatest(tp + fp + fn + tn, 1) as double), 6) as spam_rate"""
+
+
+def dedup(d, key):
+    return f"""with {clean(d)}, keyed as (select *, {key} as k from clean)
+select c.message_id, c.source, c.label from keyed c join (select k, min(pos) as pos from keyed group by k) f on c.k = f.k and c.pos = f.pos"""
+
+
+@plan
+def source_label_matrix(d):
+    return f"""with {clean(d)}, keyed as (select *, {high(d, 'body')} as k from clean), firsts as (select k, min(pos) as pos from keyed group by k)
+select c.source, sum(case when c.label = 0 then 1 else 0 end) as ham, sum(case when c.label = 1 then 1 else 0 end) as spam, count(*) as n
+from keyed c join firsts f on c.k = f.k and c.pos = f.pos group by c.source"""
+
+
+@plan
+def dedup_basic(d):
+    return dedup(d, f"{d.sha('concat(subject, chr(1), body, chr(1), coalesce(' + d.text('label') + ', ' + chr(39) * 2 + '))')}")
+
+
+@plan
+def dedup_medium(d):
+    return dedup(d, d.rx("body", BLANKS + "+"))
+
+
+@plan
+def dedup_high(d):
+    return dedup(d, high(d, "body"))
+
+
+def groups(d):
+    return f"{clean(d)}, keyed as (select *, {d.sha(high(d, 'body'))} as k from clean), grouped as (select k, count(*) as n, min(pos) as pos, count(distinct label) as kinds, {d.set_list(d.text('label'))} as labels, {d.set_list('source')} as sources from keyed group by k having count(*) > 1)"
+
+
+@plan
+def duplicate_groups(d):
+    return f"""with {groups(d)}
+select row_number() over (order by g.pos) as group_id, g.n as duplicate_count, g.labels, g.sources, c.message_id as kept_message_id, c.source as kept_source from grouped g join keyed c on c.k = g.k and c.pos = g.pos"""
+
+
+@plan
+def duplicate_stats(d):
+    return f"with {groups(d)} select count(*) as dup_groups, coalesce(sum(n), 0) as rows_in_groups, coalesce(sum(n - 1), 0) as redundant_rows, max(n) as largest, sum(case when kinds > 1 then 1 else 0 end) as conflicting from grouped"
+
+
+@plan
+def label_conflicts(d):
+    return f"with {groups(d)} select c.message_id, c.label from keyed c join grouped g on c.k = g.k where g.kinds > 1"
+
+
+@plan
+def group_size_histogram(d):
+    return f"""with {groups(d)} select case when n <= 5 then {d.text('n')} when n <= 10 then '6-10' when n <= 20 then '11-20' when n <= 50 then '21-50' when n <= 100 then '51-100' when n <= 500 then '101-500' else '501+' end as size_bin, count(*) as n_groups from grouped group by 1"""
+
+
+@plan
+def class_counts(d):
+    return f"with {clean(d)} select source, label, count(*) as n from clean group by source, label"
+
+
+@plan
+def dataset_summary(d):
+    return f"with {clean(d)} select source, count(*) as n, round(sum(length(subject)) / cast(greatest(count(*), 1) as double), 6) as avg_subject, round(sum(length(body)) / cast(greatest(count(*), 1) as double), 6) as avg_body from clean group by source"
+
+
+def ranked(d, seed, by):
+    return f"{clean(d)}, ranked as (select message_id, source, label, row_number() over (partition by {by} order by {d.hash_order(seed, 'message_id')}, message_id) as r, count(*) over (partition by {by}) as n, count(*) over () as total from clean where label in (0, 1))"
+
+
+@plan
+def ratio_trim(d):
+    """Share of label 1 set to 0.25: the class that limits stays whole, the other is cut to the whole number."""
+    return f"""with {ranked(d, 67, 'label')}, c as (select coalesce(sum(case when label = 1 then 1 else 0 end), 0) as s, coalesce(sum(case when label = 0 then 1 else 0 end), 0) as h from ranked),
+q as (select case when s / 0.25 <= h / 0.75 then s else cast(floor(h * 0.25 / 0.75) as bigint) end as qs, case when s / 0.25 <= h / 0.75 then cast(floor(s * 0.75 / 0.25) as bigint) else h end as qh from c)
+select message_id, label from ranked cross join q where r <= case when label = 1 then qs else qh end"""
+
+
+@plan
+def balanced_source(d):
+    return f"""with {ranked(d, 67, 'source, label')}, paired as (select source, least(sum(case when label = 0 and r = 1 then n else 0 end), sum(case when label = 1 and r = 1 then n else 0 end)) as m from ranked group by source),
+q as (select min(m) as m from paired where m > 0)
+select x.message_id, x.source, x.label from ranked x join paired b on b.source = x.source cross join q where b.m > 0 and x.r <= q.m"""
+
+
+@plan
+def class_source_caps(d):
+    """Per class: cap of each source at twice the class's smallest source, and the common target."""
+    return f"""with {clean(d)}, cells as (select label, source, count(*) as n from clean where label in (0, 1) group by label, source), caps as (select label, source, n, least(n, 2 * min(n) over (partition by label)) as cap from cells),
+totals as (select label, sum(cap) as total from caps group by label) select c.label, c.source, c.n, c.cap, (select min(total) from totals) as target from caps c"""
+
+
+@plan
+def stratified_sample(d):
+    return f"""with {ranked(d, 42, 'label')} select message_id, label from ranked where r <= case when label = 0 then cast({d.even('1000.0e0 * n / total')} as bigint) else 1000 - cast({d.even('1000.0e0 * (total - n) / total')} as bigint) end"""
+
+
+@plan
+def split_92_2_6(d):
+    return f"""with {ranked(d, 67, 'label')}, cut as (select *, cast(ceil(n * 0.08e0) as bigint) as held, cast(ceil(ceil(n * 0.08e0) * 0.75e0) as bigint) as tested from ranked)
+select message_id, label, case when r <= tested then 'test' when r <= held then 'validation' else 'train' end as split from cut"""
+
+
+def prints(d):
+    exact = d.rx(f"concat(subject, chr(10), chr(10), body)", BLANKS + "+", " ")
+    return f"{clean(d)}, prints as (select message_id, source, label, pos, h, {d.sha('e')} as exact_sha, case when h = '' then '' else {d.sha('h')} end as norm_sha, case when length(h) < 50 then concat('subject_body:', {d.sha('e')}) else {d.sha('h')} end as fp from (select *, {high(d, 'body')} as h, {exact} as e from clean) x)"
+
+
+@plan
+def message_fingerprints(d):
+    return f"with {prints(d)} select message_id, exact_sha, norm_sha, fp from prints"
+
+
+@plan
+def cross_source_overlap(d):
+    """Rows of each source met by a row of trec_2006, exactly or only when normalised; exact goes first."""
+    return f"""with {prints(d)}, a as (select message_id, exact_sha, norm_sha from prints where source = 'trec_2006'), b as (select message_id, source, exact_sha, norm_sha from prints where source <> 'trec_2006'),
+met as (select a.message_id as x, b.source, b.message_id as y, 1 as exact from a join b on a.exact_sha = b.exact_sha union all select a.message_id, b.source, b.message_id, 0 from a join b on a.norm_sha = b.norm_sha where a.norm_sha <> ''),
+best as (select x, source, max(exact) as exact from met group by x, source)
+select b.source, sum(b.exact) as exact_rows, count(*) - sum(b.exact) as normalized_only, count(*) as matched, max(m.n) as rows_involved from best b join (select source, count(distinct y) as n from met group by source) m on m.source = b.source group by b.source"""
+
+
+@plan
+def eligible_pool(d):
+    return f"""with {prints(d)}, bad as (select fp from prints group by fp having count(distinct label) > 1), firsts as (select fp, min(pos) as pos from prints where source = 'trec_2006' group by fp)
+select p.message_id, p.label from prints p join firsts f on f.fp = p.fp and f.pos = p.pos where not exists (select 1 from bad b where b.fp = p.fp) and not exists (select 1 from prints o where o.fp = p.fp and o.source <> 'trec_2006')"""
+
+
+def splits(d):
+    return f"{prints(d)}, assigned as (select message_id, min(lower({strip(d, 'split_name')})) as split from split_rows group by message_id), placed as (select distinct a.split, p.fp from assigned a join prints p on p.message_id = a.message_id)"
+
+
+@plan
+def pairwise_overlap(d):
+    return f"with {splits(d)} select a.split as left_split, b.split as right_split, count(*) as shared from placed a join placed b on a.fp = b.fp and a.split < b.split group by a.split, b.split"
+
+
+@plan
+def leakage_counts(d):
+    return f"with {splits(d)}, t as (select fp from placed where split = 'train') select p.split, count(*) as prints, sum(case when t.fp is not null then 1 else 0 end) as leaked from placed p left join t on t.fp = p.fp where p.split <> 'train' group by p.split"
+
+
+@plan
+def disjoint_split(d):
+    """Per label the first 200 messages, in hash order, whose fingerprint the train split lacks, each fingerprint once."""
+    return f"""with {splits(d)}, free as (select p.message_id, p.label, p.fp, {d.hash_order(67, 'p.message_id')} as h from prints p where p.label in (0, 1) and not exists (select 1 from placed t where t.split = 'train' and t.fp = p.fp)),
+once as (select *, row_number() over (partition by fp order by h, message_id) as k from free), taken as (select *, row_number() over (partition by label order by h, message_id) as r from once where k = 1)
+select message_id, label from taken where r <= 200"""
+
+
+@plan
+def content_digest(d):
+    return f"with {prints(d)} select source, {d.sha(d.ordered_list('concat(coalesce(' + d.text('label') + ', ' + chr(39) * 2 + '), ' + chr(39) + '|' + chr(39) + ', fp, chr(10))', 'pos'))} as digest, count(*) as n from prints group by source"
+
+
+@plan
+def binary_metrics(d):
+    return f"with {scored(d)}, m as (select source, {CONFUSION} from (select *, case when score >= 0.5 then 1 else 0 end as p from scored) x group by source) select source, tp, fp, fn, tn, {rates()} from m"
+
+
+@plan
+def failure_aware_metrics(d):
+    return f"with {scored(d)}, m as (select {CONFUSION} from (select label, case when prediction in (0, 1) then prediction else 1 - label end as p from scored) x) select tp, fp, fn, tn, {rates()} from m"
+
+
+@plan
+def prediction_crosstab(d):
+    return f"with {scored(d)} select label, sum(case when prediction = 0 then 1 else 0 end) as as_ham, sum(case when prediction = 1 then 1 else 0 end) as as_spam, sum(case when prediction = -1 then 1 else 0 end) as unparsed from scored group by label"
+
+
+@plan
+def source_macro_f1(d):
+    return f"with {scored(d)}, m as (select source, {CONFUSION} from (select *, case when score >= 0.5 then 1 else 0 end as p from scored) x group by source), f as (select {rates()} from m) select round(avg(f1), 5) as macro_f1, count(*) as sources from f"
+
+
+@plan
+def macro_weighted_metrics(d):
+    return f"""with {scored(d)}, m as (select {CONFUSION} from (select *, case when score >= 0.5 then 1 else 0 end as p from scored) x), f as (select *, 2.0e0 * tp / greatest(2 * tp + fp + fn, 1) as f1_1, 2.0e0 * tn / greatest(2 * tn + fp + fn, 1) as f1_0 from m)
+select round((f1_0 + f1_1) / 2, 6) as macro_f1, round((f1_0 * (tn + fp) + f1_1 * (tp + fn)) / (tp + fp + fn + tn), 6) as weighted_f1, round((cast(tp as double) * tn - cast(fp as double) * fn) / greatest(sqrt(cast(tp + fp as double) * (tp + fn) * (tn + fp) * (tn + fn)), 1e-12), 6) as mcc from f"""
+
+
+@plan
+def probability_metrics(d):
+    p = "least(greatest(score, 1e-12), 1 - 1e-12)"
+    return f"with {scored(d)} select round(avg(-(label * ln({p}) + (1 - label) * ln(1 - {p}))), 6) as log_loss, round(avg((score - label) * (score - label)), 6) as brier, round(avg(abs(score - label)), 6) as mae, round(avg(-({p} * ln({p}) + (1 - {p}) * ln(1 - {p}))), 6) as entropy, round(avg(score), 6) as mean_spam from scored"
+
+
+@plan
+def roc_auc(d):
+    """Rank statistic from one row per distinct score: pairs won plus half of the ties."""
+    return f"""with {scored(d)}, s as (select score, sum(label) as pos, sum(1 - label) as neg from scored group by score), c as (select *, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from s)
+select round(sum(pos * (below + neg / 2.0e0)) / greatest(cast(sum(pos) as double) * sum(neg), 1), 6) as auc from c"""
+
+
+@plan
+def average_precision(d):
+    return f"""with {scored(d)}, s as (select score, sum(label) as pos, count(*) as n from scored group by score), c as (select pos, sum(pos) over (order by score desc) as tp, sum(n) over (order by score desc) as k from s)
+select round(sum(pos * tp / cast(k as double)) / greatest(sum(pos), 1), 6) as ap from c"""
+
+
+@plan
+def threshold_sweep(d):
+    """The threshold of best F1, then balanced accuracy, then nearness to 0.5, then the lowest; from cumulative counts per score."""
+    return f"""with {scored(d)}, s as (select score as t, sum(label) as pos, sum(1 - label) as neg from scored group by score), c as (select t, sum(pos) over (order by t desc) as tp, sum(neg) over (order by t desc) as fp, sum(pos) over () as p, sum(neg) over () as n from s),
+m as (select t, round(2.0e0 * tp / greatest(tp + fp + p, 1), 9) as f1, round((tp / greatest(p, 1) + (n - fp) / cast(greatest(n, 1) as double)) / 2, 9) as ba from c)
+select round(t, 6) as threshold, round(f1, 6) as f1 from (select *, row_number() over (order by f1 desc, ba desc, abs(t - 0.5e0), t) as r from m) x where r = 1"""
+
+
+def runs(d):
+    return "runs as (select user_id as run_id, event_type as metric, event_id as step, value from events where value is not null)"
+
+
+@plan
+def metric_pivot(d):
+    return f"with {runs(d)}, l as (select *, row_number() over (partition by run_id, metric order by step desc) as r from runs) select run_id, max(case when metric = 'click' then value end) as click, max(case when metric = 'view' then value end) as view_value, count(*) as metrics from l where r = 1 group by run_id"
+
+
+@plan
+def training_progress(d):
+    return f"with {runs(d)} select run_id, metric, step, round(100.0e0 * step / max(step) over (partition by run_id), 6) as progress from runs"
+
+
+@plan
+def rolling_median(d):
+    """Centred median of seven values; at the ends of those there are."""
+    a = d.window_list("value", "partition by run_id order by step rows between 3 preceding and 3 following")
+    return f"with {runs(d)}, w as (select run_id, step, {a} as a from runs) select run_id, step, round(({d.at('a', f'({d.size(chr(97))} + 1) / 2.0 - 0.5 * (({d.size(chr(97))} + 1) % 2)')} + {d.at('a', f'({d.size(chr(97))} + 2) / 2.0 - 0.5 * ({d.size(chr(97))} % 2)')}) / 2, 6) as med from w"
+
+
+@plan
+def curve_downsample(d):
+    """At most 20 evenly spaced points of each run, first and last included."""
+    return f"""with {runs(d)}, o as (select run_id, step, value, row_number() over (partition by run_id order by step) - 1 as i, count(*) over (partition by run_id) as n from runs)
+select run_id, step, value from o where n <= 20 or cast({d.even('i * 19.0e0 / greatest(n - 1, 1)')} as bigint) <> coalesce(cast({d.even('(i - 1) * 19.0e0 / greatest(n - 1, 1)')} as bigint), -1) or i = 0"""
+
+
+@plan
+def runtime_statistics(d):
+    return f"with {runs(d)} select metric, count(*) as n, round(avg(value), 6) as mean, round({d.quantile('value', 0.5)}, 6) as med, round(min(value), 6) as low, round(max(value), 6) as high from runs group by metric"
+
+
+@plan
+def rank_configs(d):
+    """Best step per run by value, then later step; ranked over all runs."""
+    return f"with {runs(d)}, b as (select *, row_number() over (partition by run_id order by value desc, step desc) as r from runs) select run_id, step, value, row_number() over (order by value desc, run_id) as place from b where r = 1"
+
+
+@plan
+def complete_groups(d):
+    return f"with {runs(d)} select run_id, count(distinct metric) as kinds, count(*) as n from runs group by run_id having count(distinct metric) = (select count(distinct metric) from runs)"
+
+
+@plan
+def checkpoint_numbers(d):
+    return f"with {runs(d)} select run_id, step, row_number() over (partition by run_id order by step, metric) as checkpoint_no from runs"
+
+
+@plan
+def compose_text(d):
+    return f"select message_id, case when s <> '' and b <> '' then concat('Subject: ', s, chr(10), chr(10), b) when s <> '' then concat('Subject: ', s) else b end as email_text from (select message_id, {strip(d, 'subject')} as s, {strip(d, 'body')} as b from combine) x where s <> '' or b <> ''"
+
+
+@plan
+def training_lines(d):
+    body = d.rx(f"replace(replace(concat(subject, ' ', body), chr(0), ' '), '__label__', 'label_')", BLANKS + "+", " ")
+    return f"with {clean(d)} select message_id, concat('__label__', case when label = 1 then 'spam' else 'ham' end, ' ', {strip(d, body)}) as line from clean where label in (0, 1)"
+
+
+@plan
+def first_line_subject(d):
+    return f"select message_id, {strip(d, 'f')} as first_line, length(body) - length(f) as rest from (select message_id, body, {d.first_line('body')} as f from combine where body is not null) x"
+
+
+@plan
+def parse_labels(d):
+    """Strict reading of a reply's first line: spam over ham over valid over yes over no."""
+    w = lambda x: d.like("t", rf"\b{x}\b")
+    return f"select message_id, case when {w('spam')} then 1 when {w('ham')} then 0 when {w('valid')} then 0 when {w('yes')} then 1 when {w('no')} then 0 end as parsed from (select message_id, lower({d.first_line('body')}) as t from combine where body is not null) x"
+
+
+@plan
+def normalize_labels(d):
+    return f"select duplicate_group_id, case when lower({strip(d, 'labels')}) in ('[1]', '1', 'spam', 'true') then 1 when lower({strip(d, 'labels')}) in ('[0]', '0', 'ham', 'valid', 'false') then 0 end as label, {d.number(strip(d, d.text('duplicate_count')))} as n from duplicate_report"
+
+
+@plan
+def length_quantiles(d):
+    return f"with {clean(d)}, l as (select source, length(body) as n from clean) select source, count(*) as n, round(avg(n), 6) as mean, round({d.quantile('n', 0.5)}, 6) as med, round({d.quantile('n', 0.95)}, 6) as p95 from l group by source"
+
+
+@plan
+def word_count_boxes(d):
+    return f"with {clean(d)}, l as (select label, {d.size(d.words('lower(body)'))} as n from clean where label in (0, 1)) select label, " + ", ".join(f"round({d.quantile('n', q)}, 6) as q{int(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from l group by label"
+
+
+def terms(d):
+    return f"{clean(d)}, docs as (select message_id, label, {d.words('lower(body)')} as ws from clean where label in (0, 1)), tf as (select w, sum(1 - label) as n0, sum(label) as n1 from {d.explode('docs', 'ws', 'w')} group by w)"
+
+
+@plan
+def term_log_odds(d):
+    return f"with {terms(d)}, t as (select sum(n0) as t0, sum(n1) as t1, count(*) as v from tf) select w as term, n0, n1, round(ln((n1 + 1.0e0) / (t1 + v)) - ln((n0 + 1.0e0) / (t0 + v)), 6) as log_odds from tf cross join t where n0 + n1 >= 20"
+
+
+@plan
+def naive_bayes(d):
+    """Multinomial model with add-one smoothing, trained and applied on all labelled rows."""
+    return f"""with {terms(d)}, t as (select sum(n0) as t0, sum(n1) as t1, count(*) as v from tf), weight as (select w, ln((n1 + 1.0e0) / (t1 + v)) - ln((n0 + 1.0e0) / (t0 + v)) as x from tf cross join t),
+prior as (select ln(sum(label) / cast(sum(1 - label) as double)) as x from docs), tok as (select message_id, w, count(*) as c from {d.explode('docs', 'ws', 'w')} group by message_id, w)
+select k.message_id, case when sum(k.c * g.x) + max(p.x) > 0 then 1 else 0 end as predicted, round(sum(k.c * g.x) + max(p.x), 4) as margin from tok k join weight g on g.w = k.w cross join prior p group by k.message_id"""
+
+
+@plan
+def vector_normalize(d):
+    v = "embedding"
+    return f"select vec_id, round({d.norm(v)}, 4) as norm, case when {d.norm(v)} > 0 then 1 else 0 end as scaled from embeddings"
+
+
+def run(spark, name: str, folder: str):
+    """A plan over the tables of a folder."""
+    for t in TABLES:
+        path = os.path.join(folder, f"{t}.parquet")
+        spark.read.parquet(path).createOrReplaceTempView(t)
+    return spark.sql(PLANS[name](Spark()))
+
 
 def queries():
-    return {}
+    return {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
 
 
 def oracle_sql():
-    return {}
+    return {name: f(Duck()) for name, f in PLANS.items()}
