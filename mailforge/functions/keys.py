@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 LEFT_OUT = (r"<[^>]+>", r"(https?://\S+|www\.\S+)", r"\b[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}\b", r"[^a-z0-9]+")
 
 
-@F.pandas_udf("string")
-def unfolded(text: pd.Series) -> pd.Series:
+def unfold(text: pd.Series) -> pd.Series:
     """NFKC form with character references resolved; ASCII without references goes through untouched."""
     return text.map(lambda x: x if x is None or (x.isascii() and "&" not in x) else html.unescape(unicodedata.normalize("NFKC", x)))
 
 
 def high_key(text: Column) -> Column:
-    out = F.lower(unfolded(F.coalesce(text, F.lit(""))))
+    out = F.lower(F.pandas_udf(unfold, "string")(F.coalesce(text, F.lit(""))))
     for pattern in LEFT_OUT:
         out = F.regexp_replace(out, pattern, "")
     return out
