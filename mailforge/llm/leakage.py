@@ -29,7 +29,7 @@ from mailforge.llm.words import distinct_by_text, grams, inside_text, text_of, w
 
 GRAM, STRIDE, SHORT, PHI = 6, 3, 60, 0.15
 #: Characters of evaluation text in one index.
-SHARD_CHARS = 32_000_000
+SHARD_CHARS = 48_000_000
 
 
 class Index:
@@ -161,6 +161,11 @@ def overlaps(shard: Shard, ids: np.ndarray, bodies: list[str], k: int, t: float,
     if shard.index is None or not len(ids):
         return (np.zeros(0, np.int64),) * 4
     a, b, spans, words = matches(shard, h, bounds)
+    met = np.zeros(len(ids), bool)  # only texts with a match need their shingles
+    met[a] = True
+    a, ids = (np.cumsum(met) - 1)[a], ids[met]
+    h = h[np.repeat(met, np.diff(bounds))]
+    bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[met])])
     (value, ends), (raw, n) = shingle_sets(h, bounds, k)
     (other, other_ends), (other_raw, other_n) = shard.sets, shard.maps
     good = np.zeros(len(a), bool)
