@@ -1,13 +1,13 @@
 """Problem 3: near-duplicates with small edits, insertions or moved passages.
 
 1. Every text's words become hashes; equal word sequences are one node from here on (a 64-bit fingerprint), so copies never pair.
-2. Anchors: of each window of WINDOW consecutive GRAM-word grams the one with the least hash. Texts sharing a run of
-   GRAM + WINDOW - 1 words share an anchor. Their counts over all texts go into a hashed table of fixed size.
-3. A text keeps its rarest anchors only: if two texts share at least PHI of their anchors, these prefixes meet (any order common to
-   all texts will do, so hash collisions in the counts cost time, never links). Anchors counted once cannot meet and are dropped.
-4. Tiles: rows meeting in an anchor are compared when their sizes lie in the same band, first by parity bitmaps of 256 to 4,096 bits: the bits in
-   which two bitmaps differ are at most the shingles the texts do not share, which bounds the overlap from above. What passes is
-   linked; linked rows of a task are reduced to stars.
+2. The shingles of all texts are counted in a hashed table of fixed size.
+3. A text keeps the first n - ceil(t * n) + 1 of its n distinct shingles, rarest first. Two texts of similarity t share at least t times the
+   larger one's shingles, so their first common shingle in this order is kept by both (any order common to all texts will do, so hash collisions in
+   the counts cost time, never links). Shingles counted once cannot meet and are dropped.
+4. Tiles: rows meeting in a shingle are compared when their sizes lie in the same band. Their places in the order bound the overlap: what passes
+   is compared, once per pair, by parity bitmaps of 256 to 4,096 bits: the bits in which two bitmaps differ are at most the shingles the texts do
+   not share. Rows of shingles in more than COLD texts carry their bitmaps and are linked in their tile; those of a task are reduced to stars.
 5. Components of these links are tiles again: their shingle sets come together once per distinct text, are compared by size band,
    bitmap and exact sorted-array intersection, and give the classes.
 
@@ -29,7 +29,11 @@ from mailforge.llm.components import components
 from mailforge.llm.words import distinct_by_text, fingerprints, grams, inside_text, text_of, word_hashes
 from mailforge.session import cut
 
-GRAM, WINDOW, PHI = 6, 6, 0.15
+#: Texts that hold a shingle, up to which all pairs of them are candidates; LEVEL is their level in the table of counts.
+COLD = 32
+LEVEL = round(16 * math.log2(COLD + 1))
+#: Rows left out at most because an equal text is elsewhere; more of them cost time only.
+COPIES = 1 << 22
 #: Bitmap widths in 64-bit words, and the distinct shingles from which the next one is used.
 WIDTHS, STEPS = (4, 16, 64), (120, 500)
 TOP = np.uint64((1 << 64) - 1)
@@ -46,7 +50,6 @@ class Texts:
         s, b = batch.column("subject").to_pylist(), batch.column("body").to_pylist()
         h, bounds = word_hashes([f"{x or ''} {y or ''}" for x, y in zip(s, b)])
         keep = np.diff(bounds) >= min_words
-        self.gram = min(GRAM, min_words)
         self.id = batch.column("message_id").to_numpy(zero_copy_only=False)[keep]
         self.h = h[np.repeat(keep, np.diff(bounds))]
         self.bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[keep])])
@@ -70,19 +73,6 @@ class Texts:
         ok = inside_text(self.bounds, k)
         return distinct_by_text(text_of(self.bounds, len(ok))[ok], grams(self.h, k)[ok])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, anchor): the least gram hash of each window; all of a short text is one window."""
-        k = self.gram
-        g, ok = grams(self.h, k), inside_text(self.bounds, k)
-        text = text_of(self.bounds, len(g))
-        if len(g) < WINDOW:
-            return distinct_by_text(text[ok], g[ok])
-        low = np.lib.stride_tricks.sliding_window_view(g, WINDOW).min(1)
-        whole = ok[: len(low)] & ok[WINDOW - 1 :] & (text[: len(low)] == text[WINDOW - 1 :])
-        few = ok & (np.diff(self.bounds)[text] - k + 1 < WINDOW)  # texts of less than a window keep all their grams
-        t, v = np.concatenate([text[: len(low)][whole], text[few]]), np.concatenate([low[whole], g[few]])
-        return distinct_by_text(t, v)
-
 
 def bitmaps(text: np.ndarray, shingle: np.ndarray, n: int, words: int) -> np.ndarray:
     """Parity bitmaps of n texts: each shingle flips one of 64 * words bits (a power of two, so that wide ones fold to narrow ones)."""
@@ -141,6 +131,15 @@ def source(messages: DataFrame) -> DataFrame:
     return messages.select("message_id", "subject", "body").where("message_id is not null")
 
 
+def first_copies(m: DataFrame) -> DataFrame:
+    """The source without rows whose text another row with a smaller message_id has too (COPIES of them at most)."""
+    text = F.xxhash64(F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit(""))))
+    t = m.select("message_id", text.alias("text"))
+    low = t.groupBy("text").agg(F.min("message_id").alias("low"), F.max("message_id").alias("high")).where("low < high").select("text", "low")
+    again = cut(t.join(low, "text").where("message_id > low").select(F.xxhash64("message_id", "text").alias("copy")).limit(COPIES))
+    return m.withColumn("copy", F.xxhash64("message_id", text)).join(F.broadcast(again), "copy", "left_anti").drop("copy")
+
+
 def counts_table(keys: DataFrame, bits: int) -> np.ndarray:
     """Counts of the column ``keys`` (top bits of 64-bit hashes, as binary batches of uint32) in a table of 2**bits cells, on a logarithmic
     scale of one byte: 0 none, 16 exactly one. Its size depends on bits alone."""
@@ -181,7 +180,7 @@ SPARSE = "segment int, idx binary, cnt binary"
 
 
 def table_bits(n: int) -> int:
-    """Cells for the anchors of n texts, within 2**20 and 2**26."""
+    """Cells for the shingles of n texts, within 2**20 and 2**26."""
     return max(20, min(26, math.ceil(math.log2(32 * max(1, n)))))
 
 
@@ -203,6 +202,41 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
+class Rows:
+    """Rows that stand for texts of Maps, several rows a text."""
+
+    def __init__(self, maps: Maps, of: np.ndarray):
+        self.maps, self.of, self.n = maps, of, maps.n[of]
+
+    def near(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+        return self.maps.near(self.of[i], self.of[j], t)
+
+
+def packed(part: np.ndarray, text: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(part, text, keys): the keys of each text that go to one part, in 7 bytes each with their place (a lower one, where it is too large, costs
+    time only)."""
+    order = np.lexsort((text, part))
+    part, text = part[order], text[order]
+    value = (key[order] >> np.uint64(24) << np.uint64(16)) | np.minimum(place[order], 0xFFFF).astype(np.uint64)
+    raw = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(text)), bool), (part[1:] != part[:-1]) | (text[1:] != text[:-1])]))
+    return part[start], text[start], [raw[7 * a : 7 * b] for a, b in zip(start.tolist(), [*start[1:].tolist(), len(text)])]
+
+
+def unpacked(raw: list[bytes], fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, place) of the packed keys of rows of texts fp, each text once a key, sorted by key."""
+    wide = np.zeros((sum(map(len, raw)) // 7, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 7)
+    value = wide.view("<u8").ravel()
+    row = np.repeat(np.arange(len(raw)), [len(r) // 7 for r in raw])
+    key, place = (value >> np.uint64(16)).astype(np.int64), (value & np.uint64(0xFFFF)).astype(np.int64)
+    order = np.lexsort((fp[row], key))
+    key, row, place = key[order], row[order], place[order]
+    keep = np.ones(len(key), bool)
+    keep[1:] = (key[1:] != key[:-1]) | (fp[row[1:]] != fp[row[:-1]])
+    return key[keep], row[keep], place[keep]
+
+
 SMALL_RUN = 64
 
 
@@ -265,11 +299,47 @@ def by_runs(batches, column: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def prefixes(text: np.ndarray, shingle: np.ndarray, n: np.ndarray, level: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, place, level) of the shingles, rarest first, of which two texts of similarity t share one, without those counted once."""
+    order = np.lexsort((shingle, level, text))
+    text, shingle, level = text[order], shingle[order], level[order]
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    keep = (place <= (n - np.ceil(t * n - 1e-9).astype(np.int64))[text]) & (level > 16)
+    return text[keep], shingle[keep], place[keep], level[keep]
+
+
+def pairs_of_runs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs among rows of equal key (sorted by key) whose sizes and places allow similarity t. At their first common shingle both texts
+    have all common ones still to come."""
+    rest = n - place
+    i, d, a, b = np.arange(len(key)), 0, [], []
+    while True:
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        if not len(i):
+            break
+        n1, n2 = n[i], n[i + d]
+        ok = (np.minimum(n1, n2) >= t * np.maximum(n1, n2) - 1e-9) & (np.minimum(rest[i], rest[i + d]) >= (n1 + n2) * (t / (1 + t)) - 1e-9)
+        a.append(fp[i[ok]])
+        b.append(fp[i[ok] + d])
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(a), np.concatenate(b)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return low[new], high[new]
+
+
 def links(messages: DataFrame, t: float, k: int, min_words: int) -> DataFrame:
-    """(a, b): links between fingerprints whose sizes and bitmaps allow similarity t, reduced to stars per task."""
+    """(a, b): links between fingerprints whose sizes and bitmaps allow similarity t, those of frequent shingles reduced to stars per task."""
     spark = messages.sparkSession
-    m = source(messages)
+    m = first_copies(source(messages))
     bits = table_bits(m.count())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches):
         found, seen = [], set()
@@ -277,46 +347,84 @@ def links(messages: DataFrame, t: float, k: int, min_words: int) -> DataFrame:
             x = Texts(batch, min_words)
             x.unseen(seen)
             if len(x.fp):
-                found.append(x.anchors()[1])
+                found.append(x.shingles(k)[1])
         yield sparse_counts(found, bits)
 
     level = spark.sparkContext.broadcast(counts_table(m.mapInArrow(count, SPARSE), bits))  # 2**bits bytes
 
     def rows(batches):
+        """A text has a row for each part with the keys that go there, and another with its bitmap for those of frequent shingles; texts with
+        keys of the first kind have one row without keys, but with the bitmap."""
         seen: set = set()
         for batch in batches:
             x = Texts(batch, min_words)
             x.unseen(seen)
             if not len(x.fp):
                 continue
-            text, anchor = x.anchors()
-            lv = level.value[anchor >> np.uint64(64 - bits)]
-            order = np.lexsort((anchor, lv, text))
-            text, anchor, lv = text[order], anchor[order], lv[order]
-            n_anchors = np.bincount(text, minlength=len(x.fp))
-            rank = np.arange(len(text)) - np.repeat(np.cumsum(n_anchors) - n_anchors, n_anchors)
-            prefix = n_anchors - np.maximum(1, np.ceil(PHI * n_anchors)).astype(np.int64) + 1
-            keep = (rank < prefix[text]) & (lv > 16)
             st, sv = x.shingles(k)
             n = np.bincount(st, minlength=len(x.fp))
             raw = pa.array(packed_bitmaps(st, sv, n), pa.binary())
-            text, anchor = text[keep], anchor[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(x.fp[text]), pa.array(n[text].astype(np.int32)), raw.take(pa.array(text))], ["key", "fp", "n", "bm"])
+            text, shingle, place, lv = prefixes(st, sv, n, level.value[sv >> np.uint64(64 - bits)], t)
+            cold = lv <= LEVEL
+            part = (shingle % np.uint64(parts)).astype(np.int64)
+            out = [packed(part[own], text[own], shingle[own], place[own]) for own in (cold, ~cold)]
+            own = np.unique(text[cold])
+            none = np.zeros(len(own), bool)
+            p, text = np.concatenate([out[0][0], out[1][0], x.fp[own] % parts]), np.concatenate([out[0][1], out[1][1], own])
+            keys = pa.array([*out[0][2], *out[1][2], *[None] * len(own)], pa.binary())
+            bm = raw.take(pa.array(text, mask=np.concatenate([np.ones(len(out[0][0]), bool), np.zeros(len(out[1][0]), bool), none])))
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(x.fp[text]), pa.array(n[text]), keys, bm], ["part", "fp", "n", "keys", "bm"])
 
     def tiles(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        has_keys, has_bm = whole.column("keys").is_valid().to_numpy(), whole.column("bm").is_valid().to_numpy()
+        for block in whole.filter(pa.array(~has_keys)).to_batches():
+            yield pa.RecordBatch.from_arrays([block.column("fp"), pa.nulls(block.num_rows, pa.int64()), block.column("n"), block.column("bm")], ["a", "b", "n", "bm"])
+        for hot in (False, True):
+            block = whole.filter(pa.array(has_keys & (has_bm == hot)))
+            if not block.num_rows:
+                continue
+            fp, n = block.column("fp").to_numpy(), block.column("n").to_numpy()
+            key, row, place = unpacked(block.column("keys").to_pylist(), fp)
+            if hot:
+                a, b = links_of_runs(key, fp[row], Rows(Maps(block.column("bm").to_pylist(), n), row), t)
+            else:
+                a, b = pairs_of_runs(key, fp[row], n[row], place, t)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), 0 if hot else -1)), pa.nulls(len(a), pa.binary())], ["a", "b", "n", "bm"])
+
+    def heads(key: np.ndarray) -> np.ndarray:
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return np.repeat(start, np.diff(np.append(start, len(key))))
+
+    def attach(batches):
+        """Each pair once, by b and with a's size and bitmap; rows of texts and links as they are."""
+        for block in by_runs(batches, "a"):
+            a, n, text = block.column("a").to_numpy(), block.column("n").to_numpy(), block.column("b").is_null().to_numpy()
+            b = block.column("b").fill_null(0).to_numpy()
+            keep = np.ones(len(a), bool)
+            keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+            own = np.flatnonzero(keep | text)
+            of = np.where(n < 0, heads(a), np.arange(len(a)))[own]
+            key, a = pa.array(np.where(text, a, b)[own]), pa.array(a[own], mask=text[own])
+            yield pa.RecordBatch.from_arrays([key, a, pa.array(n[of]), block.column("bm").take(pa.array(of)).combine_chunks()], ["key", "a", "n", "bm"])
+
+    def check(batches):
         for block in by_runs(batches, "key"):
-            key, fp = block.column("key").to_numpy(), block.column("fp").to_numpy()
-            keep = np.ones(len(key), bool)
-            keep[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-            # rows that meet nobody need no bitmap
-            keep[1:-1] &= (key[1:-1] == key[:-2]) | (key[1:-1] == key[2:])
-            block, key, fp = block.filter(pa.array(keep)), key[keep], fp[keep]
-            maps = Maps(block.column("bm").to_pylist(), block.column("n").to_numpy().astype(np.int64))
-            a, b = links_of_runs(key, fp, maps, t)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    met = m.mapInArrow(rows, "key long, fp long, n int, bm binary").repartition("key").sortWithinPartitions("key", "fp")
-    return met.mapInArrow(tiles, "a long, b long")
+            key, n, text = block.column("key").to_numpy(), block.column("n").to_numpy(), block.column("a").is_null().to_numpy()
+            a, of = block.column("a").fill_null(0).to_numpy(), heads(key)
+            own = np.flatnonzero(~text & (n > 0))
+            used, place = np.unique(np.concatenate([own, of[own]]), return_inverse=True)
+            maps = Maps(block.column("bm").take(pa.array(used)).to_pylist(), n[used])
+            own = np.concatenate([own[maps.near(place[: len(own)], place[len(own) :], t)], np.flatnonzero(~text & (n == 0))])
+            yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(key[own])], ["a", "b"])
+
+    met = m.mapInArrow(rows, "part int, fp long, n long, keys binary, bm binary").repartitionById(parts, "part")
+    found = met.mapInArrow(tiles, "a long, b long, n long, bm binary").repartition("a").sortWithinPartitions("a", "b", "n")
+    pairs = found.mapInArrow(attach, "key long, a long, n long, bm binary").repartition("key").sortWithinPartitions("key", "a")
+    return pairs.mapInArrow(check, "a long, b long")
 
 
 def classes_of_tile(fp: np.ndarray, sets: list[np.ndarray], t: float) -> np.ndarray:

@@ -60,6 +60,18 @@ def test_near_duplicates_against_brute_force(spark, near_rows):
     assert neardup.near_pairs(messages(spark, []), 0.5, 3, 20).count() == 0
 
 
+def test_near_duplicates_without_long_common_runs(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(40):
+        a, b, c, d = (sentence(rng, 5) for _ in range(4))
+        rows += [(2 * g, "", " ".join([a, b, c, d]), 0, "a"), (2 * g + 1, "", " ".join([b, d, a, c]), 0, "a")]
+    assert all(similarity(x[2], y[2]) == 0.5 for x, y in zip(rows[::2], rows[1::2]))
+    for rest in ([], [(1000 + i, "", f"{rows[0][2]} {sentence(rng, 2)}", 0, "a") for i in range(60)]):  # the second time at frequent shingles
+        got = {tuple(r) for r in neardup.near_pairs(messages(spark, rows + rest), 0.5, 3, 20).collect()}
+        assert got == {(2 * g, 2 * g + 1) for g in range(40)} | {(0, r[0]) for r in rest}
+
+
 def test_cross_split_against_brute_force(spark, near_rows):
     rows, texts = near_rows
     splits = spark.createDataFrame([(i, " Train " if i % 2 else "test") for i in texts] + [(1, "train"), (902, None)], "message_id long, split_name string")
