@@ -82,20 +82,21 @@ def encode(text: str | None, enc: tiktoken.Encoding, pool: ThreadPoolExecutor |
         return enc.encode_ordinary(text)
     out: list[int] = []
     core = enc._core_bpe
-    at = short = 0
+    short, spaces = 0, []  # where the part not yet encoded begins; the white-space pre-tokens at its end
     for m in _pre.finditer(text):
         if m.end() - m.start() >= LONG_RUN:
-            out += enc.encode_ordinary(text[short : m.start()]) if m.start() > short else []
+            # At the end of a slice white space would be one pre-token, so what stands before the run is encoded singly.
+            solid = spaces[0].start() if spaces else m.start()
+            out += enc.encode_ordinary(text[short:solid]) if solid > short else []
+            for x in spaces:
+                out += core.encode_single_piece(x.group().encode("utf-8"))
             out += encode_run(m.group().encode("utf-8", "replace"), core.encode_single_piece, lambda t: b"".join(core.decode_single_token_bytes(x) for x in t), pool)
-            short = m.end()
-        at = m.end()
-    if at > short:
-        out += _tail(text, short, enc)
-    return out
-
-
-def _tail(text: str, at: int, enc: tiktoken.Encoding) -> list[int]:
-    return enc.encode_ordinary(text[at:])
+            short, spaces = m.end(), []
+        elif m.group().isspace():
+            spaces.append(m)
+        else:
+            spaces.clear()
+    return out + enc.encode_ordinary(text[short:])
 
 
 def token_ids(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

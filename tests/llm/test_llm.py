@@ -136,6 +136,15 @@ def test_tokens_round_trip_and_long_runs():
         assert ids == (enc.encode_ordinary(t) if t else [])
 
 
+def test_white_space_before_long_runs():
+    enc = tokens.encoding("byte_bpe_50k")
+    runs = ["x" * 5000, "=" * 5000, "7" * 5000, "\n" * 5000]
+    for space in ["\n\n", "\n", " ", "  ", "\n\n ", " \n\t\n", "\u00a0\u3000", "\x1c\x1c"]:
+        for run in runs:
+            for text in [f"abc{space}{run}", space + run, f"{run}{space}{runs[0]}{space}", f"a{space}b{space}{run}{space}c"]:
+                assert tokens.encode(text, enc) == enc.encode_ordinary(text)
+
+
 def test_packing_covers_and_beats_first_fit():
     rng = random.Random(1)
     lengths = [rng.randint(1, 100) for _ in range(2000)]
