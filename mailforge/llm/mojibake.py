@@ -2,12 +2,14 @@
 
 A smoothed character trigram model is counted over all clean tokens with letters or signs beyond ASCII (tokens that no UTF-8 chain can undo and that
 hold neither replacement nor control characters). Each such token of each field is then scored under every candidate chain (encode
-in the encoding it was read in, decode in the one it was written in, up to twice for UTF-8); the likeliest is accepted when its
-log-likelihood beats the token's own by the margin. Chains between single-byte encodings are
-also scored for all tokens of a field together. The model is counted twice, the second time without tokens that occur more often as a chain would restore them. The margin comes from a validation over all clean tokens: the gain of each as
-it stands, and after garbling it by a known chain, go into two histograms, and the margin with the least error is taken.
+in the encoding it was read in, decode in the one it was written in, up to three times for UTF-8); the likeliest is accepted when its
+log-likelihood beats the token's own by the margin. Chains between single-byte encodings are also scored for all tokens of a field together.
+The model is counted twice, the second time without tokens that occur more often as a chain would restore them. The margin comes from held-out
+clean tokens, scored by a model counted without them: the gain of each as it stands, and after garbling it by a known chain, go into two
+histograms, and the margin with the least error is taken.
 
-The model lives in hashed tables of fixed size; per-task token dictionaries hold distinct tokens only.
+The model lives in hashed tables of fixed size. Each distinct token is scored once for the table; the tasks that judge fields score only the
+tokens of fields with a token that may be a case, and keep the scores of a bounded number of tokens.
 
 Defined results: null, empty and ASCII fields are no case; replacement characters and C1 controls are a case even when nothing can
 be restored; repeated message_ids are judged each on its own, listed once; an empty table gives no rows; extra columns are ignored.
@@ -25,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mailforge.session import cut
 
@@ -41,6 +44,10 @@ T3, T2, T1, T0 = 1 << 18, 1 << 16, 1 << 13, 1 << 20
 SIZE = T3 + T2 + T1 + T0
 STEP, BINS = 0.5, 200
 UNSEEN = 30.0
+#: Parameters: one of HELD_OUT tokens chooses the margin and is not counted for that; the least margin; the gain from which a token hints at a case.
+HELD_OUT, LEAST_MARGIN, HINT = 4, 2.0, 0.5
+#: Cells of the bitmap of tokens that may be a case, and the distinct tokens a task keeps scores of at once.
+CASES, TASK_TOKENS = 1 << 24, 1 << 18
 
 
 @cache
@@ -213,18 +220,42 @@ def garble(token: str) -> str | None:
     return None if out == token or BROKEN.search(out) else out
 
 
+def foreign(messages: DataFrame, *ids: str) -> DataFrame:
+    """The fields with a sign beyond ASCII, others null; rows without such a field are left out before Python sees them."""
+    m = messages.select(*ids, *[F.when(F.octet_length(c) > F.length(c), F.col(c)).alias(c) for c in ("subject", "body")])
+    return m.where("subject is not null or body is not null")
+
+
 def fields(batch: pa.RecordBatch):
     for name in ("subject", "body"):
         yield name, batch.column(name).to_pylist()
 
 
+#: What parts words here; a word holds whole tokens, as these signs end every token.
+PARTS = str.maketrans("\t\r\n", "   ")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text with a sign beyond ASCII."""
+    return [w for w in text.translate(PARTS).split(" ") if not w.isascii()]
+
+
+@lru_cache(1 << 14)
+def tokens_in(word: str) -> tuple[str, ...]:
+    return tuple(TOKEN.findall(word))
+
+
 def tokens_of(batches) -> Counter:
-    out: Counter = Counter()
+    words: Counter = Counter()
     for b in batches:
         for _, texts in fields(b):
             for t in texts:
-                if t and not t.isascii():
-                    out.update(TOKEN.findall(t))
+                if t:
+                    words.update(words_of(t))
+    out: Counter = Counter()
+    for w, n in words.items():
+        for t in tokens_in(w):
+            out[t] += n
     return out
 
 
@@ -263,12 +294,24 @@ def distinct_tokens(messages: DataFrame) -> DataFrame:
         found = tokens_of(batches)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
 
-    per_task = messages.select("subject", "body").mapInArrow(count, "token string, n long")
+    per_task = foreign(messages).mapInArrow(count, "token string, n long")
     return per_task.groupBy("token").sum("n").toDF("token", "n").repartition(messages.sparkSession.sparkContext.defaultParallelism, "token")
 
 
-def train(messages: DataFrame) -> tuple[np.ndarray, float]:
-    """(model table, margin) of a message table."""
+def held_out(token: str) -> bool:
+    """Whether a token, in any letter case, is kept for choosing the margin."""
+    return zlib.crc32(token.lower().encode("utf-8", "replace")) % HELD_OUT == 0
+
+
+def chosen(right: np.ndarray, wrong: np.ndarray) -> float:
+    """The margin of least error: the share of right tokens at or above it plus that of garbled ones below it; the middle of equal ones."""
+    error = [right[b:].sum() / max(1.0, right.sum()) + wrong[:b].sum() / max(1.0, wrong.sum()) for b in range(1, BINS)]
+    even = [b for b, e in enumerate(error) if e <= min(error) + 1e-4]
+    return max(LEAST_MARGIN, even[len(even) // 2] * STEP)
+
+
+def train(messages: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
+    """(model table, margin, bitmap of the tokens that may be a case) of a message table; each distinct token is scored once."""
     spark = messages.sparkSession
     tokens = cut(distinct_tokens(messages))
     pairs = lambda batches: ((t, n) for b in batches for t, n in zip(b.column("token").to_pylist(), b.column("n").to_pylist()))
@@ -278,52 +321,76 @@ def train(messages: DataFrame) -> tuple[np.ndarray, float]:
 
     first = spark.sparkContext.broadcast(_add(tokens.mapInArrow(count, SPARSE), SIZE))
 
-    def recount(batches):  # without the tokens that occur more often as another chain would have them
-        model = Model(first.value)
-        yield _sparse(count_tokens(Counter({t: n for t, n in pairs(batches) if clean(t) and not model.outdone(t)})))
+    def recount(batches):  # without the tokens that occur more often as another chain would have them; the held-out ones apart
+        model, kept = Model(first.value), (Counter(), Counter())
+        for t, n in pairs(batches):
+            if clean(t) and not model.outdone(t):
+                kept[held_out(t)][t] = n
+        yield _sparse(np.concatenate([count_tokens(c) for c in kept]))
 
-    table = _add(tokens.mapInArrow(recount, SPARSE), SIZE)
-    shared = spark.sparkContext.broadcast(table)  # 11 MB, whatever the corpus
+    both = _add(tokens.mapInArrow(recount, SPARSE), 2 * SIZE)
+    table, unheld = both[:SIZE] + both[SIZE:], spark.sparkContext.broadcast(both[:SIZE])  # 11 MB each, whatever the corpus
+    shared = spark.sparkContext.broadcast(table)
 
     def bin_of(gain: float) -> int:
         return min(BINS - 1, max(0, int(gain / STEP) + 1)) if gain > 0 else 0
 
     def validate(batches):
-        model = Model(shared.value)
-        out = np.zeros(2 * BINS)
+        model, whole, out, cases = Model(unheld.value), Model(shared.value), np.zeros(2 * BINS), np.zeros(CASES)
         for t, _ in pairs(batches):
-            if clean(t):
+            if BROKEN.search(t) or whole.best(t)[0] > HINT:
+                cases[cell_of(t)] = 1
+            if held_out(t) and clean(t):
                 out[bin_of(model.best(t)[0])] += 1
                 if (g := garble(t)) is not None:
                     out[BINS + bin_of(model.best(g)[0])] += 1
-        yield _sparse(out)
+        yield _sparse(np.concatenate([out, cases]))
 
-    h = _add(tokens.mapInArrow(validate, SPARSE), 2 * BINS)
-    right, wrong = h[:BINS], h[BINS:]
-    error = [right[b:].sum() / max(1.0, right.sum()) + wrong[:b].sum() / max(1.0, wrong.sum()) for b in range(1, BINS)]
-    even = [b for b, e in enumerate(error) if e <= min(error) + 1e-4]  # the middle of the stretch that errs least
-    return table, max(2.0, even[len(even) // 2] * STEP)
+    h = _add(tokens.mapInArrow(validate, SPARSE), 2 * BINS + CASES)
+    return table, chosen(h[:BINS], h[BINS : 2 * BINS]), np.packbits(h[2 * BINS :] > 0)
+
+
+def cell_of(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace"), 5) & (CASES - 1)
 
 
 def judge(messages: DataFrame) -> DataFrame:
-    """(message_id, field_name, text, restored, chains): fields with a garbled token; restored is the text as far as it can be undone."""
-    table, margin = train(messages)
-    shared = messages.sparkSession.sparkContext.broadcast(table)
+    """(message_id, field_name, text, restored, chains): fields with a garbled token; restored is the text as far as it can be undone.
+
+    A field none of whose tokens is broken or has a candidate likelier than itself (by HINT) is no case; tokens are looked up in the bitmap for
+    that, whose collisions cost time only. The others are judged on all their tokens.
+    """
+    table, margin, cases = train(messages)
+    shared = messages.sparkSession.sparkContext.broadcast((table, cases))
 
     def run(batches):
-        model = Model(shared.value)
+        model, cases = Model(shared.value[0]), shared.value[1]
         known: dict[str, tuple[bool, list]] = {}
+        suspect: dict[str, bool] = {}
 
         def look(token: str):
             v = known.get(token)
             if v is None:
+                if len(known) >= TASK_TOKENS:
+                    known.clear()
                 v = known[token] = (bool(BROKEN.search(token)), model.gains(token))
             return v
 
+        def any_suspect(words: list[str]) -> bool:
+            for w in words:
+                v = suspect.get(w)
+                if v is None:
+                    if len(suspect) >= TASK_TOKENS:
+                        suspect.clear()
+                    v = suspect[w] = any(cases[(c := cell_of(t)) >> 3] >> (7 - (c & 7)) & 1 for t in tokens_in(w))
+                if v:
+                    return True
+            return False
+
         def whole(tokens: Counter) -> tuple[float, str]:
             """The single-byte chain that explains the field's tokens together best, with its gain."""
             total: Counter = Counter()
-            if not any(gain > 0.5 and not chain.endswith("utf-8") for t in tokens for gain, _, chain in look(t)[1][:3]):
+            if not any(gain > HINT and not chain.endswith("utf-8") for t in tokens for gain, _, chain in look(t)[1]):
                 return -math.inf, ""
             for t in tokens:
                 for gain, _, chain in look(t)[1]:
@@ -336,9 +403,9 @@ def judge(messages: DataFrame) -> DataFrame:
             ids = b.column("message_id").to_pylist()
             for name, texts in fields(b):
                 for i, t in zip(ids, texts):
-                    if not t or t.isascii():
+                    if not t or not any_suspect(words := words_of(t)):
                         continue
-                    tokens = Counter(TOKEN.findall(t))
+                    tokens = Counter(x for w in words for x in tokens_in(w))
                     fixed = {}
                     bad = False
                     for x in tokens:
@@ -357,7 +424,7 @@ def judge(messages: DataFrame) -> DataFrame:
             kinds = [pa.int64(), *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["message_id", "field_name", "text", "restored", "chains"])
 
-    return messages.select("message_id", "subject", "body").where("message_id is not null").mapInArrow(run, "message_id long, field_name string, text string, restored string, chains string")
+    return foreign(messages.where("message_id is not null"), "message_id").mapInArrow(run, "message_id long, field_name string, text string, restored string, chains string")
 
 
 def garbled_fields(messages: DataFrame) -> DataFrame:
