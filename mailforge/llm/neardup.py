@@ -1,15 +1,16 @@
 """Problem 3: near-duplicates with small edits, insertions or moved passages.
 
-1. Every text's words become hashes; equal word sequences are one node from here on (a 64-bit fingerprint), so copies never pair.
-2. The shingles of all texts are counted in a hashed table of fixed size.
-3. A text keeps the first n - ceil(t * n) + 1 of its n distinct shingles, rarest first. Two texts of similarity t share at least t times the
+1. Every text's words become hashes; equal word sequences are one node from here on (a 64-bit fingerprint), so copies never pair. The shingles of
+   all texts are counted in a hashed table of fixed size.
+2. A text keeps the first n - ceil(t * n) + 1 of its n distinct shingles, rarest first. Two texts of similarity t share at least t times the
    larger one's shingles, so their first common shingle in this order is kept by both (any order common to all texts will do, so hash collisions in
    the counts cost time, never links). Shingles counted once cannot meet and are dropped.
-4. Tiles: rows meeting in a shingle are compared when their sizes lie in the same band. Their places in the order bound the overlap: what passes
-   is compared, once per pair, by parity bitmaps of 256 to 4,096 bits: the bits in which two bitmaps differ are at most the shingles the texts do
-   not share. Rows of shingles in more than COLD texts carry their bitmaps and are linked in their tile; those of a task are reduced to stars.
-5. Components of these links are tiles again: their shingle sets come together once per distinct text, are compared by size band,
-   bitmap and exact sorted-array intersection, and give the classes.
+3. Tiles: texts meeting in a shingle are compared when their sizes lie in the same band. Their places in the order bound the overlap, then parity
+   bitmaps of 128 to 4,096 bits do: the bits in which two bitmaps differ are at most the shingles the texts do not share. A tile's links leave
+   it as stars. A shingle kept by more than RUN texts is dealt to sub-tiles, one for each two blocks of its texts, so no task compares more than
+   2 * RUN texts in one shingle.
+4. Components of these links are tiles again: their shingle sets come together once per distinct text, are compared by size band, bitmap and exact
+   sorted-array intersection, and give the classes. Components of more than TILE texts are dealt to sub-tiles by size band and two blocks.
 
 Defined results: null subjects and bodies are empty; texts under min_words words have no class, even when equal; repeated
 message_ids are one member; ties in size or hash do not matter; an empty table gives no rows; extra columns are ignored.
@@ -26,23 +27,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailforge.llm.components import components
-from mailforge.llm.words import distinct_by_text, fingerprints, grams, inside_text, text_of, word_hashes
+from mailforge.llm.words import distinct_by_text, fingerprints, grams, inside_text, mix, text_of, word_hashes
 from mailforge.session import cut
 
-#: Texts that hold a shingle, up to which all pairs of them are candidates; LEVEL is their level in the table of counts.
-COLD = 32
-LEVEL = round(16 * math.log2(COLD + 1))
-#: Rows left out at most because an equal text is elsewhere; more of them cost time only.
-COPIES = 1 << 22
-#: Bitmap widths in 64-bit words, and the distinct shingles from which the next one is used.
-WIDTHS, STEPS = (4, 16, 64), (120, 500)
-TOP = np.uint64((1 << 64) - 1)
+#: Texts of one shingle and of one component, from which they are dealt to sub-tiles; texts in a part of the shingles.
+RUN, TILE, PART = 2048, 8192, 50_000
+#: Bitmap widths in 64-bit words, and the distinct shingles up to which each but the last is used.
+WIDTHS, STEPS = (2, 4, 8, 16, 32, 64), (64, 128, 256, 512, 1024)
+#: Steps of the scale of counts for each doubling; the level of a count of one.
+SCALE = 8
+ONE = SCALE
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def signed_bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
+
+
 class Texts:
     """Hashed words of a batch, without the texts under min_words words."""
 
@@ -81,49 +85,60 @@ def bitmaps(text: np.ndarray, shingle: np.ndarray, n: int, words: int) -> np.nda
     return np.packbits(flips.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
 
 
-def packed_bitmaps(text: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Each text's bitmap in the width its size asks for."""
-    out: list[bytes] = [b""] * len(n)
-    kind = np.searchsorted(STEPS, n)
-    for c, words in enumerate(WIDTHS):
-        for block in np.array_split(own := np.flatnonzero(kind == c), len(own) * words // 20_000 + 1):
-            if len(block):
-                place = np.full(len(n), -1)
-                place[block] = np.arange(len(block))
-                sel = place[text] >= 0
-                for i, row in zip(block.tolist(), bitmaps(place[text[sel]], shingle[sel], len(block), words)):
-                    out[i] = row.tobytes()
-    return out
-
-
-class Maps:
-    """Bitmaps of the rows of a block; two rows are compared in the narrower one's width and below."""
-
-    def __init__(self, raw: list[bytes], n: np.ndarray):
-        self.n = n
-        size = np.array([len(r) // 8 for r in raw])
-        self.levels = []
-        for words in WIDTHS:
-            index = np.full(len(raw), -1)
-            rows = np.flatnonzero(size >= words)
-            index[rows] = np.arange(len(rows))
-            values = np.zeros((len(rows), words), np.uint64)
-            for wide in WIDTHS:
-                own = rows[size[rows] == wide]
-                if len(own):
-                    bits = np.frombuffer(b"".join([raw[i] for i in own.tolist()]), np.uint64).reshape(len(own), wide // words, words)
-                    values[index[own]] = np.bitwise_xor.reduce(bits, axis=1)
-            self.levels.append((index, values))
-
-    def near(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-        """Of the pairs (i, j), those that sizes and bitmaps allow to have similarity t."""
-        n1, n2 = self.n[i], self.n[j]
+class Bitmaps:
+    """The bitmaps of texts, each in the width its size n asks for: rows[c] holds those of kind c, at[i] is text i's row there."""
+
+    def __init__(self, n: np.ndarray, rows: list[np.ndarray]):
+        self.n, self.rows = n, rows
+        self.kind = np.searchsorted(STEPS, n)
+        self.at = np.zeros(len(n), np.int64)
+        for c in range(len(WIDTHS)):
+            own = np.flatnonzero(self.kind == c)
+            self.at[own] = np.arange(len(own))
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def of(cls, text: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> Bitmaps:
+        kind, rows = np.searchsorted(STEPS, n), []
+        for c, words in enumerate(WIDTHS):
+            own, out = np.flatnonzero(kind == c), [np.zeros((0, words), np.uint64)]
+            for block in np.array_split(own, len(own) * words // 20_000 + 1):
+                if len(block):
+                    place = np.full(len(n), -1)
+                    place[block] = np.arange(len(block))
+                    sel = place[text] >= 0
+                    out.append(bitmaps(place[text[sel]], shingle[sel], len(block), words))
+            rows.append(np.concatenate(out))
+        return cls(n, rows)
+
+    def take(self, texts: np.ndarray) -> Bitmaps:
+        return Bitmaps(self.n[texts], [r[self.at[texts[self.kind[texts] == c]]] for c, r in enumerate(self.rows)])
+
+    def level(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each text, rows) of the bitmaps of kind c and of wider ones folded to c."""
+        if c not in self.levels:
+            index, parts, base = np.zeros(len(self.n), np.int64), [], 0
+            for wide in range(c, len(WIDTHS)):
+                own = np.flatnonzero(self.kind == wide)
+                index[own] = base + np.arange(len(own))
+                base += len(own)
+                parts.append(np.bitwise_xor.reduce(self.rows[wide].reshape(len(own), WIDTHS[wide] // WIDTHS[c], WIDTHS[c]), axis=1))
+            self.levels[c] = index, np.concatenate(parts)
+        return self.levels[c]
+
+    def near(self, i: np.ndarray, other: Bitmaps, j: np.ndarray, t: float) -> np.ndarray:
+        """Of the pairs (i here, j in other), those that sizes and bitmaps allow to have similarity t."""
+        n1, n2 = self.n[i], other.n[j]
         ok = np.minimum(n1, n2) >= t * np.maximum(n1, n2) - 1e-9
-        most = (n1 + n2) * ((1 - t) / (1 + t)) + 1e-9
-        for index, values in self.levels:
-            at = np.flatnonzero(ok & (index[i] >= 0) & (index[j] >= 0))
-            for part in np.array_split(at, len(at) // 100_000 + 1):
-                ok[part] = np.bitwise_count(values[index[i[part]]] ^ values[index[j[part]]]).sum(-1) <= most[part]
+        kind = np.minimum(self.kind[i], other.kind[j])
+        for c in range(len(WIDTHS)):
+            at = np.flatnonzero(ok & (kind == c))
+            if not len(at):
+                continue
+            (x, left), (y, right) = self.level(c), other.level(c)
+            for part in np.array_split(at, len(at) * WIDTHS[c] // 500_000 + 1):
+                most = (n1[part] + n2[part]) * ((1 - t) / (1 + t)) + 1e-9
+                ok[part] = np.bitwise_count(left[x[i[part]]] ^ right[y[j[part]]]).sum(-1) <= most
         return ok
 
 
@@ -131,25 +146,16 @@ def source(messages: DataFrame) -> DataFrame:
     return messages.select("message_id", "subject", "body").where("message_id is not null")
 
 
-def first_copies(m: DataFrame) -> DataFrame:
-    """The source without rows whose text another row with a smaller message_id has too (COPIES of them at most)."""
-    text = F.xxhash64(F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit(""))))
-    t = m.select("message_id", text.alias("text"))
-    low = t.groupBy("text").agg(F.min("message_id").alias("low"), F.max("message_id").alias("high")).where("low < high").select("text", "low")
-    again = cut(t.join(low, "text").where("message_id > low").select(F.xxhash64("message_id", "text").alias("copy")).limit(COPIES))
-    return m.withColumn("copy", F.xxhash64("message_id", text)).join(F.broadcast(again), "copy", "left_anti").drop("copy")
-
-
 def counts_table(keys: DataFrame, bits: int) -> np.ndarray:
     """Counts of the column ``keys`` (top bits of 64-bit hashes, as binary batches of uint32) in a table of 2**bits cells, on a logarithmic
-    scale of one byte: 0 none, 16 exactly one. Its size depends on bits alone."""
+    scale of one byte: 0 none, ONE exactly one. Its size depends on bits alone."""
     low = min(bits, 16)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << low, np.int64)
         for i, c in zip(pdf["idx"], pdf["cnt"]):
             total[np.frombuffer(i, np.uint16)] += np.frombuffer(c, np.uint32)
-        level = np.minimum(255, np.round(16 * np.log2(total + 1.0))).astype(np.uint8)
+        level = np.minimum(255, np.round(SCALE * np.log2(total + 1.0))).astype(np.uint8)
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "level": [level.tobytes()]})
 
     rows = keys.groupBy("segment").applyInPandas(reduce, "segment int, level binary").collect()
@@ -184,98 +190,47 @@ def table_bits(n: int) -> int:
     return max(20, min(26, math.ceil(math.log2(32 * max(1, n)))))
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node) of each component of a task's links."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    root = np.arange(len(nodes))
+def union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root (each node's least node so far) after the links (a, b)."""
     while True:
-        low = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        while not np.array_equal(root, root[root]):
-            root = root[root]
-        if np.array_equal(before, root):
-            break
-    other = root != np.arange(len(nodes))
-    return nodes[other], nodes[root[other]]
-
-
-class Rows:
-    """Rows that stand for texts of Maps, several rows a text."""
-
-    def __init__(self, maps: Maps, of: np.ndarray):
-        self.maps, self.of, self.n = maps, of, maps.n[of]
-
-    def near(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-        return self.maps.near(self.of[i], self.of[j], t)
-
-
-def packed(part: np.ndarray, text: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(part, text, keys): the keys of each text that go to one part, in 7 bytes each with their place (a lower one, where it is too large, costs
-    time only)."""
-    order = np.lexsort((text, part))
-    part, text = part[order], text[order]
-    value = (key[order] >> np.uint64(24) << np.uint64(16)) | np.minimum(place[order], 0xFFFF).astype(np.uint64)
-    raw = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(text)), bool), (part[1:] != part[:-1]) | (text[1:] != text[:-1])]))
-    return part[start], text[start], [raw[7 * a : 7 * b] for a, b in zip(start.tolist(), [*start[1:].tolist(), len(text)])]
-
-
-def unpacked(raw: list[bytes], fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, place) of the packed keys of rows of texts fp, each text once a key, sorted by key."""
-    wide = np.zeros((sum(map(len, raw)) // 7, 8), np.uint8)
-    wide[:, :7] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 7)
-    value = wide.view("<u8").ravel()
-    row = np.repeat(np.arange(len(raw)), [len(r) // 7 for r in raw])
-    key, place = (value >> np.uint64(16)).astype(np.int64), (value & np.uint64(0xFFFF)).astype(np.int64)
-    order = np.lexsort((fp[row], key))
-    key, row, place = key[order], row[order], place[order]
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (fp[row[1:]] != fp[row[:-1]])
-    return key[keep], row[keep], place[keep]
-
-
-SMALL_RUN = 64
-
-
-def links_of_runs(key: np.ndarray, fp: np.ndarray, maps: Maps, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal key (sorted by key)."""
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(start, len(key)))
-    of = np.repeat(size, size)
-    a, b = [], []
-    small = np.flatnonzero((of > 1) & (of <= SMALL_RUN))
-    for d in range(1, SMALL_RUN):
-        small = small[small + d < len(key)]
-        small = small[key[small] == key[small + d]]
-        if not len(small):
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, higher := root[root]):
+            root = higher
+
+
+def links_of_runs(key: np.ndarray, text: np.ndarray, place: np.ndarray, maps: Bitmaps, t: float) -> np.ndarray:
+    """root of each text after linking the texts of equal keys (rows sorted by key, then size) that places, sizes and bitmaps allow to be similar.
+
+    At their first common key both texts have all common ones still to come. place counts in 256ths of a text, rounded down.
+    """
+    n = maps.n[text]
+    rest = n - (place.astype(np.int64) * n >> 8)
+    root = np.arange(len(maps.n))
+    i, d, held = np.arange(len(key)), 0, []
+    while True:
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        n1 = n[i]
+        i = i[n1 >= t * n[i + d] - 1e-9]  # sizes grow in a run: too large once is too large for good
+        if not len(i):
             break
-        ok = maps.near(small, small + d, t)
-        a.append(fp[small[ok]])
-        b.append(fp[small[ok] + d])
-    for s, m in zip(start[size > SMALL_RUN], size[size > SMALL_RUN]):
-        rows = np.argsort(maps.n[s : s + m], kind="stable") + s
-        # rows of one class are not compared with each other; the size band ends each row's comparisons
-        root, n, parts = np.arange(m), maps.n[rows], m
-        for i in range(m):
-            if parts == 1:
-                break
-            j = np.arange(i + 1, np.searchsorted(n, n[i] / t + 1e-9, "right"))
-            j = j[root[j] != root[i]]
-            if not len(j):
-                continue
-            j = j[maps.near(np.full(len(j), rows[i]), rows[j], t)]
-            if len(j):
-                a.append(np.full(len(j), fp[rows[i]]))
-                b.append(fp[rows[j]])
-                joined = np.unique(root[j])
-                root[np.isin(root, joined)] = root[i]
-                parts -= len(joined)
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return stars(np.concatenate(a), np.concatenate(b))
+        for part in np.array_split(i, len(i) // 500_000 + 1):
+            a, b = text[part], text[part + d]
+            ok = (np.minimum(rest[part], rest[part + d]) >= (n[part] + n[part + d]) * (t / (1 + t)) - 1e-9) & (root[a] != root[b])
+            a, b = a[ok], b[ok]
+            ok = maps.near(a, maps, b, t)
+            if ok.any():
+                held.append((a[ok], b[ok]))
+        if held and (d & (d - 1) == 0 or sum(len(a) for a, _ in held) > 2000):
+            root = union(root, *map(np.concatenate, zip(*held)))
+            held = []
+    return union(root, *map(np.concatenate, zip(*held))) if held else root
 
 
 def by_runs(batches, column: str):
@@ -299,47 +254,42 @@ def by_runs(batches, column: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def prefixes(text: np.ndarray, shingle: np.ndarray, n: np.ndarray, level: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(text: np.ndarray, shingle: np.ndarray, n: np.ndarray, level: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
     """(text, shingle, place, level) of the shingles, rarest first, of which two texts of similarity t share one, without those counted once."""
     order = np.lexsort((shingle, level, text))
     text, shingle, level = text[order], shingle[order], level[order]
     place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    keep = (place <= (n - np.ceil(t * n - 1e-9).astype(np.int64))[text]) & (level > 16)
-    return text[keep], shingle[keep], place[keep], level[keep]
+    keep = (place <= (n - np.ceil(t * n - 1e-9).astype(np.int64))[text]) & (level > ONE)
+    return text[keep], shingle[keep], place[keep] * 256 // n[text[keep]], level[keep]
+
+
+def sub_tiles(text: np.ndarray, key: np.ndarray, place: np.ndarray, level: np.ndarray, fp: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
+    """(text, key, place) with each key of more than run texts dealt to one key for each two blocks of its texts."""
+    blocks = np.ceil((2.0 ** ((level + 0.5) / SCALE) - 1) / run).astype(np.int64)
+    many = np.flatnonzero(blocks > 1)
+    if not len(many):
+        return text, key, place
+    at = np.repeat(many, blocks[many])
+    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks[many]) - blocks[many], blocks[many])
+    own = (mix(fp[text[at]].view(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+    dealt = mix(key[at] + mix(low * np.uint64(1 << 32) + high + np.uint64(1)))
+    rest = np.flatnonzero(blocks <= 1)
+    return np.concatenate([text[rest], text[at]]), np.concatenate([key[rest], dealt]), np.concatenate([place[rest], place[at]])
+
+
+def slices(batches, rows: int = 10_000):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def pairs_of_runs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs among rows of equal key (sorted by key) whose sizes and places allow similarity t. At their first common shingle both texts
-    have all common ones still to come."""
-    rest = n - place
-    i, d, a, b = np.arange(len(key)), 0, [], []
-    while True:
-        d += 1
-        i = i[i + d < len(key)]
-        i = i[key[i] == key[i + d]]
-        if not len(i):
-            break
-        n1, n2 = n[i], n[i + d]
-        ok = (np.minimum(n1, n2) >= t * np.maximum(n1, n2) - 1e-9) & (np.minimum(rest[i], rest[i + d]) >= (n1 + n2) * (t / (1 + t)) - 1e-9)
-        a.append(fp[i[ok]])
-        b.append(fp[i[ok] + d])
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(a), np.concatenate(b)
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return low[new], high[new]
-
-
-def links(messages: DataFrame, t: float, k: int, min_words: int) -> DataFrame:
-    """(a, b): links between fingerprints whose sizes and bitmaps allow similarity t, those of frequent shingles reduced to stars per task."""
-    spark = messages.sparkSession
-    m = first_copies(source(messages))
-    bits = table_bits(m.count())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def links(m: DataFrame, t: float, k: int, min_words: int, run: int = RUN) -> DataFrame:
+    """(a, b, is_link): links, as stars, between fingerprints whose sizes and bitmaps allow similarity t; and each message_id with its fingerprint."""
+    spark = m.sparkSession
+    texts = m.count()
+    bits = table_bits(texts)
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(texts / PART))
 
     def count(batches):
         found, seen = [], set()
@@ -353,172 +303,206 @@ def links(messages: DataFrame, t: float, k: int, min_words: int) -> DataFrame:
     level = spark.sparkContext.broadcast(counts_table(m.mapInArrow(count, SPARSE), bits))  # 2**bits bytes
 
     def rows(batches):
-        """A text has a row for each part with the keys that go there, and another with its bitmap for those of frequent shingles; texts with
-        keys of the first kind have one row without keys, but with the bitmap."""
+        """For each batch and part of the shingles one row, with the texts that have keys there, their bitmaps, and the keys; for each batch one
+        more with its ids (as keys) and fingerprints."""
         seen: set = set()
-        for batch in batches:
+        for number, batch in enumerate(slices(batches)):
             x = Texts(batch, min_words)
-            x.unseen(seen)
             if not len(x.fp):
                 continue
+            out = [((number + int(x.fp[0])) % parts, signed_bytes(x.fp), None, None, signed_bytes(x.id.astype(np.int64)), None, None)]
+            x.unseen(seen)
             st, sv = x.shingles(k)
             n = np.bincount(st, minlength=len(x.fp))
-            raw = pa.array(packed_bitmaps(st, sv, n), pa.binary())
-            text, shingle, place, lv = prefixes(st, sv, n, level.value[sv >> np.uint64(64 - bits)], t)
-            cold = lv <= LEVEL
-            part = (shingle % np.uint64(parts)).astype(np.int64)
-            out = [packed(part[own], text[own], shingle[own], place[own]) for own in (cold, ~cold)]
-            own = np.unique(text[cold])
-            none = np.zeros(len(own), bool)
-            p, text = np.concatenate([out[0][0], out[1][0], x.fp[own] % parts]), np.concatenate([out[0][1], out[1][1], own])
-            keys = pa.array([*out[0][2], *out[1][2], *[None] * len(own)], pa.binary())
-            bm = raw.take(pa.array(text, mask=np.concatenate([np.ones(len(out[0][0]), bool), np.zeros(len(out[1][0]), bool), none])))
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(x.fp[text]), pa.array(n[text]), keys, bm], ["part", "fp", "n", "keys", "bm"])
+            maps = Bitmaps.of(st, sv, n)
+            text, key, place = sub_tiles(*prefixes(st, sv, n, level.value[sv >> np.uint64(64 - bits)], t), x.fp, run)
+            part = (key % np.uint64(parts)).astype(np.int64)
+            short = (mix(key) >> np.uint64(32)).astype(np.uint32)  # keys of one part; chance equality costs time only
+            order = np.lexsort((maps.kind[text], part))
+            text, part, short, place = text[order], part[order], short[order], place[order].astype(np.uint8)
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[p], edges[p + 1])
+                there = np.unique(text[own])
+                there = there[np.argsort(maps.kind[there], kind="stable")]
+                index = np.zeros(len(n), np.uint16)
+                index[there] = np.arange(len(there))
+                bm = b"".join(signed_bytes(r) for r in maps.take(there).rows)
+                out.append((p, signed_bytes(x.fp[there]), signed_bytes(n[there].astype(np.int32)), bm, signed_bytes(short[own]), signed_bytes(index[text[own]]), signed_bytes(place[own])))
+            columns = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "fp", "n", "bm", "key", "text", "place"])
+
+    def out(a: np.ndarray, b: np.ndarray, is_link: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), is_link))], ["a", "b", "is_link"])
 
     def tiles(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        fps, sizes, rows, keys, texts, places, base = [], [], [[] for _ in WIDTHS], [], [], [], 0
+        for b in batches:
+            for raw_fp, raw_n, raw_bm, raw_key, raw_text, raw_place in zip(*[b.column(c).to_pylist() for c in ("fp", "n", "bm", "key", "text", "place")]):
+                if raw_n is None:
+                    yield out(np.frombuffer(raw_key, np.int64), np.frombuffer(raw_fp, np.int64), False)
+                    continue
+                fps.append(np.frombuffer(raw_fp, np.int64))
+                sizes.append(np.frombuffer(raw_n, np.int32).astype(np.int64))
+                at = 0
+                for c, m in enumerate(np.bincount(np.searchsorted(STEPS, sizes[-1]), minlength=len(WIDTHS)).tolist()):
+                    rows[c].append(np.frombuffer(raw_bm, np.uint64, m * WIDTHS[c], at).reshape(m, WIDTHS[c]))
+                    at += 8 * m * WIDTHS[c]
+                keys.append(np.frombuffer(raw_key, np.uint32))
+                texts.append(np.frombuffer(raw_text, np.uint16).astype(np.int64) + base)
+                places.append(np.frombuffer(raw_place, np.uint8))
+                base += len(fps[-1])
+        if not fps:
             return
-        whole = pa.Table.from_batches(held)
-        has_keys, has_bm = whole.column("keys").is_valid().to_numpy(), whole.column("bm").is_valid().to_numpy()
-        for block in whole.filter(pa.array(~has_keys)).to_batches():
-            yield pa.RecordBatch.from_arrays([block.column("fp"), pa.nulls(block.num_rows, pa.int64()), block.column("n"), block.column("bm")], ["a", "b", "n", "bm"])
-        for hot in (False, True):
-            block = whole.filter(pa.array(has_keys & (has_bm == hot)))
-            if not block.num_rows:
-                continue
-            fp, n = block.column("fp").to_numpy(), block.column("n").to_numpy()
-            key, row, place = unpacked(block.column("keys").to_pylist(), fp)
-            if hot:
-                a, b = links_of_runs(key, fp[row], Rows(Maps(block.column("bm").to_pylist(), n), row), t)
-            else:
-                a, b = pairs_of_runs(key, fp[row], n[row], place, t)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), 0 if hot else -1)), pa.nulls(len(a), pa.binary())], ["a", "b", "n", "bm"])
-
-    def heads(key: np.ndarray) -> np.ndarray:
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return np.repeat(start, np.diff(np.append(start, len(key))))
-
-    def attach(batches):
-        """Each pair once, by b and with a's size and bitmap; rows of texts and links as they are."""
-        for block in by_runs(batches, "a"):
-            a, n, text = block.column("a").to_numpy(), block.column("n").to_numpy(), block.column("b").is_null().to_numpy()
-            b = block.column("b").fill_null(0).to_numpy()
-            keep = np.ones(len(a), bool)
-            keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])
-            own = np.flatnonzero(keep | text)
-            of = np.where(n < 0, heads(a), np.arange(len(a)))[own]
-            key, a = pa.array(np.where(text, a, b)[own]), pa.array(a[own], mask=text[own])
-            yield pa.RecordBatch.from_arrays([key, a, pa.array(n[of]), block.column("bm").take(pa.array(of)).combine_chunks()], ["key", "a", "n", "bm"])
-
-    def check(batches):
-        for block in by_runs(batches, "key"):
-            key, n, text = block.column("key").to_numpy(), block.column("n").to_numpy(), block.column("a").is_null().to_numpy()
-            a, of = block.column("a").fill_null(0).to_numpy(), heads(key)
-            own = np.flatnonzero(~text & (n > 0))
-            used, place = np.unique(np.concatenate([own, of[own]]), return_inverse=True)
-            maps = Maps(block.column("bm").take(pa.array(used)).to_pylist(), n[used])
-            own = np.concatenate([own[maps.near(place[: len(own)], place[len(own) :], t)], np.flatnonzero(~text & (n == 0))])
-            yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(key[own])], ["a", "b"])
-
-    met = m.mapInArrow(rows, "part int, fp long, n long, keys binary, bm binary").repartitionById(parts, "part")
-    found = met.mapInArrow(tiles, "a long, b long, n long, bm binary").repartition("a").sortWithinPartitions("a", "b", "n")
-    pairs = found.mapInArrow(attach, "key long, a long, n long, bm binary").repartition("key").sortWithinPartitions("key", "a")
-    return pairs.mapInArrow(check, "a long, b long")
-
-
-def classes_of_tile(fp: np.ndarray, sets: list[np.ndarray], t: float) -> np.ndarray:
-    """Root index of each text of a tile: size band, bitmap bound, exact intersection of sorted arrays."""
-    m = len(sets)
-    n = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(n, kind="stable")
-    n, sets = n[order], [sets[i] for i in order]
-    text = np.repeat(np.arange(m), n)
-    words = 1 << max(0, math.ceil(math.log2(max(1, int(n[-1]) / 16))))
-    bm = bitmaps(text, np.concatenate(sets) << np.uint64(24), m, words)
-    share = (1 - t) / (1 + t)
-    root = np.arange(m)
-    parts = m
-    for i in range(m):
-        if parts == 1:
-            break
-        end = int(np.searchsorted(n, n[i] / t + 1e-9, "right"))
-        j = np.arange(i + 1, end)
-        j = j[root[j] != root[i]]
-        if not len(j):
-            continue
-        met = []
-        for c in j[np.bitwise_count(bm[i] ^ bm[j]).sum(-1) <= (n[i] + n[j]) * share + 1e-9].tolist():
-            both = len(np.intersect1d(sets[i], sets[c], assume_unique=True))
-            if both >= t * (n[i] + n[c] - both):
-                met.append(c)
-        if met:
-            joined = np.unique(root[met])
-            root[np.isin(root, joined)] = root[i]
-            parts -= len(joined)
-    out = np.empty(m, np.int64)
-    out[order] = order[root]
-    return out
-
-
-def near_duplicates(messages: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 1) -> DataFrame:
+        fp, at, text = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)
+        maps = Bitmaps(np.concatenate(sizes), [np.concatenate(r) for r in rows]).take(at)
+        key, text, place = np.concatenate(keys), text[np.concatenate(texts)], np.concatenate(places)
+        order = np.lexsort((place, text, maps.n[text], key))  # of keys equal by chance the lower place counts
+        key, text, place = key[order], text[order], place[order]
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        root = links_of_runs(key[keep], text[keep], place[keep], maps, t)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        yield out(fp[moved], fp[root[moved]], True)
+
+    schema = "part int, fp binary, n binary, bm binary, key binary, text binary, place binary"
+    return m.mapInArrow(rows, schema).repartitionById(parts, "part").mapInArrow(tiles, "a long, b long, is_link boolean")
+
+
+class Sets:
+    """Shingle sets of texts, 40 bits a shingle, one after another: n[i] sorted values from start[i] on."""
+
+    def __init__(self, n: np.ndarray, value: np.ndarray):
+        self.n, self.value, self.start = n, value, np.cumsum(n) - n
+
+    @classmethod
+    def unpack(cls, raw: list[bytes]) -> Sets:
+        n = np.array([len(r) // 5 for r in raw], np.int64)
+        wide = np.zeros((int(n.sum()), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+        return cls(n, wide.view("<u8").ravel())
+
+    @classmethod
+    def of(cls, text: np.ndarray, shingle: np.ndarray, texts: int) -> Sets:
+        """Of 64-bit shingles of texts, distinct or not."""
+        text, value = distinct_by_text(text, shingle >> np.uint64(24))
+        return cls(np.bincount(text, minlength=texts), value)
+
+    def pack(self) -> list[bytes]:
+        packed = np.ascontiguousarray(self.value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+        return [packed[5 * a : 5 * (a + n)] for a, n in zip(self.start.tolist(), self.n.tolist())]
+
+    def maps(self) -> Bitmaps:
+        return Bitmaps.of(np.repeat(np.arange(len(self.n)), self.n), self.value << np.uint64(24), self.n)
+
+    def gather(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into texts, value) of all values of the texts."""
+        size = self.n[texts]
+        at = np.repeat(self.start[texts] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.repeat(np.arange(len(texts)), size), self.value[at]
+
+    def common(self, a: np.ndarray, other: Sets, b: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the pairs' sorted sets."""
+        out = np.zeros(len(a), np.int64)
+        for block in blocks_of(self.n[a] + other.n[b]):
+            keys = [pair.astype(np.uint64) << np.uint64(40) | value for pair, value in (self.gather(a[block]), other.gather(b[block]))]
+            both = np.concatenate(keys)
+            both.sort(kind="stable")
+            out[block] = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(block))
+        return out
+
+
+def blocks_of(size: np.ndarray, most: int = 1_000_000) -> list[np.ndarray]:
+    """Indexes in blocks whose sizes sum to about most."""
+    if not len(size):
+        return []
+    total = np.cumsum(size)
+    return [x for x in np.split(np.arange(len(size)), np.searchsorted(total, np.arange(most, int(total[-1]) + 1, most))) if len(x)]
+
+
+def classes_of_tiles(tile: np.ndarray, sets: Sets, t: float) -> np.ndarray:
+    """Root index of each text among those of its tile: size band, bitmap bound, exact intersection of sorted arrays."""
+    maps = sets.maps()
+    order = np.lexsort((sets.n, tile))
+    group, n = tile[order], sets.n[order]
+    root, i, d = np.arange(len(tile)), np.arange(len(tile)), 0
+    while True:
+        d += 1
+        i = i[i + d < len(group)]
+        i = i[(group[i] == group[i + d]) & (n[i] >= t * n[i + d] - 1e-9)]
+        if not len(i):
+            return root
+        a, b = order[i], order[i + d]
+        ok = root[a] != root[b]
+        a, b = a[ok], b[ok]
+        ok = maps.near(a, maps, b, t)
+        a, b = a[ok], b[ok]
+        both = sets.common(a, sets, b)
+        ok = both >= t * (sets.n[a] + sets.n[b] - both)
+        if ok.any():
+            root = union(root, a[ok], b[ok])
+
+
+def sub_tiles_of(held: DataFrame, t: float, tile: int) -> DataFrame:
+    """(tile, fp, shingles) of components of more than tile texts: one sub-tile for each two blocks of a size band or of two neighbouring ones."""
+    g = F.ceil(F.col("size") / F.lit(tile)).cast("int")
+    band = F.floor(F.log(F.greatest(F.length("shingles") / 5, F.lit(1.0))) / F.lit(math.log(1 / t))).cast("int")
+    h = held.withColumn("g", g).withColumn("band", band).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("g") - 1)
+    same = F.transform(every, lambda j: F.xxhash64("component", "band", F.lit(0), F.least("own", j), F.greatest("own", j)))
+    up = F.transform(every, lambda j: F.xxhash64("component", "band", F.lit(1), F.col("own"), j))
+    down = F.transform(every, lambda j: F.xxhash64("component", F.col("band") - 1, F.lit(1), j, F.col("own")))
+    return h.select(F.explode(F.concat(same, up, down)).alias("tile"), "fp", "shingles")
+
+
+def near_duplicates(messages: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 1, run: int = RUN, tile: int = TILE) -> DataFrame:
     """(message_id, class_id): class_id is the least message_id of the class; only members of classes of two or more."""
     spark = messages.sparkSession
     m = source(messages)
     min_words = max(min_words, shingle_words)
-    labels = cut(components(links(messages, threshold, shingle_words, min_words)))
-    bits = 24
+    met = cut(links(m, threshold, shingle_words, min_words, run))
+    members = met.where("not is_link").select(F.col("a").alias("message_id"), F.col("b").alias("fp"))
+    copies = members.groupBy("fp").agg(F.min("message_id").alias("low"), F.max("message_id").alias("high"))
+    labels = components(met.where("is_link").select("a", "b"))
+    nodes = cut(copies.join(labels.withColumnRenamed("node", "fp"), "fp", "left"))
+    marks = 24
 
     def mark(batches):
-        yield sparse_counts([b.column("node").to_numpy().view(np.uint64) for b in batches], bits)
+        yield sparse_counts([mix(b.column("low").to_numpy().view(np.uint64)) for b in batches], marks)
 
-    wanted = spark.sparkContext.broadcast(np.packbits(counts_table(labels.select("node").mapInArrow(mark, SPARSE), bits) > 0))  # 2 MB
+    wanted = spark.sparkContext.broadcast(np.packbits(counts_table(nodes.where("component is not null").select("low").mapInArrow(mark, SPARSE), marks) > 0))  # 2 MB
 
     def sets(batches):
-        seen: set = set()
         for batch in batches:
-            x = Texts(batch, min_words)
-            cell = x.fp.view(np.uint64) >> np.uint64(64 - bits)
-            x.only((wanted.value[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7))).astype(np.uint8) & 1).astype(bool))
-            x.unseen(seen)
+            cell = mix(batch.column("message_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - marks)
+            x = Texts(batch.filter(pa.array((wanted.value[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7))).astype(np.uint8) & 1).astype(bool))), min_words)
             if not len(x.fp):
                 continue
-            text, sh = x.shingles(shingle_words)
-            text, sh = distinct_by_text(text, sh >> np.uint64(24))  # 40 bits
-            ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(x.fp)))])
-            packed = np.ascontiguousarray(sh.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(x.fp), pa.array([packed[5 * a : 5 * b] for a, b in zip(ends, ends[1:])], pa.binary())], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.id, pa.int64()), pa.array(x.fp), pa.array(Sets.of(*x.shingles(shingle_words), len(x.fp)).pack(), pa.binary())], ["low", "fp", "shingles"])
 
     def verify(batches):
-        for block in by_runs(batches, "component"):
-            comp, fp, raw = block.column("component").to_numpy(), block.column("fp").to_numpy(), block.column("shingles").to_pylist()
+        for block in by_runs(batches, "tile"):
+            group, fp, raw = block.column("tile").to_numpy(), block.column("fp").to_numpy(), block.column("shingles").to_pylist()
             keep = np.ones(len(fp), bool)
-            keep[1:] = (comp[1:] != comp[:-1]) | (fp[1:] != fp[:-1])
-            comp, fp, raw = comp[keep], fp[keep], [r for r, k in zip(raw, keep) if k]
-            start = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]]))
-            roots = np.empty(len(fp), np.int64)
-            for a, b in zip(start, np.append(start[1:], len(fp))):
-                own = []
-                for r in raw[a:b]:
-                    wide = np.zeros((len(r) // 5, 8), np.uint8)
-                    wide[:, :5] = np.frombuffer(r, np.uint8).reshape(-1, 5)
-                    own.append(wide.view("<u8").ravel())
-                roots[a:b] = fp[a:b][classes_of_tile(fp[a:b], own, threshold)]
-            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(roots)], ["fp", "root"])
-
-    held = m.mapInArrow(sets, "fp long, shingles binary").join(labels.withColumnRenamed("node", "fp"), "fp").select("component", "fp", "shingles")
-    roots = held.repartition("component").sortWithinPartitions("component", "fp").mapInArrow(verify, "fp long, root long")
-
-    def ids(batches):
-        for batch in batches:
-            x = Texts(batch, min_words)
-            yield pa.RecordBatch.from_arrays([pa.array(x.id, pa.int64()), pa.array(x.fp)], ["message_id", "fp"])
-
-    members = m.mapInArrow(ids, "message_id long, fp long")
-    nodes = members.groupBy("fp").agg(F.min("message_id").alias("low"), F.max("message_id").alias("high"))
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = nodes.groupBy("root").agg(F.min("low").alias("class_id"), F.max("high").alias("high")).where("class_id <> high").select("root", "class_id")
-    node_class = nodes.select("fp", "root").join(whole, "root").select("fp", "class_id")
+            keep[1:] = (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])
+            group, fp, raw = group[keep], fp[keep], [r for r, k in zip(raw, keep) if k]
+            root = classes_of_tiles(group, Sets.unpack(raw), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(fp[root])], ["fp", "root"])
+
+    sized = nodes.where("component is not null").groupBy("component").agg(F.count("*").alias("size"))
+    large = cut(sized.where(F.col("size") > tile))
+    chosen = nodes.where("component is not null").select("low", "fp", "component")
+    held = m.mapInArrow(sets, "low long, fp long, shingles binary").join(chosen, ["low", "fp"])
+    exact = lambda x: x.repartition("tile").sortWithinPartitions("tile", "fp").mapInArrow(verify, "fp long, root long")
+    if large.isEmpty():
+        roots = exact(held.select(F.col("component").alias("tile"), "fp", "shingles"))
+    else:
+        small = held.join(large.select("component"), "component", "left_anti")
+        stars = exact(sub_tiles_of(held.join(large, "component"), threshold, tile))
+        roots = exact(small.select(F.col("component").alias("tile"), "fp", "shingles")).unionByName(components(stars.toDF("a", "b")).toDF("fp", "root"))
+    rooted = nodes.select("fp", "low", "high").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    whole = rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.max("high").alias("high")).where("class_id <> high").select("root", "class_id")
+    node_class = rooted.select("fp", "root").join(whole, "root").select("fp", "class_id")
     return members.join(node_class, "fp").select("message_id", "class_id").distinct()
 
 

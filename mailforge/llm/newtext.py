@@ -219,7 +219,7 @@ def features(bodies: list[str], senders: list[str | None], level: np.ndarray):
     h, bounds = word_hashes(texts)
     g, ok = grams(h, 6), inside_text(bounds, 6)
     which = text_of(bounds, len(g))[ok]
-    met = level[mix(g[ok] + np.uint64(3)) >> shift] > 20
+    met = level[mix(g[ok] + np.uint64(3)) >> shift] > 10
     ancestor = np.bincount(which, met, len(rows)) / np.maximum(1, np.bincount(which, minlength=len(rows)))
     flat = np.array([k for block in keys for pair in block for k in pair], np.uint64)
     seen = level[mix(flat) >> shift].astype(float).reshape(-1, 2)
