@@ -1,17 +1,19 @@
 """Problem 7: same or near-same records across splits.
 
 The evaluation texts are dealt into shards of bounded size. For each shard a full-text index over words is built: suffixes sorted by
-their first GRAM words, the symbol before each suffix, and for each symbol the positions where it stands there (a Burrows-Wheeler
-index in which one search step is one binary search). Training texts stream through the index: GRAM-word seeds are looked up by
-backward search, found seeds on one diagonal merge into maximal matches, and their spans are counted per pair. A training text
-keeps its rarest seeds only: a pair that shares at least PHI of them must meet in one of these. Pairs that sizes and bitmaps allow
-are checked on whole shingle sets.
+their first k words, the symbol before each suffix, and for each symbol the positions where it stands there (a Burrows-Wheeler
+index in which one search step is one binary search). Training texts stream through the index: the k-word shingles of each are looked up by
+backward search, which also counts where each stands in the shard. In the order of these counts, rarest first, a text of n distinct shingles must
+meet each text of similarity t in one of its first n - ceil(t * n) + 1, so only these are expanded to the evaluation texts they stand in; the place
+of the first met one bounds what a pair shares, then bitmaps do, then whole shingle sets decide. For the pairs that remain, adjacent matched
+shingles merge into maximal spans of the training text, which are counted with their words.
 
 Training rows are dealt over tasks by hash and copied per shard, evaluation rows per task group, so tasks have even sizes whatever a source
 or group of copies holds; bodies equal when written together are found by an equi-join of digests.
 
 Defined results: null, empty and wordless bodies have no case; split names count without outer blanks and in any case; rows in no
-split or with a blank split name are left out; rows listed twice count once; extra columns are ignored; empty tables give no rows.
+split or with a blank split name are left out; rows listed twice count once; extra columns are ignored; empty tables give no rows. Pairs equal only
+when written together have no spans.
 """
 
 from __future__ import annotations
@@ -23,48 +25,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailforge.functions.sources import canonical_source
 from mailforge.llm.formatting import leaf
-from mailforge.llm.neardup import Maps, packed_bitmaps
-from mailforge.llm.words import distinct_by_text, grams, inside_text, text_of, word_hashes
+from mailforge.llm.neardup import Sets, blocks_of
+from mailforge.llm.words import fingerprints, grams, inside_text, text_of, word_hashes
 
-GRAM, STRIDE, SHORT, PHI = 6, 3, 60, 0.15
-#: Characters of evaluation text in one index.
-SHARD_CHARS = 48_000_000
+#: Characters of evaluation text in one index; hits expanded at once.
+SHARD_CHARS, HITS = 48_000_000, 4_000_000
 
 
 class Index:
-    """Word-level index of many texts for backward search of patterns of up to GRAM words."""
+    """Word-level index of many texts for backward search of patterns of k words."""
 
-    def __init__(self, h: np.ndarray, bounds: np.ndarray):
+    def __init__(self, h: np.ndarray, bounds: np.ndarray, k: int):
+        self.k = k
         self.words, ids = np.unique(h, return_inverse=True)
         n, docs = len(h), len(bounds) - 1
         at = np.arange(n) + np.repeat(np.arange(docs), np.diff(bounds))  # a separator, symbol 0, ends each text
         self.size = n + docs
-        text = np.zeros(self.size + GRAM, np.int32)
+        text = np.zeros(self.size + k, np.int32)
         text[at] = ids + 1
         self.doc = np.zeros(self.size, np.int32)
         self.doc[at] = np.repeat(np.arange(docs, dtype=np.int32), np.diff(bounds))
         del at, ids
 
-        def pair(a, b):
-            key = a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b
+        def code(a, b):
+            return a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b
+
+        rank, width = text, 1
+        while 2 * width <= k:  # ranks of width words from each position on
+            key = code(rank[:-width], rank[width:])
             order = np.argsort(key, kind="stable")
             key = key[order]
             rank = np.empty(len(key), np.int32)
             rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]), dtype=np.int32)
-            return rank
-
-        two = pair(text[:-1], text[1:])
-        key = pair(two[:-2], two[2:])[: self.size].astype(np.int64) * (int(two.max()) + 1)
-        key += two[4 : self.size + 4]
-        self.suffix = np.argsort(key, kind="stable").astype(np.int32)
-        del two, key
+            width *= 2
+        rest = k - width
+        self.suffix = np.argsort(code(rank[: self.size], rank[rest : rest + self.size]), kind="stable").astype(np.int32)
+        del rank
         before = text[self.suffix - 1]
         before[self.suffix == 0] = 0
         del text
         order = np.argsort(before, kind="stable")
         self.span = self.size + 1
         self.steps = before[order].astype(np.int64) * self.span + order
+        self.first = np.searchsorted(self.steps, np.arange(len(self.words) + 2) * self.span)
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """Symbol of each word; -1 for words that are not in the index."""
@@ -72,114 +77,117 @@ class Index:
         i[i == len(self.words)] = 0
         return np.where(self.words[i] == h, i + 1, -1) if len(self.words) else np.full(len(h), -1)
 
-    def search(self, symbols: np.ndarray, start: np.ndarray, length: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix interval [low, high) of the length words from each start on, by backward steps; empty ones drop out on the way."""
-        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.size)
-        live = np.arange(len(start))
-        a, b = low.copy(), high.copy()
-        for back in range(length - 1, -1, -1):
+    def search(self, symbols: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix interval [low, high) of the k words from each start on, by backward steps; empty ones drop out on the way."""
+        low, high = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        c = symbols[start + self.k - 1]
+        live = np.flatnonzero(c > 0)
+        c = c[live]
+        a, b = self.first[c], self.first[c + 1]
+        for back in range(self.k - 2, -1, -1):
             c = symbols[start[live] + back]
             known = c > 0
             live, c = live[known], c[known] * self.span
             a, b = np.searchsorted(self.steps, c + a[known]), np.searchsorted(self.steps, c + b[known])
             some = b > a
             live, a, b = live[some], a[some], b[some]
-        low[:], high[:] = 0, 0
         low[live], high[live] = a, b
         return low, high
 
 
-def seeds(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, position) of the seeds: each position of a short text, every STRIDE-th of a long one."""
-    ok = inside_text(bounds, GRAM)
-    text = text_of(bounds, len(ok))
-    place = np.arange(len(ok)) - bounds[text]
-    ok &= (np.diff(bounds)[text] < SHORT) | (place % STRIDE == 0)
-    return text[ok], np.flatnonzero(ok)
-
-
-def rarest(text: np.ndarray, hits: np.ndarray, n: int) -> np.ndarray:
-    """Which seeds lie in the rarest part of their text that no pair sharing PHI of its seeds can miss."""
-    order = np.lexsort((hits, text))
-    per = np.bincount(text, minlength=n)
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    return rank < (per - np.maximum(1, np.ceil(PHI * per)).astype(np.int64) + 1)[text]
-
-
-class Shard:
-    """Index and shingle sets of a shard's texts."""
+class Batch:
+    """Distinct texts of min_words words or more: hashed words, positions and shingle sets; members[i] are the ids of text i."""
 
-    def __init__(self, ids: list[int], bodies: list[str], k: int, min_words: int):
+    def __init__(self, ids: np.ndarray, bodies: list[str], k: int, min_words: int):
         h, bounds = word_hashes(bodies)
-        keep = np.diff(bounds) >= min_words
-        self.id = np.array(ids, np.int64)[keep]
-        h = h[np.repeat(keep, np.diff(bounds))]
-        bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[keep])])
-        self.index = Index(h, bounds) if len(self.id) else None
-        self.sets, self.maps = shingle_sets(h, bounds, k)
-
-
-def shingle_sets(h, bounds, k):
-    ok = inside_text(bounds, k)
-    text, value = distinct_by_text(text_of(bounds, len(ok))[ok], grams(h, k)[ok])
-    n = np.bincount(text, minlength=len(bounds) - 1)
-    ends = np.concatenate([[0], np.cumsum(n)])
-    return (value, ends), (packed_bitmaps(text, value, n), n)
-
-
-def matches(shard: Shard, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(training text, evaluation text, spans, words): maximal matches of the kept seeds, merged and counted per pair."""
-    text, start = seeds(bounds)
-    low, high = shard.index.search(shard.index.symbols(h), start)
-    hits = high - low
-    keep = rarest(text, hits, len(bounds) - 1) & (hits > 0)
-    text, start, low, hits = text[keep], start[keep], low[keep], hits[keep]
-    which = np.repeat(np.arange(len(text)), hits)
-    place = shard.index.suffix[np.repeat(low - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum()))].astype(np.int64)
-    other, diagonal, at = shard.index.doc[place].astype(np.int64), place - start[which], start[which]
-    order = np.lexsort((at, diagonal, other, text[which]))
-    t, other, diagonal, at = text[which][order], other[order], diagonal[order], at[order]
-    new_pair, fresh = np.ones(len(t), bool), np.ones(len(t), bool)
-    new_pair[1:] = (t[1:] != t[:-1]) | (other[1:] != other[:-1])
-    fresh[1:] = new_pair[1:] | (diagonal[1:] != diagonal[:-1]) | (at[1:] > at[:-1] + GRAM)
-    gain = np.full(len(t), GRAM)
-    gain[1:][~fresh[1:]] = (at[1:] - at[:-1])[~fresh[1:]]
-    first = np.flatnonzero(new_pair)
-    if not len(first):
-        return (np.zeros(0, np.int64),) * 4
-    return t[first], other[first], np.add.reduceat(fresh.astype(np.int64), first), np.add.reduceat(gain, first)
-
-
-def overlaps(shard: Shard, ids: np.ndarray, bodies: list[str], k: int, t: float, min_words: int):
-    """(training id, evaluation id, spans, words) of the pairs with similarity t or more."""
-    h, bounds = word_hashes(bodies)
-    keep = np.diff(bounds) >= min_words
-    ids = ids[keep]
-    h = h[np.repeat(keep, np.diff(bounds))]
-    bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[keep])])
-    if shard.index is None or not len(ids):
-        return (np.zeros(0, np.int64),) * 4
-    a, b, spans, words = matches(shard, h, bounds)
-    met = np.zeros(len(ids), bool)  # only texts with a match need their shingles
-    met[a] = True
-    a, ids = (np.cumsum(met) - 1)[a], ids[met]
-    h = h[np.repeat(met, np.diff(bounds))]
-    bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[met])])
-    (value, ends), (raw, n) = shingle_sets(h, bounds, k)
-    (other, other_ends), (other_raw, other_n) = shard.sets, shard.maps
-    good = np.zeros(len(a), bool)
-    for block in np.array_split(np.arange(len(a)), len(a) // 50_000 + 1):
-        if not len(block):
-            continue
-        left, li = np.unique(a[block], return_inverse=True)
-        right, ri = np.unique(b[block], return_inverse=True)
-        maps = Maps([raw[i] for i in left] + [other_raw[i] for i in right], np.concatenate([n[left], other_n[right]]))
-        for p in block[maps.near(li, ri + len(left), t)].tolist():
-            x, y = a[p], b[p]
-            both = len(np.intersect1d(value[ends[x] : ends[x + 1]], other[other_ends[y] : other_ends[y + 1]], assume_unique=True))
-            good[p] = both >= t * (n[x] + other_n[y] - both)
-    return ids[a[good]], shard.id[b[good]], spans[good], words[good]
+        size = np.diff(bounds)
+        keep = size >= min_words
+        _, first, same = np.unique(fingerprints(h, bounds)[keep], return_index=True, return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        self.ids, self.ends = np.asarray(ids, np.int64)[keep][order], np.concatenate([[0], np.cumsum(np.bincount(same, minlength=len(first)))])
+        chosen = np.flatnonzero(keep)[first]
+        self.h = h[np.repeat(bounds[chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(int(size[chosen].sum()))]
+        self.bounds = np.concatenate([[0], np.cumsum(size[chosen])])
+        ok = inside_text(self.bounds, k)
+        self.text, self.at, self.gram = text_of(self.bounds, len(ok))[ok], np.flatnonzero(ok), grams(self.h, k)[ok]
+        self.sets = Sets.of(self.text, self.gram, len(chosen))
+        self.maps = self.sets.maps()
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+
+def candidates(index: Index, x: Batch, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(training text, evaluation text, place): pairs that meet in one of the training text's first shingles, with the first such place."""
+    order = np.lexsort((x.gram, x.text))
+    text, gram = x.text[order], x.gram[order]
+    keep = np.ones(len(text), bool)
+    keep[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
+    text, gram, start = text[keep], gram[keep], x.at[order[keep]]
+    _, once, of = np.unique(gram, return_index=True, return_inverse=True)
+    low, high = index.search(index.symbols(x.h), start[once])
+    low, hits = low[of], (high - low)[of]
+    order = np.lexsort((hits, text))
+    text, low, hits = text[order], low[order], hits[order]
+    n = np.bincount(text, minlength=len(x))
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    keep = (place <= (n - np.ceil(t * n - 1e-9).astype(np.int64))[text]) & (hits > 0)
+    text, low, hits, place = text[keep], low[keep], hits[keep], place[keep]
+    out = []
+    for block in blocks_of(hits, HITS):
+        size = hits[block]
+        at = np.repeat(low[block] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key = np.repeat(text[block], size) << 32 | index.doc[index.suffix[at]]
+        key, first = np.unique(key, return_index=True)  # places grow within a text, so the first is the least
+        out.append((key, np.repeat(place[block], size)[first]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    key, at = (np.concatenate(c) for c in zip(*out))
+    key, first = np.unique(key, return_index=True)  # ... and so over the blocks
+    return key >> 32, key & 0xFFFFFFFF, at[first]
+
+
+def spans_of(x: Batch, a: np.ndarray, y: Batch, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, words) of each pair: maximal runs of the training text's shingles that stand in the evaluation text, and the words they cover."""
+    spans, words = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    size, start = np.bincount(x.text, minlength=len(x)), np.searchsorted(x.text, np.arange(len(x)))
+    for block in blocks_of(size[a] + y.sets.n[b]):
+        m = size[a[block]]
+        at = np.repeat(start[a[block]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        pair = np.repeat(np.arange(len(block)), m)
+        other, value = y.sets.gather(b[block])
+        there = other.astype(np.uint64) << np.uint64(40) | value
+        mine = pair.astype(np.uint64) << np.uint64(40) | x.gram[at] >> np.uint64(24)
+        met = np.zeros(len(mine), bool)
+        if len(there):
+            met = there[np.minimum(np.searchsorted(there, mine), len(there) - 1)] == mine
+        pair, at = pair[met], x.at[at[met]]
+        gap = np.full(len(at), k)
+        gap[1:] = np.where(pair[1:] == pair[:-1], np.minimum(k, at[1:] - at[:-1]), k)
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (pair[1:] != pair[:-1]) | (at[1:] > at[:-1] + k)
+        spans[block], words[block] = np.bincount(pair, fresh, len(block)), np.bincount(pair, gap, len(block))
+    return spans, words
+
+
+def overlaps(y: Batch, index: Index, x: Batch, k: int, t: float):
+    """(training id, evaluation id, spans, words) of the pairs with similarity t or more, members of equal texts one by one."""
+    a, b, place = candidates(index, x, t)
+    n1, n2 = x.sets.n[a], y.sets.n[b]
+    ok = n1 - place >= (n1 + n2) * (t / (1 + t)) - 1e-9
+    a, b = a[ok], b[ok]
+    ok = x.maps.near(a, y.maps, b, t)
+    a, b = a[ok], b[ok]
+    both = x.sets.common(a, y.sets, b)
+    ok = both >= t * (x.sets.n[a] + y.sets.n[b] - both)
+    a, b = a[ok], b[ok]
+    spans, words = spans_of(x, a, y, b, k)
+    m1, m2 = np.diff(x.ends)[a], np.diff(y.ends)[b]
+    for block in blocks_of(m1 * m2, HITS):
+        size = m1[block] * m2[block]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        pair = np.repeat(block, size)
+        yield x.ids[x.ends[a[pair]] + at // m2[pair]], y.ids[y.ends[b[pair]] + at % m2[pair]], spans[pair], words[pair]
 
 
 def split_sides(splits: DataFrame) -> DataFrame:
@@ -199,7 +207,7 @@ def group_labels(spark, n: int) -> list[int]:
 def near_overlaps(messages: DataFrame, splits: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 1) -> DataFrame:
     """(train_id, other_id, spans, words) of cross-split pairs with similarity threshold or more."""
     spark = messages.sparkSession
-    min_words = max(min_words, GRAM, shingle_words)
+    min_words = max(min_words, shingle_words)  # shorter texts have no shingle, so no similarity
     sides = split_sides(splits)
     bodies = messages.select("message_id", "body").where("body is not null").join(sides.select("message_id", "is_train"), "message_id")
     chars = messages.agg(F.avg(F.length("body"))).first()[0] or 0
@@ -216,7 +224,7 @@ def near_overlaps(messages: DataFrame, splits: DataFrame, threshold: float = 0.8
     dealt = dealt.repartition(shards * salts, "group").sortWithinPartitions("group", "is_train")
 
     def run(batches):
-        group, shard, ids, texts = None, None, [], []
+        group, shard, index, ids, texts = None, None, None, [], []
         for batch in batches:
             g, train = batch.column("group").to_numpy(), batch.column("is_train").to_numpy(zero_copy_only=False).astype(bool)
             edges = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (train[1:] != train[:-1])) + 1).tolist(), len(g)]
@@ -224,17 +232,20 @@ def near_overlaps(messages: DataFrame, splits: DataFrame, threshold: float = 0.8
                 if a == b:
                     continue
                 if g[a] != group:
-                    group, shard, ids, texts = g[a], None, [], []
+                    group, shard, index, ids, texts = g[a], None, None, [], []
                 part = batch.slice(a, b - a)
                 if not train[a]:
                     ids += part.column("message_id").to_pylist()
                     texts += part.column("body").to_pylist()
                     continue
                 if shard is None:
-                    shard = Shard(ids, texts, shingle_words, min_words)
+                    shard = Batch(np.array(ids, np.int64), texts, shingle_words, min_words)
+                    index = Index(shard.h, shard.bounds, shingle_words)
                     ids, texts = [], []
-                out = overlaps(shard, part.column("message_id").to_numpy(), part.column("body").to_pylist(), shingle_words, threshold, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in out], ["train_id", "other_id", "spans", "words"])
+                x = Batch(part.column("message_id").to_numpy(), part.column("body").to_pylist(), shingle_words, min_words)
+                if len(shard) and len(x):
+                    for out in overlaps(shard, index, x, shingle_words, threshold):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in out], ["train_id", "other_id", "spans", "words"])
 
     return dealt.mapInArrow(run, "train_id long, other_id long, spans long, words long")
 
@@ -258,10 +269,12 @@ def cross_split_pairs(messages: DataFrame, splits: DataFrame, threshold: float =
 
 
 def overlap_report(messages: DataFrame, splits: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 1) -> DataFrame:
-    """(split_name, source, overlapping, pairs): evaluation messages with a train counterpart, and pairs, per split and canonical source."""
-    from mailforge.functions.sources import canonical_source
-
-    near = near_overlaps(messages, splits, threshold, shingle_words, min_words).select("train_id", "other_id")
-    per = near.unionByName(same_overlaps(messages, splits)).distinct().groupBy("other_id").agg(F.count("*").alias("n"))
+    """(split_name, source, overlapping, pairs, spans, words): evaluation messages with a train counterpart, pairs, and the merged spans of the
+    near pairs and their words, per split and canonical source."""
+    near = near_overlaps(messages, splits, threshold, shingle_words, min_words)
+    both = near.unionByName(same_overlaps(messages, splits).select("train_id", "other_id", F.lit(None).cast("long").alias("spans"), F.lit(None).cast("long").alias("words")))
+    once = both.groupBy("train_id", "other_id").agg(F.max("spans").alias("spans"), F.max("words").alias("words"))
+    per = once.groupBy("other_id").agg(F.count("*").alias("n"), F.sum("spans").alias("spans"), F.sum("words").alias("words"))
     about = messages.select(F.col("message_id").alias("other_id"), canonical_source(F.col("source")).alias("source")).join(split_sides(splits).select(F.col("message_id").alias("other_id"), "split_name"), "other_id")
-    return per.join(about, "other_id").groupBy("split_name", "source").agg(F.count("*").alias("overlapping"), F.sum("n").alias("pairs"))
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "pairs"), ("spans", "spans"), ("words", "words"))]
+    return per.join(about, "other_id").groupBy("split_name", "source").agg(F.count("*").alias("overlapping"), *totals)

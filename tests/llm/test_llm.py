@@ -72,6 +72,27 @@ def test_near_duplicates_without_long_common_runs(spark):
         assert got == {(2 * g, 2 * g + 1) for g in range(40)} | {(0, r[0]) for r in rest}
 
 
+def test_near_duplicates_in_sub_tiles(spark):
+    """Shingles and components of more texts than a tile takes give the same classes; texts changed evenly at every ninth to twelfth word."""
+    rng = random.Random(13)
+    base, rows = sentence(rng, 60), []
+    for i in range(150):
+        w = base.split() if i % 3 else sentence(rng, 40 + i % 30).split()
+        step = 9 + i % 4
+        for j in range(i % step, len(w), step):
+            w[j] = f"q{i}x{j}"
+        rows += [(2 * i, "", " ".join(w), 0, "a"), (2 * i + 1, "", " ".join(w[:-2] + [f"z{i}"]), 0, "a")]
+    root = {r[0]: r[0] for r in rows}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and root[a[0]] != root[b[0]] and similarity(a[2], b[2]) >= 0.5:
+                low, high = sorted((root[a[0]], root[b[0]]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    want = {(i, r) for i, r in root.items() if list(root.values()).count(r) > 1}
+    for run, tile in ((2048, 8192), (16, 32)):
+        assert {tuple(r) for r in neardup.near_duplicates(messages(spark, rows), 0.5, 3, 20, run, tile).collect()} == want
+
+
 def test_cross_split_against_brute_force(spark, near_rows):
     rows, texts = near_rows
     splits = spark.createDataFrame([(i, " Train " if i % 2 else "test") for i in texts] + [(1, "train"), (902, None)], "message_id long, split_name string")
@@ -83,11 +104,13 @@ def test_cross_split_against_brute_force(spark, near_rows):
 def test_backward_search_counts_every_gram():
     rng = np.random.default_rng(1)
     h, bounds = rng.integers(1, 6, 300).astype(np.uint64), np.array([0, 120, 120, 300])
-    index = leakage.Index(h, bounds)
-    grams = [tuple(h[i : i + 6]) for a, b in zip(bounds, bounds[1:]) for i in range(a, b - 5)]
-    for p in range(0, 290, 7):
-        low, high = index.search(index.symbols(h), np.array([p]))
-        assert high[0] - low[0] == grams.count(tuple(h[p : p + 6]))
+    for k in (1, 2, 3, 5, 6):
+        index = leakage.Index(h, bounds, k)
+        grams = [tuple(h[i : i + k]) for a, b in zip(bounds, bounds[1:]) for i in range(a, b - k + 1)]
+        for p in range(0, 290, 7):
+            low, high = index.search(index.symbols(h), np.array([p]))
+            assert high[0] - low[0] == grams.count(tuple(h[p : p + k]))
+            assert all(index.doc[s] == np.searchsorted(bounds, s - index.doc[s], "right") - 1 for s in index.suffix[low[0] : high[0]])
 
 
 def test_words_equal_a_pattern():
