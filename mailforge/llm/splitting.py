@@ -2,8 +2,9 @@
 
 Agglomerative merging: atomic segments are held with the boundaries between neighbours in a heap; the weakest boundary whose two
 sides fit together with the overlap merges first (ties: the smaller union, then the earlier one), until nothing fits. Boundaries
-rank paragraph over line, sentence, clause, word and the inside of a word; a boundary inside a character always merges. As all weaker boundaries
-merge before any stronger one, a unit between strong boundaries that fits as a whole starts as one atom.
+rank paragraph over line, sentence, clause, word and the inside of a word. Strength comes first in the heap, so no boundary merges while a
+weaker one still can: of a unit without a boundary of its ends' strength inside, all inner ones have merged, if it fits as a whole, before
+its ends are looked at. Such units therefore enter the heap as one atom each, with the same pieces as from single tokens (tested).
 
 Positions are tokens of the whole text; a piece starts ``overlap`` tokens before its own part (fewer only where that would cut a
 character) and has at most max_tokens tokens.
@@ -25,18 +26,51 @@ from mailforge.llm.tokens import TOKENIZERS, encode, encoding, token_lengths
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE, CHARACTER = 6, 5, 4, 3, 2, 1, 0
 
 
+def codes(signs: str) -> list[np.ndarray]:
+    """The UTF-8 forms of signs as numbers, by length 1 to 3."""
+    raw = [c.encode("utf-8") for c in signs]
+    return [np.array([int.from_bytes(r, "big") for r in raw if len(r) == n], np.int64) for n in (1, 2, 3)]
+
+
+#: Signs that end a sentence, close a quotation or bracket, end a clause, and blanks beyond ASCII. The wide ones need no blank after them.
+STOPS, CLOSERS, CLAUSES = codes(".!?…؟।۔։"), codes("\"')]»”’"), codes(",;:،؛–—")
+WIDE_STOPS, WIDE_CLOSERS, WIDE_CLAUSES = codes("。！？．"), codes("」』）】》"), codes("、，；：")
+BLANKS = codes("\xa0\u3000\u2002\u2003\u2009")
+
+
 def strengths(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Strength of the boundary before each byte position of at (0 < at < len(data))."""
-    padded = np.concatenate([np.zeros(4, np.uint8), data])
-    right, l1, l2, l3 = padded[at + 4], padded[at + 3], padded[at + 2], padded[at + 1]
+    padded = np.concatenate([np.zeros(6, np.uint8), data, np.zeros(2, np.uint8)]).astype(np.int64)
+    at = at + 6
+    right, l1, l2, l3 = padded[at], padded[at - 1], padded[at - 2], padded[at - 3]
     blank_right = (right == 32) | (right == 10) | (right == 13) | (right == 9)
     blank_left = (l1 == 32) | (l1 == 10) | (l1 == 9)
+
+    def ends_with(signs: list[np.ndarray], where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a sign ends before each position, its bytes)."""
+        a, b, c = padded[where - 1], padded[where - 2], padded[where - 3]
+        size = np.isin(a, signs[0]).astype(np.int64)
+        high = np.flatnonzero(a >= 0x80)
+        a, b, c = a[high], b[high], c[high]
+        size[high] = np.where(np.isin(b << 8 | a, signs[1]), 2, np.where(np.isin(c << 16 | b << 8 | a, signs[2]), 3, 0))
+        return size > 0, size
+
+    if (data >= 0x80).any():
+        blank_left |= ends_with(BLANKS, at)[0]
+        for signs in (BLANKS[1], BLANKS[2]):
+            ahead = right << 8 | padded[at + 1]
+            blank_right |= np.isin(ahead if signs is BLANKS[1] else ahead << 8 | padded[at + 2], signs)
     out = np.where(blank_right | blank_left, WORD, INSIDE)
-    stop = np.isin(l1, np.frombuffer(b".!?", np.uint8)) | (np.isin(l1, np.frombuffer(b"\"')", np.uint8)) & np.isin(l2, np.frombuffer(b".!?", np.uint8)))
-    out[np.isin(l1, np.frombuffer(b",;:", np.uint8)) & blank_right] = CLAUSE
+    closed, size = ends_with(CLOSERS, at)
+    out[ends_with(CLAUSES, at)[0] & blank_right] = CLAUSE
+    stop = ends_with(STOPS, at)[0] | closed & ends_with(STOPS, at - size)[0]
     out[stop & blank_right] = SENTENCE
-    wide = (l3 == 0xE3) & (l2 == 0x80) & ((l1 == 0x82) | (l1 == 0x81))
-    out[wide] = np.where(l1[wide] == 0x82, SENTENCE, CLAUSE)
+    wide = np.flatnonzero(l1 >= 0x80)
+    if len(wide):
+        there = at[wide]
+        closed, size = ends_with(WIDE_CLOSERS, there)
+        out[wide[ends_with(WIDE_CLAUSES, there)[0]]] = CLAUSE
+        out[wide[ends_with(WIDE_STOPS, there)[0] | closed & ends_with(WIDE_STOPS, there - size)[0]]] = SENTENCE
     line = (l1 == 10) & ~blank_right
     out[line] = LINE
     out[line & ((l2 == 10) | ((l2 == 13) & (l3 == 10)))] = PARAGRAPH
@@ -130,7 +164,7 @@ def pieces(documents: DataFrame, limits: DataFrame, folder: str = TOKENIZERS, wi
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                if text is None or len(text) * 4 <= least:
+                if text is None or len(text) * (1 if text.isascii() else 4) <= least:  # a token has a byte or more
                     continue
                 for name, own in wanted.items():
                     ids = encode(text, tools[name][0])

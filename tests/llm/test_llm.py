@@ -202,6 +202,34 @@ def test_splitting_covers_within_limit():
     assert at == len(ids) and sum(p[4] == 8 for p in pieces) > len(pieces) / 2
 
 
+def plain_merge(strength, n, limit, overlap):
+    """Bottom-up from single tokens, always the weakest boundary, then the smallest union, then the first."""
+    parts = [(i, i + 1) for i in range(n)]
+    while True:
+        fits = [(strength[b[0] - 1], b[1] - a[0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if b[1] - a[0] + (overlap if a[0] else 0) <= limit]
+        if not fits:
+            return parts
+        i = min(fits)[2]
+        parts[i : i + 2] = [(parts[i][0], parts[i + 1][1])]
+
+
+def test_merging_equals_plain_bottom_up():
+    rng = np.random.default_rng(4)
+    for case in range(150):
+        n, limit = int(rng.integers(2, 90)), int(rng.integers(2, 24))
+        strength = rng.choice(7, n - 1, p=[0.02, 0.3, 0.3, 0.14, 0.12, 0.08, 0.04])
+        overlap = int(rng.integers(0, limit))
+        assert splitting.merge(strength, n, limit, overlap) == plain_merge(strength.tolist(), n, limit, overlap), case
+
+
+def test_boundary_strengths():
+    S = splitting
+    for left, right, want in [("a.", " b", S.SENTENCE), ("a.”", " b", S.SENTENCE), ("a", " b", S.WORD), ("a;", " b", S.CLAUSE), ("क।", " ख", S.SENTENCE), ("漢。", "字", S.SENTENCE), ("漢！」", "字", S.SENTENCE), ("漢，", "字", S.CLAUSE), ("a؟", " b", S.SENTENCE), ("a،", " b", S.CLAUSE), ("a", "b", S.INSIDE),
+                              ("a", "\xa0b", S.WORD), ("a\u3000", "b", S.WORD), ("x\n", "y", S.LINE), ("x\n\n", "y", S.PARAGRAPH), ("x\r\n\r\n", "y", S.PARAGRAPH), (".", " b", S.SENTENCE), ("é", "é", S.INSIDE)]:
+        data = np.frombuffer((left + right).encode(), np.uint8)
+        assert splitting.strengths(data, np.array([len(left.encode())]))[0] == want, (left, right)
+
+
 def test_garbled_text(spark):
     good = ["Größe über für Straße", "wiadomość książka żółty", "São ação coração"]
     rows = [(i, "plain", good[i % 3], 0, "a") for i in range(60)]
