@@ -5,7 +5,7 @@ length counts finds the multiset that fills the rest closest to capacity, and th
 used as often as the counts allow at once. Every pattern leaves at least one length with fewer than capacity / length items, so there are at most
 capacity * (2 + ln capacity) patterns whatever the size of the corpus; histogram and patterns are all that the driver sees.
 Items then find their container by their rank within their length: ranks are counted per hash bucket and shifted by bucket
-offsets, so that a length holding most items is no single task.
+offsets. A length has one bucket for every BUCKET_ITEMS of its items, so that one holding most items is no single task.
 
 Defined results: null and empty texts take no room and have no row; a text longer than the capacity is cut into full containers
 and a rest, which is packed; repeated doc_ids are items of their own; an empty table has no containers.
@@ -17,13 +17,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from mailforge.llm.tokens import TOKENIZERS, token_counts
 from mailforge.session import cut
 
-BUCKETS = 16
+#: Items of one length and limit that one task ranks, about.
+BUCKET_ITEMS = 50_000
 
 
 def fill(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -89,10 +90,15 @@ def containers(documents: DataFrame, limits: DataFrame, folder: str = TOKENIZERS
     schema = "limit_id int, container_no long, doc_id long, part_no int, start_token int, end_token int"
     if whole is None:
         return spark.createDataFrame([], schema)
-    bucket = F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(BUCKETS)).cast("int")
-    placed = whole.withColumn("bucket", bucket)
-    histogram = placed.groupBy("limit_id", "length", "bucket").count().collect()  # at most capacity x BUCKETS rows a limit
-    offsets, slots, base = {}, defaultdict(list), {}
+    lengths = whole.groupBy("limit_id", "length").count().collect()  # at most capacity rows a limit
+    dealt = spark.createDataFrame([(r.limit_id, r.length, -(-r["count"] // BUCKET_ITEMS)) for r in lengths], "limit_id int, length int, buckets int")
+    bucket = F.pmod(F.xxhash64("doc_id", "part_no"), F.col("buckets")).cast("int")
+    placed = whole.join(F.broadcast(dealt), ["limit_id", "length"]).withColumn("bucket", bucket).drop("buckets")
+    if any(r["count"] > BUCKET_ITEMS for r in lengths):
+        histogram = placed.groupBy("limit_id", "length", "bucket").count().collect()  # at most capacity rows a limit and one for BUCKET_ITEMS items
+    else:
+        histogram = [Row(limit_id=r.limit_id, length=r.length, bucket=0, count=r["count"]) for r in lengths]
+    offsets, slots = {}, defaultdict(list)
     by_length = defaultdict(Counter)
     for r in sorted(histogram, key=lambda r: (r.limit_id, r.length, r.bucket)):
         offsets[r.limit_id, r.length, r.bucket] = by_length[r.limit_id][r.length]
@@ -121,8 +127,6 @@ def containers(documents: DataFrame, limits: DataFrame, folder: str = TOKENIZERS
                 out[at] = s[j, 2] + (rank - s[j, 0]) // s[j, 1]
             yield pd.DataFrame({"limit_id": b["limit_id"], "container_no": out, "doc_id": b["doc_id"], "part_no": b["part_no"], "start_token": b["start_token"], "end_token": b["start_token"] + b["length"]})
 
-    from pyspark.sql import Window
-
     order = Window.partitionBy("limit_id", "length", "bucket").orderBy("doc_id", "part_no")
     return placed.withColumn("rank", F.row_number().over(order)).mapInPandas(place, schema)
 
