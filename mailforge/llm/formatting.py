@@ -55,8 +55,8 @@ def format_copies(messages: DataFrame) -> DataFrame:
 
 
 def copy_counts(messages: DataFrame) -> DataFrame:
-    """(message_id, copies): one record per group of copies with how many rows it had."""
+    """(message_id, copies): one record per group of copies with how many rows it had; bodies without words have no copies, so each is a record."""
     pairs = format_copies(messages)
     counted = pairs.groupBy(F.col("first_message_id").alias("message_id")).agg((F.count("*") + 1).alias("copies"))
-    kept = structure(messages).select("message_id").distinct()
+    kept = messages.select("message_id").where("message_id is not null").distinct()
     return kept.join(pairs.select(F.col("copy_message_id").alias("message_id")), "message_id", "left_anti").join(counted, "message_id", "left").select("message_id", F.coalesce("copies", F.lit(1)).alias("copies"))
