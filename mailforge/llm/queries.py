@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailforge.llm import formatting, leakage, mixing, mojibake, neardup, newtext, packing, splitting, survivors, tokens
-from mailforge.session import table
+from mailforge.session import cut, table
 
 
 def p1_found(spark, d):
@@ -47,6 +47,13 @@ def p4_shares(spark, d):
     return mixing.shares(table(spark, d, "combine"), table(spark, d, "source_registry"), table(spark, d, "mix_plan"))
 
 
+def p4_overlap(spark, d):
+    """Shares in tokens of overlapping cells: each message may serve the cell of its source or that of its label."""
+    messages = table(spark, d, "combine")
+    size = tokens.token_counts(messages.select(F.col("message_id").alias("doc_id"), F.col("body").alias("text")), "byte_bpe_50k").toDF("message_id", "size")
+    return mixing.shares(messages, table(spark, d, "source_registry"), mixing.by_source_and_by_label(table(spark, d, "mix_plan")), size=cut(size))
+
+
 def p5_found(spark, d):
     return newtext.removed_lines(table(spark, d, "combine"))
 
@@ -93,7 +100,7 @@ def p10_texts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_restored, p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p5_found, p5_new_text, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
+    names = [p1_found, p1_restored, p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p4_overlap, p5_found, p5_new_text, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
     return {f.__name__: f for f in names}
 
 

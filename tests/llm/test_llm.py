@@ -5,6 +5,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("mailforge.llm")
 from mailforge.llm import formatting, leakage, mixing, mojibake, neardup, newtext, packing, splitting, survivors, tokens, words  # noqa: E402
@@ -150,6 +151,23 @@ def test_flow_spreads_overlapping_patterns():
     assert sum(v for v in mixing.route({a: 10.0}, {1: 99.0}, {1: 3}).values()) == 30
 
 
+def test_draw_takes_what_the_flow_routes(spark):
+    rows = messages(spark, [(i, "", "x", i % 2, "Enron" if i % 5 else "ling") for i in range(1000)] + [(2000, "", "x", None, "enron"), (2001, "", "x", 0, "other"), (2002, "", "x", 0, None)])
+    registry = spark.createDataFrame([("enron",), ("ling",)], "source string")
+    plan = spark.createDataFrame([("m", "enron", 0, 3.0, 2, 0.5), ("m", "ling", 1, 2.0, 3, 0.5), ("m", "ling", 0, 0.0, 3, 0.5), ("z", "enron", 0, None, None, None)], "mix_name string, source string, label int, target_weight double, max_repeats int, pool_ratio double")
+    got = {(r.mix_name, r.source, r.label): r.n for r in mixing.draw(rows, registry, plan).groupBy("mix_name", "source", "label").agg(F.sum("repeats").alias("n")).collect()}
+    assert got == {("m", "enron", 0): 300, ("m", "ling", 1): 200}
+    assert max(r.repeats for r in mixing.draw(rows, registry, plan).collect() if r.source == "ling") == 2
+    size = spark.createDataFrame([(i, 1 + i % 7) for i in range(1000)], "message_id long, size long")
+    wide = mixing.by_source_and_by_label(plan)
+    total = sum(1 + i % 7 for i in range(1000))
+    report = {(r.source, r.label): r for r in mixing.shares(rows, registry, wide, size=size).collect() if r.mix_name == "m"}
+    assert set(report) == {("enron", None), ("ling", None), (None, 0), (None, 1)}
+    for r in report.values():
+        assert abs(r.drawn - 0.5 * total * r.target_share) <= 3 * 7 and abs(r.actual_share - r.target_share) < 0.02
+    assert mixing.draw(rows.limit(0), registry, plan).count() == 0
+
+
 def test_tokens_round_trip_and_long_runs():
     enc = tokens.encoding("byte_bpe_50k")
     rng = random.Random(3)
