@@ -27,6 +27,14 @@ def p2_survivors(spark, d):
     return survivors.survivors_wide(table(spark, d, "duplicate_samples"), table(spark, d, "source_registry"))
 
 
+#: Days in which a vote halves in p2_weighted.
+HALF_LIFE = 30.0
+
+
+def p2_weighted(spark, d):
+    return survivors.survivors_long(table(spark, d, "duplicate_samples"), table(spark, d, "source_registry"), HALF_LIFE)
+
+
 def p3_found(spark, d):
     return neardup.near_pairs(table(spark, d, "combine"), threshold=0.5, shingle_words=3, min_words=20)
 
@@ -100,7 +108,7 @@ def p10_texts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_restored, p2_found, p2_survivors, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p4_overlap, p5_found, p5_new_text, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
+    names = [p1_found, p1_restored, p2_found, p2_survivors, p2_weighted, p3_found, p3_classes, p4_found, p4_drawn, p4_shares, p4_overlap, p5_found, p5_new_text, p6_found, p6_copies, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_pieces, p10_texts]
     return {f.__name__: f for f in names}
 
 
@@ -108,6 +116,14 @@ def canon(col: str) -> str:
     return rf"regexp_replace(lower(regexp_replace({col}, '^\s+|\s+$', '', 'g')), '[\s_\-]+', '_', 'g')"
 
 
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE = rf"^{SPACES}+|{SPACES}+$"
+
+
+def squeezed(col: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower({col}), '{SPACES}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": rf"""
@@ -128,6 +144,30 @@ union all select g, 'labels', '[' || coalesce(string_agg(distinct cast(label as
 union all select g, 'kept_label', cast(arg_min(label, pref) as varchar) from o where label is not null group by g
 union all select g, 'kept_subject_row', cast(arg_min(row_index, pref) as varchar) from o where subject <> '' and lower(subject) not in ('(no subject)', 'n/a', 'none', '-') group by g
 union all select g, 'kept_body_row', cast(arg_min(row_index, struct_pack(a := -chars, b := pref)) as varchar) from o where chars > 0 group by g""",
+        "p2_weighted": rf"""
+with ranked as (
+  select *, {canon("source")} as src,
+         row_number() over (partition by duplicate_group_id, original_row_index order by loaded_at desc nulls last, sample_index desc nulls last) as rn
+  from duplicate_samples where duplicate_group_id is not null and original_row_index is not null),
+m as (
+  select r.duplicate_group_id as g, r.original_row_index as row_index, r.label, r.src, t.trust_rank, coalesce(r.loaded_at, timestamp '1900-01-01') as loaded_at,
+         regexp_replace(coalesce(r.subject, ''), '{WHITE}', '', 'g') as subject, regexp_replace(coalesce(r.body, ''), '{WHITE}', '', 'g') as body
+  from ranked r left join source_registry t on t.source = r.src where rn = 1),
+o as (
+  select *, row_number() over (partition by g order by coalesce(trust_rank, 2147483647), loaded_at desc, row_index) as pref,
+         pow(0.5, (epoch_us((select max(loaded_at) from m)) - epoch_us(loaded_at)) / 1e6 / (86400.0 * {HALF_LIFE})) / (1 + coalesce(trust_rank, 1000)) as vote from m),
+offers as (
+  select g, pref, vote, 'kept_source' as field_name, coalesce(src, chr(1)) as value, coalesce(src, chr(1)) as shown, 1 as quality from o
+  union all select g, pref, vote, 'kept_label', cast(label as varchar), cast(label as varchar), 1 from o where label is not null
+  union all select g, pref, vote, 'kept_subject_row', {squeezed("subject")}, cast(row_index as varchar), 1 from o where subject <> '' and lower(subject) not in ('(no subject)', 'n/a', 'none', '-')
+  union all select g, pref, vote, 'kept_body_row', {squeezed("body")}, cast(row_index as varchar), length(body) from o where length(body) > 0),
+v as (
+  select g, field_name, value, round(sum(quality * vote), 9) as votes, max(quality) as quality, arg_min(shown, struct_pack(a := -quality, b := pref)) as shown, min(struct_pack(a := -quality, b := pref)) as best
+  from offers group by g, field_name, value),
+w as (select *, row_number() over (partition by g, field_name order by votes desc, best) as rn from v)
+select g as duplicate_group_id, field_name, case when shown = chr(1) then null else shown end as field_value from w where rn = 1
+union all select g, 'duplicate_count', cast(count(*) as varchar) from o group by g
+union all select g, 'labels', '[' || coalesce(string_agg(distinct cast(label as varchar), ', ' order by cast(label as varchar)), '') || ']' from o group by g""",
         "p4_found": rf"""
 with pool as (select {canon("source")} as src, label from combine where label is not null),
 known as (select src, label, count(*) as n from pool where src in (select source from source_registry) group by 1, 2),
