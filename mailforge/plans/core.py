@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 
+from mailforge.plans import curation
 from mailforge.plans.dialect import BLANKS, Duck, Spark
 
 TABLES = ("combine", "split_rows", "events", "embeddings", "source_registry", "duplicate_report")
@@ -28,15 +29,6 @@ def source(d, x="source"):
     return d.rx(f"lower({strip(d, x)})", r"[\s_\-]+", "_")
 
 
-def high(d, x):
-    """Body key without case, markup, addresses and signs."""
-    # fixed values: what counts as a tag, an address of the web, a mail address, a sign
-    y = f"lower({x})"
-    for pattern in (r"<[^>]+>", r"(https?://\S+|www\.\S+)", r"\b[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}\b", r"[^a-z0-9]+"):
-        y = d.rx(y, pattern)
-    return y
-
-
 def clean(d):
     key = ", ".join(f"lpad({d.text(x)}, {n}, '0')" for x, n in (("coalesce(source_rank, 999)", 4), ("coalesce(row_in_source, 0)", 15), ("message_id", 19)))
     return f"""clean as (
@@ -62,58 +54,6 @@ def rates(c="m"):
     round((({r}) + ({s})) / 2, 6) as balanced_accuracy, round(fp / cast(greatest(tn + fp, 1) as double), 6) as fpr, round(fn / cast(greatest(tp + fn, 1) as double), 6) as fnr, round((tp + fp) / cast(greatest(tp + fp + fn + tn, 1) as double), 6) as spam_rate"""
 
 
-def dedup(d, key):
-    return f"""with {clean(d)}, keyed as (select *, {key} as k from clean)
-select c.message_id, c.source, c.label from keyed c join (select k, min(pos) as pos from keyed group by k) f on c.k = f.k and c.pos = f.pos"""
-
-
-@plan
-def source_label_matrix(d):
-    return f"""with {clean(d)}, keyed as (select *, {high(d, 'body')} as k from clean), firsts as (select k, min(pos) as pos from keyed group by k)
-select c.source, sum(case when c.label = 0 then 1 else 0 end) as ham, sum(case when c.label = 1 then 1 else 0 end) as spam, count(*) as n
-from keyed c join firsts f on c.k = f.k and c.pos = f.pos group by c.source"""
-
-
-@plan
-def dedup_basic(d):
-    return dedup(d, f"{d.sha('concat(subject, chr(1), body, chr(1), coalesce(' + d.text('label') + ', ' + chr(39) * 2 + '))')}")
-
-
-@plan
-def dedup_medium(d):
-    return dedup(d, d.rx("body", BLANKS + "+"))
-
-
-@plan
-def dedup_high(d):
-    return dedup(d, high(d, "body"))
-
-
-def groups(d):
-    return f"{clean(d)}, keyed as (select *, {d.sha(high(d, 'body'))} as k from clean), grouped as (select k, count(*) as n, min(pos) as pos, count(distinct label) as kinds, {d.set_list(d.text('label'))} as labels, {d.set_list('source')} as sources from keyed group by k having count(*) > 1)"
-
-
-@plan
-def duplicate_groups(d):
-    return f"""with {groups(d)}
-select row_number() over (order by g.pos) as group_id, g.n as duplicate_count, g.labels, g.sources, c.message_id as kept_message_id, c.source as kept_source from grouped g join keyed c on c.k = g.k and c.pos = g.pos"""
-
-
-@plan
-def duplicate_stats(d):
-    return f"with {groups(d)} select count(*) as dup_groups, coalesce(sum(n), 0) as rows_in_groups, coalesce(sum(n - 1), 0) as redundant_rows, max(n) as largest, sum(case when kinds > 1 then 1 else 0 end) as conflicting from grouped"
-
-
-@plan
-def label_conflicts(d):
-    return f"with {groups(d)} select c.message_id, c.label from keyed c join grouped g on c.k = g.k where g.kinds > 1"
-
-
-@plan
-def group_size_histogram(d):
-    return f"""with {groups(d)} select case when n <= 5 then {d.text('n')} when n <= 10 then '6-10' when n <= 20 then '11-20' when n <= 50 then '21-50' when n <= 100 then '51-100' when n <= 500 then '101-500' else '501+' end as size_bin, count(*) as n_groups from grouped group by 1"""
-
-
 @plan
 def class_counts(d):
     return f"with {clean(d)} select source, label, count(*) as n from clean group by source, label"
@@ -124,95 +64,6 @@ def dataset_summary(d):
     return f"with {clean(d)} select source, count(*) as n, round(sum(length(subject)) / cast(greatest(count(*), 1) as double), 6) as avg_subject, round(sum(length(body)) / cast(greatest(count(*), 1) as double), 6) as avg_body from clean group by source"
 
 
-def ranked(d, seed, by):
-    return f"{clean(d)}, ranked as (select message_id, source, label, row_number() over (partition by {by} order by {d.hash_order(seed, 'message_id')}, message_id) as r, count(*) over (partition by {by}) as n, count(*) over () as total from clean where label in (0, 1))"
-
-
-@plan
-def ratio_trim(d):
-    """Share of label 1 set to 0.25: the class that limits stays whole, the other is cut to the whole number."""
-    return f"""with {ranked(d, 67, 'label')}, c as (select coalesce(sum(case when label = 1 then 1 else 0 end), 0) as s, coalesce(sum(case when label = 0 then 1 else 0 end), 0) as h from ranked),
-q as (select case when s / 0.25 <= h / 0.75 then s else cast(floor(h * 0.25 / 0.75) as bigint) end as qs, case when s / 0.25 <= h / 0.75 then cast(floor(s * 0.75 / 0.25) as bigint) else h end as qh from c)
-select message_id, label from ranked cross join q where r <= case when label = 1 then qs else qh end"""
-
-
-@plan
-def balanced_source(d):
-    return f"""with {ranked(d, 67, 'source, label')}, paired as (select source, least(sum(case when label = 0 and r = 1 then n else 0 end), sum(case when label = 1 and r = 1 then n else 0 end)) as m from ranked group by source),
-q as (select min(m) as m from paired where m > 0)
-select x.message_id, x.source, x.label from ranked x join paired b on b.source = x.source cross join q where b.m > 0 and x.r <= q.m"""
-
-
-@plan
-def class_source_caps(d):
-    """Per class: cap of each source at twice the class's smallest source, and the common target."""
-    return f"""with {clean(d)}, cells as (select label, source, count(*) as n from clean where label in (0, 1) group by label, source), caps as (select label, source, n, least(n, 2 * min(n) over (partition by label)) as cap from cells),
-totals as (select label, sum(cap) as total from caps group by label) select c.label, c.source, c.n, c.cap, (select min(total) from totals) as target from caps c"""
-
-
-@plan
-def stratified_sample(d):
-    return f"""with {ranked(d, 42, 'label')} select message_id, label from ranked where r <= case when label = 0 then cast({d.even('1000.0e0 * n / total')} as bigint) else 1000 - cast({d.even('1000.0e0 * (total - n) / total')} as bigint) end"""
-
-
-@plan
-def split_92_2_6(d):
-    return f"""with {ranked(d, 67, 'label')}, cut as (select *, cast(ceil(n * 0.08e0) as bigint) as held, cast(ceil(ceil(n * 0.08e0) * 0.75e0) as bigint) as tested from ranked)
-select message_id, label, case when r <= tested then 'test' when r <= held then 'validation' else 'train' end as split from cut"""
-
-
-def prints(d):
-    exact = d.rx(f"concat(subject, chr(10), chr(10), body)", BLANKS + "+", " ")
-    return f"{clean(d)}, prints as (select message_id, source, label, pos, h, {d.sha('e')} as exact_sha, case when h = '' then '' else {d.sha('h')} end as norm_sha, case when length(h) < 50 then concat('subject_body:', {d.sha('e')}) else {d.sha('h')} end as fp from (select *, {high(d, 'body')} as h, {exact} as e from clean) x)"
-
-
-@plan
-def message_fingerprints(d):
-    return f"with {prints(d)} select message_id, exact_sha, norm_sha, fp from prints"
-
-
-@plan
-def cross_source_overlap(d):
-    """Rows of each source met by a row of trec_2006, exactly or only when normalised; exact goes first."""
-    return f"""with {prints(d)}, a as (select message_id, exact_sha, norm_sha from prints where source = 'trec_2006'), b as (select message_id, source, exact_sha, norm_sha from prints where source <> 'trec_2006'),
-met as (select a.message_id as x, b.source, b.message_id as y, 1 as exact from a join b on a.exact_sha = b.exact_sha union all select a.message_id, b.source, b.message_id, 0 from a join b on a.norm_sha = b.norm_sha where a.norm_sha <> ''),
-best as (select x, source, max(exact) as exact from met group by x, source)
-select b.source, sum(b.exact) as exact_rows, count(*) - sum(b.exact) as normalized_only, count(*) as matched, max(m.n) as rows_involved from best b join (select source, count(distinct y) as n from met group by source) m on m.source = b.source group by b.source"""
-
-
-@plan
-def eligible_pool(d):
-    return f"""with {prints(d)}, bad as (select fp from prints group by fp having count(distinct label) > 1), firsts as (select fp, min(pos) as pos from prints where source = 'trec_2006' group by fp)
-select p.message_id, p.label from prints p join firsts f on f.fp = p.fp and f.pos = p.pos where not exists (select 1 from bad b where b.fp = p.fp) and not exists (select 1 from prints o where o.fp = p.fp and o.source <> 'trec_2006')"""
-
-
-def splits(d):
-    return f"{prints(d)}, assigned as (select message_id, min(lower({strip(d, 'split_name')})) as split from split_rows group by message_id), placed as (select distinct a.split, p.fp from assigned a join prints p on p.message_id = a.message_id)"
-
-
-@plan
-def pairwise_overlap(d):
-    return f"with {splits(d)} select a.split as left_split, b.split as right_split, count(*) as shared from placed a join placed b on a.fp = b.fp and a.split < b.split group by a.split, b.split"
-
-
-@plan
-def leakage_counts(d):
-    return f"with {splits(d)}, t as (select fp from placed where split = 'train') select p.split, count(*) as prints, sum(case when t.fp is not null then 1 else 0 end) as leaked from placed p left join t on t.fp = p.fp where p.split <> 'train' group by p.split"
-
-
-@plan
-def disjoint_split(d):
-    """Per label the first 200 messages, in hash order, whose fingerprint the train split lacks, each fingerprint once."""
-    return f"""with {splits(d)}, free as (select p.message_id, p.label, p.fp, {d.hash_order(67, 'p.message_id')} as h from prints p where p.label in (0, 1) and not exists (select 1 from placed t where t.split = 'train' and t.fp = p.fp)),
-once as (select *, row_number() over (partition by fp order by h, message_id) as k from free), taken as (select *, row_number() over (partition by label order by h, message_id) as r from once where k = 1)
-select message_id, label from taken where r <= 200"""
-
-
-@plan
-def content_digest(d):
-    return f"with {prints(d)} select source, {d.sha(d.ordered_list('concat(coalesce(' + d.text('label') + ', ' + chr(39) * 2 + '), ' + chr(39) + '|' + chr(39) + ', fp, chr(10))', 'pos'))} as digest, count(*) as n from prints group by source"
-
-
 @plan
 def binary_metrics(d):
     return f"with {scored(d)}, m as (select source, {CONFUSION} from (select *, case when score >= 0.5 then 1 else 0 end as p from scored) x group by source) select source, tp, fp, fn, tn, {rates()} from m"
@@ -385,8 +236,8 @@ def run(spark, name: str, folder: str):
 
 
 def queries():
-    return {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
+    return curation.QUERIES | {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
 
 
 def oracle_sql():
-    return {name: f(Duck()) for name, f in PLANS.items()}
+    return curation.SQL | {name: f(Duck()) for name, f in PLANS.items()}

@@ -4,9 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from mailforge.functions.keys import high_key
+from mailforge.functions import text as X
 from mailforge.functions.sources import canonical_source
-from mailforge.operators.allocation import allocate, spaced
+from mailforge.operators import balance, sampling
 from mailforge.plans import core
 from mailforge.sources.readers import mbox, parse_mime
 
@@ -14,9 +14,31 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_high_key(spark):
-    rows = [("A b",), ("a B!",), ("Hi &lt;b&gt;x&lt;/b&gt; http://e.com/a me@x.org",), ("ﬁne",), ("!!!",), (None,), ("",)]
-    got = [r.k for r in spark.createDataFrame(rows, "t string").select(high_key(F.col("t")).alias("k")).collect()]
-    assert got == ["ab", "ab", "hix", "fine", "", "", ""]
+    rows = [("A b",), ("a B!",), ("Hi &lt;b&gt;x&lt;/b&gt; http://e.com/a me@x.org",), ("ﬁne",), ("!!!",), (None,), ("",), ("http://a.com<br>hello",), ("x<b>y</b>z &amp;lt; Ａ１ ½",)]
+    got = [r.k for r in spark.createDataFrame(rows, "t string").select(X.high_key(F.col("t")).alias("k")).collect()]
+    assert got == ["ab", "ab", "hix", "fine", "", "", "", "hello", "xyzlta112"]
+
+
+def test_exact_text_and_fingerprint(spark):
+    df = spark.createDataFrame([(" A\r\nb\u00a0 c ", "x\ty"), (None, None)], "s string, b string")
+    assert [r[0] for r in df.select(X.exact_text(F.col("s"), F.col("b"))).collect()] == ["A b c\n\nx y", "\n\n"]
+    k = spark.createDataFrame([("a" * 49,), ("a" * 50,)], "k string").select(X.fingerprint(F.col("k"), F.lit("E"))).collect()
+    assert k[0][0] == "subject_body:E" and len(k[1][0]) == 64
+    seeds = spark.range(1).select(X.stable_seed("m", "ham", "enron")).first()[0]
+    import hashlib
+
+    assert seeds == int(hashlib.sha1(b'[67,"m","ham","enron"]').hexdigest()[:8], 16)
+
+
+def test_composition_and_reverse(spark):
+    df = spark.createDataFrame([("Hi", "b\n\nc"), ("", "only"), (" s ", None), (None, "x\n\ny")], "s string, b string")
+    t = X.email_text(F.col("s"), F.col("b"))
+    rows = df.select(t.alias("t")).select("t", *[c.alias(n) for c, n in zip(X.split_email_text(F.col("t")), ("s", "b"))]).collect()
+    assert [tuple(r) for r in rows] == [("Subject: Hi\n\nb\n\nc", "Hi", "b\n\nc"), ("only", "", "only"), ("Subject: s", "s", ""), ("x\n\ny", "", "x\n\ny")]
+    flat = spark.createDataFrame([("Subject: a Subject: b\nrest\n",), ("one line",)], "t string")
+    assert [tuple(r) for r in flat.select(*X.first_line_subject(F.col("t"))).collect()] == [("a Subject: b", "rest"), ("one line", "")]
+    raw = spark.createDataFrame([("Subject: Big win Date: Mon MIME-Version: 1.0 Content-Type: text/plain Hello there",), ("nothing",)], "t string")
+    assert [tuple(r) for r in raw.select(*X.flattened(F.col("t"))).collect()] == [("Big win", "Hello there"), ("", "nothing")]
 
 
 def test_canonical_source(spark):
@@ -25,12 +47,45 @@ def test_canonical_source(spark):
     assert got == ["trec_2007", "fraudulent_email_corpus", "ling", None]
 
 
-def test_allocation():
-    assert allocate({"a": 4, "b": 16}, 10) == {"a": 4, "b": 6}
-    assert allocate({"a": 4, "b": 9}, 13) == {"a": 4, "b": 9}
+def test_allotment():
+    import numpy as np
+
+    share = lambda cap, target: balance.shares_of(np.array(list(cap.values())), np.array(list(cap)), target).tolist()
+    assert share({"a": 4, "b": 16}, 10) == [4, 6] and share({"a": 4, "b": 9}, 13) == [4, 9]
+    assert share({"a": 5, "b": 5}, 1) == [0, 1] and share({"a": 5, "b": 5, "c": 5}, 3) == [1, 1, 1]
+    with pytest.raises(ValueError):
+        share({"a": 1}, 2)
+    assert balance.spaced(10, 4) == [0, 3, 6, 9] and balance.spaced(5, 1) == [4] and balance.spaced(3, 0) == [0, 1, 2]
+
+
+def test_samples(spark):
+    rows = spark.range(1000).select(F.col("id").alias("message_id"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    for digits in (0, 1, 3):
+        got = sampling.take(rows, ["label"], spark.createDataFrame([(0, 250), (1, 5000)], "label int, n long"), digits=digits)
+        assert sorted((r.label, r["count"]) for r in got.groupBy("label").count().collect()) == [(0, 250), (1, 100)]
+    nested = [{r.message_id for r in sampling.take(rows, [], spark.createDataFrame([(n,)], "n long")).collect()} for n in (0, 10, 20)]
+    assert not nested[0] and nested[1] < nested[2]
+    with pytest.raises(ValueError):
+        sampling.take(rows, [], spark.createDataFrame([(-1,)], "n long"))
+    assert [r.number for r in sampling.numbered(rows, [F.col("message_id").desc()]).orderBy(F.desc("message_id")).collect()] == list(range(1, 1001))
+
+
+def test_balance_rules(spark):
+    m = spark.createDataFrame([(i, int(i % 4 == 0), "a" if i % 3 else "b") for i in range(100)], "message_id long, label int, source string")
+    count = lambda d: {r.label: r["count"] for r in d.groupBy("label").count().collect()}
+    assert count(balance.by_ratio(m, -1)) == {0: 75, 1: 25} and count(balance.by_ratio(m, 0.5)) == {0: 25, 1: 25} and count(balance.by_ratio(m, 0.1)) == {0: 75, 1: 8}
+    for bad in (1.5, -2):
+        with pytest.raises(ValueError):
+            balance.by_ratio(m, bad)
+    with pytest.raises(ValueError):
+        balance.by_ratio(m.where("label = 0"), 0.5)
+    with pytest.raises(ValueError, match="b"):
+        balance.by_smallest_cell(m.where("not (source = 'b' and label = 1)"))
+    with pytest.raises(ValueError):
+        balance.check_mode("mixed_50_50", 0.3, 8)
     with pytest.raises(ValueError):
-        allocate({"a": 1}, 2)
-    assert spaced(10, 4) == [0, 3, 6, 9] and spaced(5, 1) == [4] and spaced(0, 1) == []
+        balance.validation(m, 51)
+    assert count(balance.balanced(m, " Source_Aware_50_50 ")) == {0: 25, 1: 25}
 
 
 def test_mime_and_mbox(spark, tmp_path):
@@ -41,7 +96,7 @@ def test_mime_and_mbox(spark, tmp_path):
     assert rows == {("One", "first", 1), ("Two", "second", 1)}
 
 
-PLANS = ["source_label_matrix", "dedup_high", "duplicate_groups", "ratio_trim", "split_92_2_6", "cross_source_overlap", "binary_metrics", "roc_auc", "threshold_sweep", "rolling_median", "compose_text", "naive_bayes"]
+PLANS = ["source_label_matrix", "dedup_high", "duplicate_groups", "ratio_trim", "source_aware_balance", "split_92_2_6", "cross_source_overlap", "overlap_details", "external_splits", "content_digest", "binary_metrics", "roc_auc", "threshold_sweep", "rolling_median", "compose_text", "naive_bayes"]
 
 
 @pytest.mark.parametrize("name", PLANS)
@@ -49,7 +104,7 @@ def test_plan_against_sql(spark, name):
     con = duckdb.connect()
     for t in core.TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    df = core.run(spark, name, SF)
+    df = core.queries()[name](spark, SF)
     cols = sorted(df.columns)
     r = con.execute(core.oracle_sql()[name])
     at = [[x[0] for x in r.description].index(c) for c in cols]
