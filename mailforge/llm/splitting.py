@@ -16,6 +16,7 @@ more are read as max_tokens - 1; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,51 +27,65 @@ from mailforge.llm.tokens import TOKENIZERS, encode, encoding, token_lengths
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE, CHARACTER = 6, 5, 4, 3, 2, 1, 0
 
 
-def codes(signs: str) -> list[np.ndarray]:
-    """The UTF-8 forms of signs as numbers, by length 1 to 3."""
-    raw = [c.encode("utf-8") for c in signs]
-    return [np.array([int.from_bytes(r, "big") for r in raw if len(r) == n], np.int64) for n in (1, 2, 3)]
+#: What a sign may be; the wide ones need no blank after them.
+STOP, CLOSER, PAUSE, WIDE_STOP, WIDE_CLOSER, WIDE_PAUSE, SPACE = (1 << i for i in range(7))
+#: Signs that end a sentence, close a quotation or bracket, end a clause, and blanks.
+SIGNS = {STOP: ".!?…؟।۔։", CLOSER: "\"')]»”’", PAUSE: ",;:،؛–—", WIDE_STOP: "。！？．", WIDE_CLOSER: "」』）】》", WIDE_PAUSE: "、，；：", SPACE: " \n\t\r\xa0\u3000\u2002\u2003\u2009"}
 
 
-#: Signs that end a sentence, close a quotation or bracket, end a clause, and blanks beyond ASCII. The wide ones need no blank after them.
-STOPS, CLOSERS, CLAUSES = codes(".!?…؟।۔։"), codes("\"')]»”’"), codes(",;:،؛–—")
-WIDE_STOPS, WIDE_CLOSERS, WIDE_CLAUSES = codes("。！？．"), codes("」』）】》"), codes("、，；：")
-BLANKS = codes("\xa0\u3000\u2002\u2003\u2009")
+@cache
+def sign_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each sign is, by its UTF-8 bytes: of one byte, of two, of three by the number of the first; and those numbers."""
+    one, two, lead = np.zeros(256, np.uint8), np.zeros(1 << 16, np.uint8), np.zeros(256, np.uint8)
+    raw = [(kind, c.encode("utf-8")) for kind, signs in SIGNS.items() for c in signs]
+    for i, first in enumerate(sorted({r[0] for _, r in raw if len(r) == 3}), 1):
+        lead[first] = i
+    three = np.zeros((int(lead.max()) + 1, 1 << 16), np.uint8)
+    for kind, r in raw:
+        if len(r) == 1:
+            one[r[0]] |= kind
+        elif len(r) == 2:
+            two[r[0] << 8 | r[1]] |= kind
+        else:
+            three[lead[r[0]], r[1] << 8 | r[2]] |= kind
+    return one, two, three, lead
 
 
 def strengths(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Strength of the boundary before each byte position of at (0 < at < len(data))."""
-    padded = np.concatenate([np.zeros(6, np.uint8), data, np.zeros(2, np.uint8)]).astype(np.int64)
+    one, two, three, lead = sign_tables()
+    padded = np.concatenate([np.zeros(6, np.uint8), data, np.zeros(2, np.uint8)])
     at = at + 6
+
+    def ending(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what the sign before each position is, its bytes)."""
+        last = padded[where - 1]
+        kind, size = one[last], np.ones(len(where), np.int64)
+        high = np.flatnonzero(last >= 0x80)
+        if len(high):
+            w = where[high]
+            b, c = padded[w - 2].astype(np.int64), padded[w - 3]
+            k2, k3 = two[b << 8 | last[high]], three[lead[c], b << 8 | last[high]]
+            kind[high], size[high] = np.where(k2 > 0, k2, k3), np.where(k2 > 0, 2, 3)
+        return kind, size
+
     right, l1, l2, l3 = padded[at], padded[at - 1], padded[at - 2], padded[at - 3]
-    blank_right = (right == 32) | (right == 10) | (right == 13) | (right == 9)
-    blank_left = (l1 == 32) | (l1 == 10) | (l1 == 9)
-
-    def ends_with(signs: list[np.ndarray], where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether a sign ends before each position, its bytes)."""
-        a, b, c = padded[where - 1], padded[where - 2], padded[where - 3]
-        size = np.isin(a, signs[0]).astype(np.int64)
-        high = np.flatnonzero(a >= 0x80)
-        a, b, c = a[high], b[high], c[high]
-        size[high] = np.where(np.isin(b << 8 | a, signs[1]), 2, np.where(np.isin(c << 16 | b << 8 | a, signs[2]), 3, 0))
-        return size > 0, size
-
-    if (data >= 0x80).any():
-        blank_left |= ends_with(BLANKS, at)[0]
-        for signs in (BLANKS[1], BLANKS[2]):
-            ahead = right << 8 | padded[at + 1]
-            blank_right |= np.isin(ahead if signs is BLANKS[1] else ahead << 8 | padded[at + 2], signs)
-    out = np.where(blank_right | blank_left, WORD, INSIDE)
-    closed, size = ends_with(CLOSERS, at)
-    out[ends_with(CLAUSES, at)[0] & blank_right] = CLAUSE
-    stop = ends_with(STOPS, at)[0] | closed & ends_with(STOPS, at - size)[0]
-    out[stop & blank_right] = SENTENCE
-    wide = np.flatnonzero(l1 >= 0x80)
-    if len(wide):
-        there = at[wide]
-        closed, size = ends_with(WIDE_CLOSERS, there)
-        out[wide[ends_with(WIDE_CLAUSES, there)[0]]] = CLAUSE
-        out[wide[ends_with(WIDE_STOPS, there)[0] | closed & ends_with(WIDE_STOPS, there - size)[0]]] = SENTENCE
+    left, size = ending(at)
+    blank_right = (one[right] & SPACE) > 0
+    high = np.flatnonzero(right >= 0xC0)
+    if len(high):
+        w = at[high]
+        b, c = padded[w + 1].astype(np.int64), padded[w + 2]
+        blank_right[high] = (two[right[high].astype(np.int64) << 8 | b] | three[lead[right[high]], b << 8 | c]) & SPACE > 0
+    out = np.where(blank_right | ((left & SPACE) > 0) & (l1 != 13), WORD, INSIDE)
+    out[((left & PAUSE) > 0) & blank_right | ((left & WIDE_PAUSE) > 0)] = CLAUSE
+    stop, wide_stop = (left & STOP) > 0, (left & WIDE_STOP) > 0
+    closed = np.flatnonzero(left & (CLOSER | WIDE_CLOSER))
+    if len(closed):
+        inner, _ = ending(at[closed] - size[closed])
+        stop[closed] |= ((left[closed] & CLOSER) > 0) & ((inner & STOP) > 0)
+        wide_stop[closed] |= ((left[closed] & WIDE_CLOSER) > 0) & ((inner & WIDE_STOP) > 0)
+    out[stop & blank_right | wide_stop] = SENTENCE
     line = (l1 == 10) & ~blank_right
     out[line] = LINE
     out[line & ((l2 == 10) | ((l2 == 13) & (l3 == 10)))] = PARAGRAPH
@@ -100,26 +115,32 @@ def merge(strength: np.ndarray, n: int, limit: int, overlap: int) -> list[tuple[
     room = limit - overlap
     start = atoms(strength, n, room)
     m = len(start)
-    end = [*start[1:], n]
-    after = list(range(1, m)) + [-1]
-    before = [-1, *range(m - 1)]
-    alive = [True] * m
-    heap = [(int(strength[start[i + 1] - 1]), end[i + 1] - start[i], i, i + 1, end[i + 1]) for i in range(m - 1)]
-    heapq.heapify(heap)
-    while heap:
-        s, size, i, j, e = heapq.heappop(heap)
-        if not alive[i] or not alive[j] or after[i] != j or e - start[i] != end[j] - start[i] or size != end[j] - start[i]:
-            continue
-        if size + (overlap if start[i] else 0) > limit:
-            continue
-        end[i], alive[j], after[i] = end[j], False, after[j]
-        k = after[i]
-        if k >= 0:
-            before[k] = i
-            heapq.heappush(heap, (int(strength[start[k] - 1]), end[k] - start[i], i, k, end[k]))
-        h = before[i]
-        if h >= 0:
-            heapq.heappush(heap, (int(strength[start[i] - 1]), end[i] - start[h], h, i, end[i]))
+    end, after, before, alive = [*start[1:], n], list(range(1, m + 1)), list(range(-1, m - 1)), [True] * m
+    level = [-1, *strength[np.array(start[1:], np.int64) - 1].tolist()]  # of the boundary before each atom
+    by_level: dict[int, list[int]] = {}
+    for j in range(1, m):
+        by_level.setdefault(level[j], []).append(j)
+    # Sizes only grow, so what did not fit at a weaker level never will, but beside the first piece, which needs no room for an overlap; what is
+    # stronger is not asked yet.
+    for now in sorted(by_level):
+        heap = []
+        for j in by_level[now]:
+            i = before[j]
+            if (size := end[j] - start[i]) + (overlap if i else 0) <= limit:
+                heap.append((now, size, i, j))
+        heapq.heapify(heap)
+        while heap:
+            _, size, i, j = heapq.heappop(heap)
+            if not alive[j] or before[j] != i or size != end[j] - start[i]:
+                continue
+            end[i], alive[j], k = end[j], False, after[j]
+            after[i] = k
+            if k < m:
+                before[k] = i
+                if (level[k] == now or not i and level[k] < now) and (size := end[k] - start[i]) + (overlap if i else 0) <= limit:
+                    heapq.heappush(heap, (level[k], size, i, k))
+            if level[i] == now and (size := end[i] - start[h := before[i]]) + (overlap if h else 0) <= limit:
+                heapq.heappush(heap, (now, size, h, i))
     return [(start[i], end[i]) for i in range(m) if alive[i]]
 
 

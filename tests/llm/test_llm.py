@@ -233,7 +233,7 @@ def plain_merge(strength, n, limit, overlap):
 
 def test_merging_equals_plain_bottom_up():
     rng = np.random.default_rng(4)
-    for case in range(150):
+    for case in range(600):
         n, limit = int(rng.integers(2, 90)), int(rng.integers(2, 24))
         strength = rng.choice(7, n - 1, p=[0.02, 0.3, 0.3, 0.14, 0.12, 0.08, 0.04])
         overlap = int(rng.integers(0, limit))
