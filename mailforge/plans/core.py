@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from mailforge.plans import curation
+from mailforge.plans import curation, evaluation, replies
 from mailforge.plans.dialect import BLANKS, Duck, Spark
 
 TABLES = ("combine", "split_rows", "events", "embeddings", "source_registry", "duplicate_report")
@@ -96,27 +96,6 @@ def probability_metrics(d):
     return f"with {scored(d)} select round(avg(-(label * ln({p}) + (1 - label) * ln(1 - {p}))), 6) as log_loss, round(avg((score - label) * (score - label)), 6) as brier, round(avg(abs(score - label)), 6) as mae, round(avg(-({p} * ln({p}) + (1 - {p}) * ln(1 - {p}))), 6) as entropy, round(avg(score), 6) as mean_spam from scored"
 
 
-@plan
-def roc_auc(d):
-    """Rank statistic from one row per distinct score: pairs won plus half of the ties."""
-    return f"""with {scored(d)}, s as (select score, sum(label) as pos, sum(1 - label) as neg from scored group by score), c as (select *, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from s)
-select round(sum(pos * (below + neg / 2.0e0)) / greatest(cast(sum(pos) as double) * sum(neg), 1), 6) as auc from c"""
-
-
-@plan
-def average_precision(d):
-    return f"""with {scored(d)}, s as (select score, sum(label) as pos, count(*) as n from scored group by score), c as (select pos, sum(pos) over (order by score desc) as tp, sum(n) over (order by score desc) as k from s)
-select round(sum(pos * tp / cast(k as double)) / greatest(sum(pos), 1), 6) as ap from c"""
-
-
-@plan
-def threshold_sweep(d):
-    """The threshold of best F1, then balanced accuracy, then nearness to 0.5, then the lowest; from cumulative counts per score."""
-    return f"""with {scored(d)}, s as (select score as t, sum(label) as pos, sum(1 - label) as neg from scored group by score), c as (select t, sum(pos) over (order by t desc) as tp, sum(neg) over (order by t desc) as fp, sum(pos) over () as p, sum(neg) over () as n from s),
-m as (select t, round(2.0e0 * tp / greatest(tp + fp + p, 1), 9) as f1, round((tp / greatest(p, 1) + (n - fp) / cast(greatest(n, 1) as double)) / 2, 9) as ba from c)
-select round(t, 6) as threshold, round(f1, 6) as f1 from (select *, row_number() over (order by f1 desc, ba desc, abs(t - 0.5e0), t) as r from m) x where r = 1"""
-
-
 def runs(d):
     return "runs as (select user_id as run_id, event_type as metric, event_id as step, value from events where value is not null)"
 
@@ -236,8 +215,8 @@ def run(spark, name: str, folder: str):
 
 
 def queries():
-    return curation.QUERIES | {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
+    return curation.QUERIES | replies.QUERIES | evaluation.QUERIES | {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
 
 
 def oracle_sql():
-    return curation.SQL | {name: f(Duck()) for name, f in PLANS.items()}
+    return curation.SQL | replies.SQL | evaluation.SQL | {name: f(Duck()) for name, f in PLANS.items()}
