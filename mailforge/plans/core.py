@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from mailforge.plans import curation, evaluation, replies
+from mailforge.plans import curation, evaluation, replies, runs as run_plans
 from mailforge.plans.dialect import BLANKS, Duck, Spark
 
 TABLES = ("combine", "split_rows", "events", "embeddings", "source_registry", "duplicate_report")
@@ -117,13 +117,6 @@ def rolling_median(d):
     return f"with {runs(d)}, w as (select run_id, step, {a} as a from runs) select run_id, step, round(({d.at('a', f'({d.size(chr(97))} + 1) / 2.0 - 0.5 * (({d.size(chr(97))} + 1) % 2)')} + {d.at('a', f'({d.size(chr(97))} + 2) / 2.0 - 0.5 * ({d.size(chr(97))} % 2)')}) / 2, 6) as med from w"
 
 
-@plan
-def curve_downsample(d):
-    """At most 20 evenly spaced points of each run, first and last included."""
-    return f"""with {runs(d)}, o as (select run_id, step, value, row_number() over (partition by run_id order by step) - 1 as i, count(*) over (partition by run_id) as n from runs)
-select run_id, step, value from o where n <= 20 or cast({d.even('i * 19.0e0 / greatest(n - 1, 1)')} as bigint) <> coalesce(cast({d.even('(i - 1) * 19.0e0 / greatest(n - 1, 1)')} as bigint), -1) or i = 0"""
-
-
 @plan
 def runtime_statistics(d):
     return f"with {runs(d)} select metric, count(*) as n, round(avg(value), 6) as mean, round({d.quantile('value', 0.5)}, 6) as med, round(min(value), 6) as low, round(max(value), 6) as high from runs group by metric"
@@ -200,12 +193,6 @@ prior as (select ln(sum(label) / cast(sum(1 - label) as double)) as x from docs)
 select k.message_id, case when sum(k.c * g.x) + max(p.x) > 0 then 1 else 0 end as predicted, round(sum(k.c * g.x) + max(p.x), 4) as margin from tok k join weight g on g.w = k.w cross join prior p group by k.message_id"""
 
 
-@plan
-def vector_normalize(d):
-    v = "embedding"
-    return f"select vec_id, round({d.norm(v)}, 4) as norm, case when {d.norm(v)} > 0 then 1 else 0 end as scaled from embeddings"
-
-
 def run(spark, name: str, folder: str):
     """A plan over the tables of a folder."""
     for t in TABLES:
@@ -215,8 +202,8 @@ def run(spark, name: str, folder: str):
 
 
 def queries():
-    return curation.QUERIES | replies.QUERIES | evaluation.QUERIES | {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
+    return curation.QUERIES | replies.QUERIES | evaluation.QUERIES | run_plans.QUERIES | {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
 
 
 def oracle_sql():
-    return curation.SQL | replies.SQL | evaluation.SQL | {name: f(Duck()) for name, f in PLANS.items()}
+    return curation.SQL | replies.SQL | evaluation.SQL | run_plans.SQL | {name: f(Duck()) for name, f in PLANS.items()}

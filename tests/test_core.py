@@ -90,7 +90,7 @@ def test_balance_rules(spark):
 
 def test_mime_and_mbox(spark, tmp_path):
     raw = "Subject: Hi\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain\n\none\n--B\nContent-Type: text/html\n\n<p>x\n--B\nContent-Type: text/plain\n\ntwo\n--B--\n"
-    assert parse_mime(raw) == ("Hi", "one\ntwo") and parse_mime(None) == ("", "")
+    assert parse_mime(raw) == ("Hi", "one\ntwo", False) and parse_mime(None) == ("", "", False)
     (tmp_path / "box").write_text("From a@b Mon\nSubject: One\n\nfirst\n\nFrom c@d Tue\nSubject: Two\n\nsecond\n")
     rows = {(r.subject, r.body.strip(), r.label) for r in mbox(spark, str(tmp_path / "box"), "box", 1).collect()}
     assert rows == {("One", "first", 1), ("Two", "second", 1)}
