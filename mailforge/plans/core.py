@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import os
 
-from mailforge.plans import curation, evaluation, replies, runs as run_plans
+from mailforge.plans import curation, evaluation, models, replies
+from mailforge.plans import runs as run_plans
 from mailforge.plans.dialect import BLANKS, Duck, Spark
 
 TABLES = ("combine", "split_rows", "events", "embeddings", "source_registry", "duplicate_report")
@@ -171,28 +172,6 @@ def length_quantiles(d):
     return f"with {clean(d)}, l as (select source, length(body) as n from clean) select source, count(*) as n, round(avg(n), 6) as mean, round({d.quantile('n', 0.5)}, 6) as med, round({d.quantile('n', 0.95)}, 6) as p95 from l group by source"
 
 
-@plan
-def word_count_boxes(d):
-    return f"with {clean(d)}, l as (select label, {d.size(d.words('lower(body)'))} as n from clean where label in (0, 1)) select label, " + ", ".join(f"round({d.quantile('n', q)}, 6) as q{int(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from l group by label"
-
-
-def terms(d):
-    return f"{clean(d)}, docs as (select message_id, label, {d.words('lower(body)')} as ws from clean where label in (0, 1)), tf as (select w, sum(1 - label) as n0, sum(label) as n1 from {d.explode('docs', 'ws', 'w')} group by w)"
-
-
-@plan
-def term_log_odds(d):
-    return f"with {terms(d)}, t as (select sum(n0) as t0, sum(n1) as t1, count(*) as v from tf) select w as term, n0, n1, round(ln((n1 + 1.0e0) / (t1 + v)) - ln((n0 + 1.0e0) / (t0 + v)), 6) as log_odds from tf cross join t where n0 + n1 >= 20"
-
-
-@plan
-def naive_bayes(d):
-    """Multinomial model with add-one smoothing, trained and applied on all labelled rows."""
-    return f"""with {terms(d)}, t as (select sum(n0) as t0, sum(n1) as t1, count(*) as v from tf), weight as (select w, ln((n1 + 1.0e0) / (t1 + v)) - ln((n0 + 1.0e0) / (t0 + v)) as x from tf cross join t),
-prior as (select ln(sum(label) / cast(sum(1 - label) as double)) as x from docs), tok as (select message_id, w, count(*) as c from {d.explode('docs', 'ws', 'w')} group by message_id, w)
-select k.message_id, case when sum(k.c * g.x) + max(p.x) > 0 then 1 else 0 end as predicted, round(sum(k.c * g.x) + max(p.x), 4) as margin from tok k join weight g on g.w = k.w cross join prior p group by k.message_id"""
-
-
 def run(spark, name: str, folder: str):
     """A plan over the tables of a folder."""
     for t in TABLES:
@@ -202,8 +181,8 @@ def run(spark, name: str, folder: str):
 
 
 def queries():
-    return curation.QUERIES | replies.QUERIES | evaluation.QUERIES | run_plans.QUERIES | {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
+    return curation.QUERIES | replies.QUERIES | evaluation.QUERIES | run_plans.QUERIES | models.QUERIES | {name: (lambda spark, d, name=name: run(spark, name, d)) for name in PLANS}
 
 
 def oracle_sql():
-    return curation.SQL | replies.SQL | evaluation.SQL | run_plans.SQL | {name: f(Duck()) for name, f in PLANS.items()}
+    return curation.SQL | replies.SQL | evaluation.SQL | run_plans.SQL | models.SQL | {name: f(Duck()) for name, f in PLANS.items()}

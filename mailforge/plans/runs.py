@@ -231,11 +231,11 @@ def uneven_union(spark, d):
     return s.where("metric = 'click'").select("run_hash", "step").unionByName(s.where("metric = 'view'").select("run_hash", "value"), allowMissingColumns=True)
 
 
-@query("with n as (select vec_id, embedding, sqrt(list_sum([y::double * y::double for y in embedding])) as norm from embeddings) select vec_id, generate_subscripts(embedding, 1) - 1 as i, round(unnest(embedding)::double / case when norm > 0 then norm else 1 end, 4) as x from n")
+@query("with n as (select vec_id, embedding, sqrt(list_sum([y::double * y::double for y in embedding])) as norm from embeddings) select vec_id, generate_subscripts(embedding, 1) - 1 as i, round(unnest(embedding)::double / case when norm > 0 then norm else 1 end, 4) + 0.0 as x from n")
 def vector_normalize(spark, d):
     """Vectors brought to length one, place by place; the zero vector stays."""
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode(unit(F.col("embedding"))).alias("i", "x"))
-    return e.select("vec_id", "i", F.round("x", 4).alias("x"))
+    return e.select("vec_id", "i", (F.round("x", 4) + 0.0).alias("x"))
 
 
 def unit(v: Column) -> Column:
