@@ -1,12 +1,14 @@
 """Problem 5: only what the sender newly wrote.
 
-Bodies are cut into paragraphs and these into blocks where the kind of line changes (quoted, header, separator, closing, notice,
-contact). Each block has features: place, length, contact density, quote depth, cues, how often its sender and the corpus use its
-lines (sender frequency), and how many of its word grams other messages hold (ancestor overlap). Frequencies come from one hashed
-table of fixed size counted over all bodies. Gradient-boosted trees tell blocks to keep from blocks to remove.
+Bodies are segmented into lines and paragraphs, and each line has features: structure (quote depth, rules, header fields, introductions, the region
+after a forwarded head, and those of its neighbours), place in body and paragraph, contact density (addresses, links, digits, names), wording
+(log-odds of its words and word pairs), sender frequency (how often its sender and the corpus write this line) and ancestor overlap (how many
+of its words stand in six-word runs that other messages hold). Gradient-boosted trees classify the lines of each block; nothing else decides.
 
-No labels exist, so the trees learn from weak ones: unmistakable structure (quote marks under an introduction, headers of a forwarded message,
-a signature after its separator or closing phrase, notices) labels the blocks of a bounded sample, TRAIN messages drawn by hash.
+Frequencies and runs are counted over all bodies in one hashed table sized by their number. The trees and the log-odds are fitted on TRAIN messages
+drawn by hash, whose lines have weak labels from seed rules (structure, and phrases of closings and notices, below). The rules see the sample
+only: phrases are no feature, and a wording they do not know is judged by its other features. Log-odds of a half of the sample come from the
+other half, so that the trees learn how much to trust them.
 
 Defined results: null, empty and wordless bodies have no case; blank lines are never listed; lines end at line feeds and count
 from 1; repeated message_ids are judged each on its own; an empty table gives no rows; extra columns are ignored.
@@ -22,13 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailforge.llm.neardup import SPARSE, counts_table, sparse_counts
+from mailforge.llm.neardup import SPARSE, counts_table, sparse_counts, table_bits
 from mailforge.llm.trees import Boosted
-from mailforge.llm.words import grams, inside_text, mix, text_of, word_hashes
+from mailforge.llm.words import fingerprints, grams, mix, word_hashes
 
-#: Messages the trees are fitted on.
-TRAIN = 6000
-BITS = 22
+#: Messages the trees are fitted on; bits of the table of log-odds; counts from which a word has log-odds of its own.
+TRAIN, ODDS_BITS, LEAST = 8000, 20, 3
 I = regex.I  # noqa: E741
 QUOTE = regex.compile(r"^\s*(?:[>|]|[A-Z]{1,3}>|:(?:\s|$))", I)
 DEPTH = regex.compile(r"^\s*((?:[A-Z]{0,3}[>|:]\s?)+)", I)
@@ -51,7 +52,7 @@ LEGAL = regex.compile(
     r"copy received in error|to pass on \w+ material|monitors .{0,30}traffic for|is at your own risk|should (?:destroy|delete|erase|remove) suspicious|est confidentiel et r|ist vertraulich und nur|jest poufna i|конфиденциально и предназначено|confidencial e destina-se|^\W*you receive this .{0,30}under|under the terms agreed with",
     I,
 )
-LISTS = regex.compile(r"receiving this because you joined|mailing list\s*[-–:]\s*(?:https?:|www)|unsubscribe from .{0,60}visit|to unsubscribe|manage your .{0,40}settings|your \S+ settings:|^\W*list archive|mailing list\s*$|listinfo", I)
+LISTS = regex.compile(r"receiving this because you joined|mailing list\s*[-–:]\s*(?:https?:|www)|unsubscribe from .{0,60}visit|manage your .{0,40}settings|your \S+ settings:|^\W*list archive|mailing list\s*$|listinfo", I)
 DEVICE = regex.compile(r"^\W*(?:sent from my \S+|get \S+ mail for your \S+|typed with thumbs|sent with \S+ mail|enviado do meu|envoyé de mon|von meinem \S+ gesendet|wysłane z)", I)
 CONTACT = regex.compile(r"(?:[\w.+-]+@[\w-]+\.\w+|(?:tel|fax|ph|phone|desk|mobile|x)\.?:?\s*\+?\d[\d\s()-]+|^\s*\+\d[\d\s-]{5,}$|https?://\S+|www\.\S+)", I)
 PHONE = regex.compile(r"(?:tel|fax|ph|phone|desk|mobile|\bx)\.?:?\s*\+?\d|^\s*\+?\d[\d\s()-]{5,}$", I)
@@ -68,15 +69,11 @@ def plain(line: str) -> str:
     return line.replace("​", "").replace("\xa0", " ").rstrip("\r")
 
 
-#: Without one of these a body has no notice, list or device line: at least one stands in each alternative of those patterns.
-TRIGGERS = ("confiden", "notice", "note:", "external]", "caution:", "gateway:", "intended for", "contents is", "every copy", "copy received", "traffic for", "own risk", "suspicious", "vertraulich", "poufna", "конфиденциально",
-            "you receive this", "terms agreed", "views in this", "may hold", "meant only", "if you are not", "without consent", "no liability", "think of the trees", "pass on",
-            "unsubscribe", "settings", "archive", "mailing list", "listinfo", "because you joined", "sent from my", "mail for your", "with thumbs", "sent with", "enviado do", "envoyé de", "gesendet", "wysłane z")
 CUE_STARTS = frozenset(">|:-_=~*#–—")
 
 
-def kind(line: str, notices: bool = True) -> int:
-    """Kind of one line; notices: whether notice, list and device lines can occur."""
+def structure(line: str) -> int:
+    """Kind of one line by its structure alone."""
     text = line.strip()
     if not text:
         return BLANK
@@ -89,26 +86,27 @@ def kind(line: str, notices: bool = True) -> int:
         return FORWARDS
     if colon and ":" in text[:12] and HEADER.match(line):
         return HEAD
-    if len(text) < 40 and CLOSING.match(line):
-        return CLOSES
     if colon and text[-1] == ":" and (INTRO.search(line) or STARRED.match(line)):
         return INTRODUCES
-    if notices:
-        if DEVICE.search(line) or LISTS.search(line):
-            return FOOTER
-        if LEGAL.search(line):
-            return NOTICE
     return TEXT
 
 
+def kind(line: str) -> int:
+    """Kind of one line for the seed rules, which know phrases, too."""
+    k = structure(line)
+    if k in (TEXT, INTRODUCES) and CLOSING.match(line):
+        return CLOSES
+    if k == TEXT:
+        return FOOTER if DEVICE.search(line) or LISTS.search(line) else NOTICE if LEGAL.search(line) else TEXT
+    return k
+
+
 class Body:
-    """Lines, their kinds and blocks [start, end) of a body."""
+    """A body of the sample under the seed rules: its lines, their kinds and whether each has to go."""
 
     def __init__(self, body: str):
         self.lines = [plain(x) for x in body.split("\n")]
-        low = body.lower()
-        notices = any(t in low for t in TRIGGERS)
-        k = self.kinds = [kind(x, notices) for x in self.lines]
+        k = self.kinds = [kind(x) for x in self.lines]
         n = len(k)
         dated = [i for i in range(n - 1) if k[i] in (TEXT, HEAD) and k[i + 1] in (TEXT, INTRODUCES) and self.lines[i + 1].rstrip().endswith(":")]
         for i in dated:  # an introduction over two lines
@@ -119,9 +117,6 @@ class Body:
                 k[i] = k[i + 1] = INTRODUCES
             if k[i] == TEXT and k[i + 1] == INTRODUCES and not INTRO.search(self.lines[i]) and INTRO_HEAD.match(self.lines[i]):
                 k[i] = INTRODUCES
-        self.blocks: list[tuple[int, int]] = []
-        self.weak: list[bool] = []
-        self.cue: list[int] = []
         gone = [False] * n
         role = list(k)
         i = 0
@@ -157,117 +152,191 @@ class Body:
                         gone[m], role[m] = True, CLOSES
                     i = j - 1
             i += 1
-        start = 0
-        for i in range(1, n + 1):
-            if i == n or role[i] != role[start] or gone[i] != gone[start]:
-                if role[start] != BLANK:
-                    self.blocks.append((start, i))
-                    self.weak.append(gone[start])
-                    self.cue.append(role[start])
-                start = i
-
-
-NINES = {ord(c): "9" for c in "012345678"}
-
-
-def shape(line: str) -> int:
-    """Hash of a line without its numbers and case."""
-    return zlib.crc32(line.strip().lower().translate(NINES).encode("utf-8", "replace"))
-
-
-def line_keys(sender: str | None, lines: list[str]) -> list[tuple[int, int]]:
-    """(corpus key, sender key) of each line."""
-    s = zlib.crc32((sender or "").encode("utf-8", "replace"))
-    return [((c := shape(x)) << 32 | 1, (c ^ s) << 32 | 2) for x in lines]
-
-
-def table_keys(bodies: list[str], senders: list[str | None]) -> list[np.ndarray]:
-    h, bounds = word_hashes(bodies)
-    g, ok = grams(h, 6), inside_text(bounds, 6)
-    keys = [k for b, s in zip(bodies, senders) for pair in line_keys(s, [x for x in b.split("\n") if 0 < len(x) < 80]) for k in pair]
-    return [mix(g[ok] + np.uint64(3)), mix(np.array(keys, np.uint64))]
-
-
-def features(bodies: list[str], senders: list[str | None], level: np.ndarray):
-    """(parsed bodies, index of each block's body, feature rows)."""
-    shift = np.uint64(64 - BITS)
-    parsed, rows, owner, texts, keys = [], [], [], [], []
-    for number, (body, sender) in enumerate(zip(bodies, senders)):
-        p = Body(body)
-        parsed.append(p)
-        n, before = len(p.lines), -1
-        for at, ((a, b), cue) in enumerate(zip(p.blocks, p.cue)):
-            lines = p.lines[a:b]
-            text = " ".join(lines)
-            words = text.split()
-            named = text.count("@") + text.count("://") + text.count("www.") + sum(len(x) < 40 and PHONE.search(x) is not None for x in lines)
-            contacts = named + sum(len(x) < 60 and NAME.match(x) is not None for x in lines)
-            depth = max((sum(m.group(1).count(c) for c in ">|:") for x in lines if (m := DEPTH.match(x))), default=0) if cue in (QUOTED, FORWARDS) else 0
-            own = [p.kinds[i] for i in range(a, b)]
-            rows.append([
-                a / n, (n - b) / n, len(p.blocks) - at, b - a, len(text) / (b - a), contacts / (len(words) + 1), depth, own.count(QUOTED) / (b - a), cue == CLOSES, cue == NOTICE, cue == FOOTER, cue == FORWARDS,
-                cue == INTRODUCES, cue == SEPARATES, cue == HEAD, own.count(HEAD) / (b - a), before == FORWARDS, before == CLOSES, before == SEPARATES, before == NOTICE, sum(text.count(c) for c in ".!?") / (len(words) + 1), named > 0, at == 0,
-                *[at + 1 < len(p.cue) and p.cue[at + 1] == c for c in (TEXT, QUOTED, FORWARDS, CLOSES, NOTICE, FOOTER)],
-            ])
-            owner.append(number)
-            texts.append(text)
-            keys.append(line_keys(sender, [x for x in body.split("\n")[a:b] if 0 < len(x) < 80][:4] or [""]))
-            before = cue
-    if not rows:
-        return parsed, np.zeros(0, np.int64), np.zeros((0, 32))
-    x = np.array(rows, np.float64)
-    h, bounds = word_hashes(texts)
-    g, ok = grams(h, 6), inside_text(bounds, 6)
-    which = text_of(bounds, len(g))[ok]
-    met = level[mix(g[ok] + np.uint64(3)) >> shift] > 10
-    ancestor = np.bincount(which, met, len(rows)) / np.maximum(1, np.bincount(which, minlength=len(rows)))
-    flat = np.array([k for block in keys for pair in block for k in pair], np.uint64)
-    seen = level[mix(flat) >> shift].astype(float).reshape(-1, 2)
-    per = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-    size = np.bincount(per, minlength=len(rows))
-    corpus, sender = np.bincount(per, seen[:, 0]) / size, np.bincount(per, seen[:, 1]) / size
-    return parsed, np.array(owner), np.column_stack([x, ancestor, corpus, sender])
+        self.gone = gone
+
+
+class Lines:
+    """The non-blank lines of bodies, with what their text and structure say; arrays over all lines, no loop over words."""
+
+    def __init__(self, bodies: list[str], senders: list[str | None]):
+        texts, kinds, owner, number, para, forwarded = [], [], [], [], [], []
+        paragraph = 0
+        for i, body in enumerate(bodies):
+            lines = [plain(x) for x in body.split("\n")]
+            ks = [structure(x) for x in lines]
+            start = len(lines)
+            if FORWARDS in ks:
+                start = ks.index(FORWARDS)
+            if HEAD in ks:  # a head of three fields or more that does not open the body
+                for j in range(1, min(start, len(lines))):
+                    if ks[j] == HEAD and HEADER_FIRST.match(lines[j]) and ks[j : j + 6].count(HEAD) >= 3:
+                        start = j
+                        break
+            paragraph += 1
+            for j, (x, k) in enumerate(zip(lines, ks)):
+                if k == BLANK:
+                    paragraph += 1
+                    continue
+                texts.append(x)
+                kinds.append(k)
+                owner.append(i)
+                number.append(j)
+                para.append(paragraph)
+                forwarded.append(j >= start)
+        self.texts, self.owner, self.number = texts, np.array(owner, np.int64), np.array(number, np.int64)
+        self.kind, self.para, self.forwarded = np.array(kinds, np.int64), np.array(para, np.int64), np.array(forwarded, bool)
+        self.h, self.bounds = word_hashes(texts)
+        self.sender = np.array([zlib.crc32((x or "").encode("utf-8", "replace")) for x in senders], np.uint64)
+        self.size = np.diff(self.bounds)
+        self.line = np.repeat(np.arange(len(texts)), self.size)  # of each word
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(corpus key, sender key of each line; six-word runs, whether each lies in one body)."""
+        own = fingerprints(self.h, self.bounds)
+        runs = grams(self.h, 6)
+        body = self.owner[self.line]
+        inside = body[: len(runs)] == body[5 : 5 + len(runs)] if len(runs) else np.zeros(0, bool)
+        return mix(own + np.uint64(1)), mix(own + mix(self.sender[self.owner] + np.uint64(2))), mix(runs + np.uint64(3)), inside
+
+    def wording(self) -> tuple[np.ndarray, np.ndarray]:
+        """(cell of each word and word pair, its line): pairs stay inside a line."""
+        pair = grams(self.h, 2)
+        inside = self.line[: len(pair)] == self.line[1 : 1 + len(pair)]
+        shift = np.uint64(64 - ODDS_BITS)
+        cells = np.concatenate([mix(self.h) >> shift, mix(pair[inside] + np.uint64(5)) >> shift]).astype(np.int64)
+        return cells, np.concatenate([self.line, self.line[: len(pair)][inside]])
+
+
+def mean_of(value: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount(group, value, groups) / np.maximum(1, np.bincount(group, minlength=groups))
+
+
+def log_odds(cells: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Smoothed log-odds of each cell for going; cells met less than LEAST times say nothing."""
+    a, n = np.bincount(cells[gone], minlength=1 << ODDS_BITS), np.bincount(cells, minlength=1 << ODDS_BITS)
+    prior = (a.sum() + 1) / (n.sum() + 2)
+    p = (a + 2 * prior) / (n + 2)
+    return np.where(n >= LEAST, np.log(p / (1 - p)) - np.log(prior / (1 - prior)), 0.0).astype(np.float32)
+
+
+def features(x: Lines, level: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """One row for each line. odds: one table, or one for each line's half of the sample, (2, cells) with x.half."""
+    m = len(x.texts)
+    if not m:
+        return np.zeros((0, 1))
+    shift = np.uint64(65 - len(level).bit_length())
+    corpus, sender, runs, inside = x.keys()
+    seen = np.zeros(len(x.h))
+    met = np.flatnonzero(inside & (level[(runs >> shift).astype(np.int64)] > 10))
+    for j in range(6):
+        seen[met + j] = 1
+    cells, of = x.wording()
+    w = odds[cells] if odds.ndim == 1 else odds[x.half[x.owner[of]], cells]
+    word_mean = mean_of(w, of, m)
+    word_max, word_min = np.zeros(m), np.zeros(m)
+    np.maximum.at(word_max, of, w)
+    np.minimum.at(word_min, of, w)
+    known = mean_of((w != 0).astype(float), of, m)
+    ancestor = mean_of(seen, x.line, m)
+
+    length = np.array([len(t) for t in x.texts], float)
+    stripped = [t.strip() for t in x.texts]
+    last = np.array([".!?,:".find(t[-1]) for t in stripped])
+    signs = np.array([t.count("@") + t.count("://") + t.count("www.") for t in x.texts], float)
+    digits = np.array([sum(c.isdigit() for c in t) if len(t) < 60 else -1 for t in stripped], float)
+    titled = np.array([sum(v[0].isupper() for v in t.split()) / (t.count(" ") + 1) if len(t) < 60 else -1 for t in stripped])
+    depth = np.array([sum(d.group(1).count(c) for c in ">|:") if k == QUOTED and (d := DEPTH.match(t)) else 0 for t, k in zip(x.texts, x.kind.tolist())], float)
+    letters = np.array([t[0].isalnum() for t in stripped], float)
+
+    first = np.searchsorted(x.owner, np.arange(len(x.sender)))
+    lines = np.bincount(x.owner, minlength=len(x.sender))
+    at = np.arange(m) - first[x.owner]
+    left = lines[x.owner] - at
+    para_id, para = np.unique(x.para, return_inverse=True)
+    para_first, para_size = np.searchsorted(x.para, para_id), np.bincount(para)
+    in_para = np.arange(m) - para_first[para]
+    para_of_body = para - para[first[x.owner]]
+    last_line = first[x.owner] + lines[x.owner] - 1
+    para_left = para[last_line] - para
+    para_words = np.bincount(para, word_mean * x.size) / np.maximum(1, np.bincount(para, x.size))
+    para_words = para_words[para]
+
+    def near(value: np.ndarray, step: int, none: float) -> np.ndarray:
+        out = np.full(m, none)
+        if step > 0:
+            ok = x.owner[step:] == x.owner[:-step]
+            out[:-step][ok] = value[step:][ok]
+        else:
+            ok = x.owner[-step:] == x.owner[:step]
+            out[-step:][ok] = value[:step][ok]
+        return out
+
+    blank_before, blank_after = in_para == 0, in_para == para_size[para] - 1
+    separates = np.where(x.kind == SEPARATES, np.arange(m), -1)
+    since = np.arange(m) - np.maximum.accumulate(np.where(separates >= 0, separates, 0))
+    since = np.where(np.maximum.accumulate(separates) >= first[x.owner], since, 99)
+    contact = (signs > 0) | (digits >= 4)
+    short = length < 60
+    run = (short & letters.astype(bool)).astype(float)
+    tail = near(run, 1, 0) + near(run, 1, 0) * near(run, 2, 0) + near(run, 1, 0) * near(run, 2, 0) * near(run, 3, 0)
+    columns = [
+        at, left, at / (at + left), para_of_body, para_left, in_para, para_size[para], length, x.size, blank_before, blank_after, last == 0, last == 1, last == 3, last == 4, letters,
+        signs, digits, titled, depth, signs / (x.size + 1), x.forwarded, since, tail,
+        word_mean, word_max, word_min, known, para_words, word_mean[para_first[para]],
+        level[(corpus >> shift).astype(np.int64)], level[(sender >> shift).astype(np.int64)], ancestor, np.bincount(para, ancestor)[para] / para_size[para],
+        *[x.kind == k for k in (QUOTED, SEPARATES, HEAD, FORWARDS, INTRODUCES)],
+    ]
+    for step in (-3, -2, -1, 1, 2, 3):
+        columns += [near(x.kind.astype(float), step, -1), near(word_mean, step, 0), near(contact.astype(float), step, -1), near(length, step, -1), near(titled, step, -1)]
+    for step in (-1, 1):
+        columns += [near(para_words, step, 0), near(level[(corpus >> shift).astype(np.int64)].astype(float), step, -1), near(x.size.astype(float), step, -1)]
+    return np.column_stack([np.asarray(c, np.float32) for c in columns])
+
+
+def fit(bodies: list[str], senders: list[str | None], level: np.ndarray) -> tuple[np.ndarray, Boosted | None]:
+    """(table of log-odds, trees) from a sample under the seed rules."""
+    x = Lines(bodies, senders)
+    gone = [Body(b).gone for b in bodies]
+    y = np.array([gone[o][n] for o, n in zip(x.owner.tolist(), x.number.tolist())], bool)
+    if not len(y):
+        return np.zeros(1 << ODDS_BITS, np.float32), None
+    cells, of = x.wording()
+    x.half = np.arange(len(bodies)) % 2
+    half = x.half[x.owner[of]]
+    crossed = np.stack([log_odds(cells[half != k], y[of][half != k]) for k in (0, 1)])
+    model = Boosted(rounds=45, depth=5, rate=0.3, bins=40).fit(features(x, level, crossed), y.astype(float))
+    return log_odds(cells, y[of]), model
 
 
 def removed_lines(messages: DataFrame, train: int = TRAIN) -> DataFrame:
     """(message_id, line_no) of the lines that go."""
     spark = messages.sparkSession
     m = messages.select("message_id", "sender", "body").where("message_id is not null and body is not null and body <> ''")
+    bits = table_bits(m.count())
 
     def count(batches):
         found = []
         for b in batches:
-            found += table_keys(b.column("body").to_pylist(), b.column("sender").to_pylist())
-        yield sparse_counts(found, BITS)
+            corpus, sender, runs, inside = Lines(b.column("body").to_pylist(), b.column("sender").to_pylist()).keys()
+            found += [corpus, sender, runs[inside]]
+        yield sparse_counts(found, bits)
 
-    table = counts_table(m.mapInArrow(count, SPARSE), BITS)  # 4 MB, whatever the corpus
+    table = counts_table(m.mapInArrow(count, SPARSE), bits)  # 2**bits bytes, 64 MB at most
     h = F.xxhash64("message_id")
     last = m.select(h.alias("h")).orderBy("h").limit(train).agg(F.max("h")).first()[0]  # hashes alone reach the driver here
-    sample = m.where(h <= F.lit(last)).select("body", "sender").collect() if last is not None else []
-    parsed, _, x = features([r.body for r in sample], [r.sender for r in sample], table)
-    y = np.array([w for p in parsed for w in p.weak], float)
-    shared = spark.sparkContext.broadcast((table, Boosted().fit(x, y) if len(y) else None))
+    sample = m.where(h <= F.lit(last)).select("body", "sender").limit(2 * train).collect() if last is not None else []  # repeated ids may add some
+    shared = spark.sparkContext.broadcast((table, *fit([r.body for r in sample], [r.sender for r in sample], table)))
 
     def judge(batches):
-        level, model = shared.value
+        level, odds, model = shared.value
         for b in batches:
-            ids, bodies = b.column("message_id").to_pylist(), b.column("body").to_pylist()
-            parsed, owner, x = features(bodies, b.column("sender").to_pylist(), level)
-            go = model.predict(x) >= 0.5 if model is not None else np.zeros(0, bool)
-            out_id, out_line, at = [], [], 0
-            for i, p, body in zip(ids, parsed, bodies):
-                mine = go[at : at + len(p.blocks)]
-                at += len(p.blocks)
-                if not mine.any() or not regex.search(r"[\p{L}\p{N}]", body):
-                    continue
-                raw = body.split("\n")
-                for (a, e), gone in zip(p.blocks, mine):
-                    if gone:
-                        for n in range(a, e):
-                            if raw[n].strip():
-                                out_id.append(i)
-                                out_line.append(n + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_line, pa.int32())], ["message_id", "line_no"])
+            ids, bodies = b.column("message_id").to_numpy(zero_copy_only=False), b.column("body").to_pylist()
+            x = Lines(bodies, b.column("sender").to_pylist())
+            go = model.predict(features(x, level, odds)) >= 0.5 if model is not None and len(x.texts) else np.zeros(len(x.texts), bool)
+            worded = np.zeros(len(bodies), bool)
+            worded[x.owner[x.size > 0]] = True
+            at = np.flatnonzero(go & worded[x.owner])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x.owner[at]], pa.int64()), pa.array((x.number[at] + 1).astype(np.int32))], ["message_id", "line_no"])
 
     return m.mapInArrow(judge, "message_id long, line_no int")
 

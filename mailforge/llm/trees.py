@@ -1,4 +1,4 @@
-"""Gradient-boosted trees for two classes in numpy: quantile bins, logistic loss, depth-wise trees."""
+"""Gradient-boosted trees for two classes in numpy: quantile bins, logistic loss, depth-wise trees on histograms of half the rows each."""
 
 from __future__ import annotations
 
@@ -6,48 +6,45 @@ import numpy as np
 
 
 class Boosted:
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 5.0):
-        self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
+    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 0.25, share: float = 0.5, seed: int = 67):
+        self.rounds, self.depth, self.rate, self.bins, self.least, self.share, self.seed = rounds, depth, rate, bins, least, share, seed
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins)[1:-1])) for c in x.T]
         b = self._bin(x)
         p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         self.base, self.trees = np.log(p / (1 - p)), []
-        score = np.full(len(y), self.base)
+        score, rng = np.full(len(y), self.base), np.random.default_rng(self.seed)
+        place = b + np.arange(b.shape[1]) * self.bins
         for _ in range(self.rounds):
             q = 1 / (1 + np.exp(-score))
             g, h = y - q, q * (1 - q) + 1e-6
+            rows = np.flatnonzero(rng.random(len(y)) < self.share) if len(y) > 1000 else np.arange(len(y))
             node = np.zeros(len(y), np.int64)
             splits = np.full((2**self.depth - 1, 2), -1, np.int64)
             for level in range(self.depth):
-                for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                    rows = np.flatnonzero(node == k)
-                    if len(rows) and (s := self._split(b[rows], g[rows], h[rows])):
-                        splits[k] = s
-                move = np.flatnonzero(node >= 2**level - 1)
-                f = splits[node[move], 0]
-                right = (f >= 0) & (b[move, np.maximum(f, 0)] > splits[node[move], 1])
-                node[move] = 2 * node[move] + 1 + right
+                first = 2**level - 1
+                splits[first : 2 * first + 1] = self._splits(place[rows], node[rows] - first, 2**level, g[rows], h[rows])
+                f = splits[node, 0]
+                right = (f >= 0) & (b[np.arange(len(y)), np.maximum(f, 0)] > splits[node, 1])
+                node = 2 * node + 1 + right
             leaf = node - (2**self.depth - 1)
-            value = self.rate * np.bincount(leaf, g, 2**self.depth) / (np.bincount(leaf, h, 2**self.depth) + 1)
+            value = self.rate * np.bincount(leaf[rows], g[rows], 2**self.depth) / (np.bincount(leaf[rows], h[rows], 2**self.depth) + 1)
             self.trees.append((splits, value))
             score += value[leaf]
         return self
 
-    def _split(self, b, g, h):
-        best, out = 1e-6, None
-        total_g, total_h = g.sum(), h.sum()
-        for f in range(b.shape[1]):
-            n = len(self.edges[f]) + 1
-            if n < 2:
-                continue
-            gl, hl = np.cumsum(np.bincount(b[:, f], g, n))[:-1], np.cumsum(np.bincount(b[:, f], h, n))[:-1]
-            gr, hr = total_g - gl, total_h - hl
-            gain = np.where((hl > self.least / 20) & (hr > self.least / 20), gl**2 / (hl + 1) + gr**2 / (hr + 1) - total_g**2 / (total_h + 1), 0)
-            k = int(gain.argmax())
-            if gain[k] > best:
-                best, out = gain[k], (f, k)
+    def _splits(self, place: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """(feature, last bin to the left) of each node of a level, -1 where no split gains."""
+        width = place.shape[1]
+        key = (place + node[:, None] * (width * self.bins)).ravel()
+        hist = [np.bincount(key, np.repeat(w, width), nodes * width * self.bins).reshape(nodes, width, self.bins).cumsum(2) for w in (g, h)]
+        (gl, hl), (g_all, h_all) = hist, [w[:, :, -1:] for w in hist]
+        gr, hr = g_all - gl, h_all - hl
+        gain = np.where((hl > self.least) & (hr > self.least), gl**2 / (hl + 1) + gr**2 / (hr + 1) - g_all**2 / (h_all + 1), 0).reshape(nodes, -1)
+        best = gain.argmax(1)
+        out = np.stack([best // self.bins, best % self.bins], 1)
+        out[gain[np.arange(nodes), best] <= 1e-6] = -1
         return out
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
@@ -56,11 +53,11 @@ class Boosted:
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1."""
         b, score = self._bin(x), np.full(len(x), self.base)
-        at = np.arange(len(x))
+        flat, at = np.ascontiguousarray(b.astype(np.int16)).ravel(), np.arange(len(x)) * b.shape[1] if len(x) else np.zeros(0, np.int64)
         for splits, value in self.trees:
+            feature, last = np.maximum(splits[:, 0], 0), np.where(splits[:, 0] >= 0, splits[:, 1], self.bins).astype(np.int16)
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
-                f = splits[node, 0]
-                node = 2 * node + 1 + ((f >= 0) & (b[at, np.maximum(f, 0)] > splits[node, 1]))
+                node = 2 * node + 1 + (flat[at + feature[node]] > last[node])
             score += value[node - (2**self.depth - 1)]
         return 1 / (1 + np.exp(-score))
