@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -27,10 +28,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; a temporary folder only where that setting is absent (tests)."""
+    """Use the shared folder of spark.checkpoint.dir; a temporary folder only on a local master (tests), on a cluster its absence is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="mailforge-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mailforge-"))
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast, if it has most rows at most; a larger one is an error, as it was meant to be small by contract."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a table that is broadcast has more than {most} rows")
+    return F.broadcast(df)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -115,3 +115,11 @@ def test_plan_against_sql(spark, name):
 def test_metrics_bounds(spark):
     for r in core.run(spark, "binary_metrics", SF).collect():
         assert all(0 <= r[c] <= 1 for c in ("accuracy", "prec", "recall", "f1", "specificity", "balanced_accuracy"))
+
+
+def test_small_tables_are_checked(spark):
+    from mailforge.session import small
+
+    assert small(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError):
+        small(spark.range(6), 5)
