@@ -444,3 +444,48 @@ def split_manifest(spark, d):
 @query(f"with {CLEAN} select message_id, {normal_form('subject')} as subject from clean")
 def normal_subjects(spark, d):
     return messages(spark, d).select("message_id", X.normal_form(F.col("subject")).alias("subject"))
+
+
+#: Columns of a split table, in order.
+STANDARD = ("subject", "body", "label", "source", "source_row_index", "message_sha256")
+
+
+def standard_columns(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The columns of a split table: a missing row index is the place in the given order, a missing hash is computed, other missing ones are an error."""
+    if missing := set(STANDARD) - set(df.columns) - {"source_row_index", "message_sha256"}:
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    if "source_row_index" not in df.columns:
+        df = sampling.numbered(df, order, "_n").withColumn("source_row_index", F.col("_n") - 1)
+    if "message_sha256" not in df.columns:
+        df = df.withColumn("message_sha256", X.fingerprint(X.high_key(F.col("body")), X.sha256(X.exact_text(F.col("subject"), F.col("body")))))
+    return df.select(*STANDARD)
+
+
+@query(f"with {PRINTS} select subject, body, label, source, pos - 1 as source_row_index, fp as message_sha256 from prints where source = 'enron'".replace("pos - 1 as", "row_number() over (order by pos) - 1 as"))
+def standard_split(spark, d):
+    return standard_columns(messages(spark, d).where("source = 'enron'"), [F.col("pos")])
+
+
+@query(f"select message_id, subject, body from combine where {strip('subject')} <> '' or {strip('body')} <> ''")
+def unstripped_messages(spark, d):
+    """Rows empty in both texts dropped, the texts as they are."""
+    m = table(spark, d, "combine").select("message_id", "subject", "body")
+    return m.where((X.strip(X.text(F.col("subject"))) != "") | (X.strip(X.text(F.col("body"))) != ""))
+
+
+@query("select message_sha256 as token, count(*) as n from split_rows where regexp_full_match(message_sha256, '[0-9a-f]{24,}') group by 1")
+def hash_tokens(spark, d):
+    """Texts that are long hexadecimal numbers."""
+    return table(spark, d, "split_rows").where(F.col("message_sha256").rlike(r"^[0-9a-f]{24,}\z")).groupBy(F.col("message_sha256").alias("token")).agg(F.count("*").alias("n"))
+
+
+BATCH = 64
+
+
+@query(f"with {CLEAN}, o as (select source, length(body) as n, row_number() over (partition by source order by length(body), message_id) - 1 as i from clean) select source, i // {BATCH} as batch, count(*) as rows, min(n) as shortest, max(n) as longest, sum(n) as chars from o group by 1, 2")
+def length_batches(spark, d):
+    """Batches of texts of like lengths, which need little padding."""
+    o = sampling.numbered(messages(spark, d).select("source", "message_id", F.length("body").alias("n")), [F.col("source"), F.col("n"), F.col("message_id")])
+    first = o.groupBy("source").agg(F.min("number").alias("first"))
+    b = o.join(F.broadcast(first), "source").withColumn("batch", F.expr(f"(number - first) div {BATCH}"))  # registered sources
+    return b.groupBy("source", "batch").agg(F.count("*").alias("rows"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.sum("n").alias("chars"))

@@ -304,6 +304,19 @@ def failures(spark, d):
     return s.where((F.col("p") != F.col("label")) | (F.col("score") > 0.95)).orderBy("message_id").limit(30).select("message_id", "label", "p")
 
 
+@query(f"""with {SCORED_SQL}, m as (select label, case when score >= 0.5 then 1 else 0 end as p from scored), k as (select c as class, count(*) filter (label = c and p = c) as hit, count(*) filter (p = c) as said, count(*) filter (label = c) as support from m, (values (0), (1)) v(c) group by c),
+r as (select *, case when said = 0 then 0 else hit / said::double end as prec, case when support = 0 then 0 else hit / support::double end as rec from k), f as (select *, case when prec + rec = 0 then 0 else 2 * prec * rec / (prec + rec) end as f1 from r)
+select round(avg(prec), 6) as macro_precision, round(avg(rec), 6) as macro_recall, round(avg(f1), 6) as macro_f1, round(sum(prec * support) / sum(support), 6) as weighted_precision, round(sum(rec * support) / sum(support), 6) as weighted_recall, round(sum(f1 * support) / sum(support), 6) as weighted_f1 from f""")
+def class_averages(spark, d):
+    """Precision, recall and F1 of each class, averaged plainly and by support; zeros on empty input."""
+    s = scored(spark, d).withColumn("p", (F.col("score") >= 0.5).cast("int"))
+    one = rates(confusion(s, [])).select("precision", "recall", "f1", (F.col("tp") + F.col("fn")).alias("support"))
+    zero = rates(confusion(s.withColumns({"label": 1 - F.col("label"), "p": 1 - F.col("p")}), [])).select("precision", "recall", "f1", (F.col("tp") + F.col("fn")).alias("support"))
+    both = one.unionByName(zero)
+    r = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n)
+    return both.agg(*[r(F.avg(c), f"macro_{c}") for c in ("precision", "recall", "f1")], *[r(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), f"weighted_{c}") for c in ("precision", "recall", "f1")])
+
+
 #: Resamples of a bootstrap interval.
 RESAMPLES = 200
 

@@ -113,6 +113,13 @@ def reply_groups(spark, d):
     return r.groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(line == "").alias("empty"))
 
 
+@query(f"select message_id % {len(FORMS)} as form, rule, count(*) as n, count(*) filter (parsed = 1) as spam from ({SQL['parse_permissive']}) p group by 1, 2")
+def rule_counts(spark, d):
+    """How often each rule of the permissive parser decided, by the reply's form."""
+    label, rule = L.permissive(F.col("reply"))
+    return replies(spark, d).groupBy((F.col("message_id") % len(FORMS)).alias("form"), rule.alias("rule")).agg(F.count("*").alias("n"), F.count_if(label == 1).alias("spam"))
+
+
 # word lists -----------------------------------------------------------------------------------------------------------------------------------
 
 #: Words of a text at most, the share of the head, and the mark between head and tail with the room it needs.
@@ -134,6 +141,29 @@ def head_and_tail(ids, budget: int = BUDGET, mark: tuple = MARK):
     return F.when(F.size(ids) <= budget, ids).otherwise(F.concat(F.slice(ids, 1, head), middle, end))
 
 
+def fit_to_budget(text: str, room: int, encode, decode, wrap=lambda t: t, mark: tuple = MARK) -> tuple[str, int, bool]:
+    """(text, its items wrapped, whether it was cut): head and tail of a text that with what wraps it encode to at most room items.
+
+    Cut text may encode to another length, so the budget shrinks by the overflow, one at least, until it fits; the wrapping alone must.
+    """
+    import math
+
+    ids = list(encode(text))
+    budget = min(len(ids), room - len(encode(wrap(""))))
+    if budget < 0:
+        raise ValueError(f"the wrapping alone takes more than {room} items")
+    while True:
+        inner = budget - len(mark) if budget - len(mark) >= LEAST_ROOM else budget
+        head = max(1, math.ceil(inner * HEAD)) if inner else 0
+        tail = inner - head
+        cut_ = ids if budget >= len(ids) else [*ids[:head], *(mark if inner < budget else ()), *ids[len(ids) - tail :]]
+        out = decode(cut_)
+        size = len(encode(wrap(out)))
+        if size <= room or budget == 0:
+            return out, size, budget < len(ids)
+        budget = max(0, budget - max(1, size - room))
+
+
 def padded(ids, width, pad):
     """(list padded on the left to width, mask)."""
     fill = F.greatest(F.lit(0), width - F.size(ids))

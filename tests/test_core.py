@@ -96,7 +96,9 @@ def test_mime_and_mbox(spark, tmp_path):
     assert rows == {("One", "first", 1), ("Two", "second", 1)}
 
 
-PLANS = ["source_label_matrix", "dedup_high", "duplicate_groups", "ratio_trim", "source_aware_balance", "split_92_2_6", "cross_source_overlap", "overlap_details", "external_splits", "content_digest", "binary_metrics", "roc_auc", "threshold_sweep", "rolling_median", "compose_text", "naive_bayes"]
+PLANS = ["source_label_matrix", "dedup_high", "duplicate_groups", "ratio_trim", "source_aware_balance", "split_92_2_6", "cross_source_overlap", "overlap_details", "external_splits", "content_digest", "binary_metrics", "roc_auc", "threshold_sweep", "rolling_median", "compose_text", "naive_bayes",
+         "duplicate_report_wide", "standard_split", "length_batches", "parse_permissive", "parse_structured", "parse_reasoning", "rule_counts", "trim_words", "split_text", "external_score", "best_per_method", "average_precision", "class_averages", "repeat_medians",
+         "metric_contexts", "run_metadata", "progress_with_metadata", "limited_per_run", "merged_store", "vector_normalize", "tfidf_words", "character_grams", "term_log_odds"]
 
 
 @pytest.mark.parametrize("name", PLANS)
@@ -123,3 +125,25 @@ def test_small_tables_are_checked(spark):
     assert small(spark.range(5), 5).count() == 5
     with pytest.raises(ValueError):
         small(spark.range(6), 5)
+
+
+def test_fit_to_budget():
+    from mailforge.plans.replies import fit_to_budget
+
+    encode, decode = str.split, " ".join
+    text = " ".join(map(str, range(100)))
+    out, n, cut = fit_to_budget(text, 30, encode, decode, lambda t: f"a b {t} c")
+    assert cut and n == 30 and out.startswith("0 1 ") and out.endswith(" 99") and "[...]" in out
+    assert fit_to_budget("x y", 30, encode, decode) == ("x y", 2, False)
+    halves = lambda t: [t[i : i + 2] for i in range(0, len(t), 2)]
+    assert fit_to_budget(text, 20, halves, "".join)[1] <= 20
+    with pytest.raises(ValueError):
+        fit_to_budget(text, 2, encode, decode, lambda t: f"a b c {t}")
+
+
+def test_empty_tables(spark, tmp_path):
+    for t in ("combine", "split_rows"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    for name in ("source_label_matrix", "duplicate_groups", "duplicate_stats", "roc_auc", "average_precision", "class_averages", "cross_source_overlap", "pairwise_overlap", "parse_permissive", "split_92_2_6"):
+        rows = core.queries()[name](spark, str(tmp_path)).collect()
+        assert all(v in (0, 0.0, None) for r in rows for v in r), name
