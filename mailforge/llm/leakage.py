@@ -250,15 +250,20 @@ def near_overlaps(messages: DataFrame, splits: DataFrame, threshold: float = 0.8
     return dealt.mapInArrow(run, "train_id long, other_id long, spans long, words long")
 
 
+#: Tasks over which the training rows of one digest are dealt.
+SALTS = 16
+
+
 def same_overlaps(messages: DataFrame, splits: DataFrame) -> DataFrame:
-    """(train_id, other_id) of cross-split pairs whose words written together are equal."""
+    """(train_id, other_id) of cross-split pairs whose words written together are equal. Training rows are dealt over SALTS keys of a digest and the fewer
+    evaluation rows copied to each, so a much-copied body is no single task; the pairs themselves are the result."""
     digest = F.unhex(F.md5(leaf(F.col("body")).cast("binary")))
     empty = F.unhex(F.md5(F.lit("").cast("binary")))
     d = messages.where("body is not null").select("message_id", digest.alias("digest")).where(F.col("digest") != empty)
     d = d.join(split_sides(splits).select("message_id", "is_train"), "message_id")
-    a = d.where("is_train").select(F.col("message_id").alias("train_id"), "digest")
-    b = d.where("not is_train").select(F.col("message_id").alias("other_id"), "digest")
-    return a.join(b, "digest").select("train_id", "other_id")
+    a = d.where("is_train").select(F.col("message_id").alias("train_id"), "digest", F.pmod(F.xxhash64("message_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    b = d.where("not is_train").select(F.col("message_id").alias("other_id"), "digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return a.join(b, ["digest", "salt"]).select("train_id", "other_id")
 
 
 def cross_split_pairs(messages: DataFrame, splits: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 1) -> DataFrame:
