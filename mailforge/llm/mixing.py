@@ -26,6 +26,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailforge.functions.sources import canonical_source
+from mailforge.session import small
 
 
 def route(patterns: dict[frozenset, float], quotas: dict[object, float], repeats: dict[object, int]) -> dict[tuple[frozenset, object, int], float]:
@@ -93,7 +94,7 @@ def pool(messages: DataFrame, registry: DataFrame, size: DataFrame | None = None
     """(message_id, source, label, size): the messages of known source and non-null label; size 1, or from a table (message_id, size)."""
     known = registry.select(canonical_source(F.col("source")).alias("source")).where("source is not null").distinct()
     m = messages.select("message_id", canonical_source(F.col("source")).alias("source"), F.col("label").cast("int").alias("label")).where("label is not null and source is not null")
-    m = m.join(F.broadcast(known.limit(PLAN_ROWS)), "source", "left_semi")  # one row per registered source
+    m = m.join(small(known), "source", "left_semi")
     if size is None:
         return m.withColumn("size", F.lit(1).cast("long"))
     per = size.groupBy("message_id").agg(F.max("size").cast("long").alias("size"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailforge.functions.sources import canonical_source
+from mailforge.session import small
 
 #: Subjects that say nothing.
 PLACEHOLDER_SUBJECTS = ("(no subject)", "n/a", "none", "-")
@@ -65,7 +66,7 @@ def digest(text: Column) -> Column:
 def long_votes(members: DataFrame, registry: DataFrame, half_life_days: float | None = None) -> DataFrame:
     """Rows (duplicate_group_id, field_name, value, shown, quality, preference struct, vote) of all values the members offer."""
     trust = registry.groupBy(canonical_source(F.col("source")).alias("source")).agg(F.min("trust_rank").alias("trust_rank"))
-    m = members.join(F.broadcast(trust), "source", "left")  # one row per registered source
+    m = members.join(small(trust), "source", "left")
     rank = F.coalesce("trust_rank", F.lit(WORST))
     preference = F.struct((-rank).alias("trust"), F.col("loaded_at").alias("loaded_at"), (-F.col("original_row_index")).alias("row"))
     row, label = F.col("original_row_index").cast("string"), F.col("label").cast("string")
