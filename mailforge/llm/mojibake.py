@@ -40,12 +40,13 @@ TOKEN = regex.compile(rf"{INSIDE}*(?![ \u2000-\u200b\u3000\xa0])[^\x00-\x7f]{INS
 BROKEN = regex.compile(r"[�\x80-\x9f]")
 #: Signs no message is written with: phonetic letters, combining marks, private use.
 UNLIKELY = regex.compile(r"[\u0180-\u0191\u0193-\u0217\u0221-\u02c5\u02c8-\u02db\u02dd-\u036f\ue000-\uf8ff]")
+RISE = regex.compile(r"\p{Ll}\p{Lu}")
 T3, T2, T1, T0 = 1 << 18, 1 << 16, 1 << 13, 1 << 20
 SIZE = T3 + T2 + T1 + T0
 STEP, BINS = 0.5, 200
 UNSEEN = 30.0
 #: Parameters: one of HELD_OUT tokens chooses the margin and is not counted for that; the least margin; the gain from which a token hints at a case.
-HELD_OUT, LEAST_MARGIN, HINT = 4, 2.0, 0.5
+HELD_OUT, LEAST_MARGIN, HINT = 4, 4.0, 0.5
 #: Cells of the bitmap of tokens that may be a case, and the distinct tokens a task keeps scores of at once.
 CASES, TASK_TOKENS = 1 << 24, 1 << 18
 
@@ -192,15 +193,25 @@ class Model:
                 return False
         return True
 
+    def plausible(self, token: str, candidate: str) -> bool:
+        """Not where the candidate alone has a capital after a small letter, nor for a single sign that occurs no less often than the candidate."""
+        if RISE.search(candidate) and not RISE.search(token):
+            return False
+        return len(token) > 1 or self.c0[whole_cells(candidate)].min() > self.c0[whole_cells(token)].min()
+
     def gains(self, token: str) -> list[tuple[float, str, str]]:
-        """(gain, candidate, chain) of all candidates, the likeliest first; those with signs never seen lose UNSEEN."""
+        """(gain, candidate, chain) of all candidates, the likeliest first; implausible ones and those with signs never seen lose UNSEEN."""
         own = self.score(token)
-        return sorted(((self.score(c) - own if self.seen(c) or "utf-8" in chain else -UNSEEN, c, chain) for c, chain in candidates(token)), reverse=True)
+        return sorted(((self.score(c) - own if (self.seen(c) or "utf-8" in chain) and self.plausible(token, c) else -UNSEEN, c, chain) for c, chain in candidates(token)), reverse=True)
+
+    def clean(self, token: str) -> bool:
+        """Whether no UTF-8 chain can undo a token, but by chance into signs that clean tokens never have."""
+        return not BROKEN.search(token) and not any(self.seen(c) for c, _ in utf8_readings(token, False))
 
-    def outdone(self, token: str) -> bool:
-        """Whether a candidate occurs as a token more than twice as often."""
+    def outdone(self, token: str, n: int) -> bool:
+        """Whether a candidate occurs as a token more than twice as often as this one, which occurs n times."""
         count = lambda t: self.c0[whole_cells(t)].min()
-        own = count(token)
+        own = max(n, count(token))
         return any(count(c) > 2 * own for c, _ in candidates(token))
 
     def best(self, token: str) -> tuple[float, str, str]:
@@ -324,7 +335,7 @@ def train(messages: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
     def recount(batches):  # without the tokens that occur more often as another chain would have them; the held-out ones apart
         model, kept = Model(first.value), (Counter(), Counter())
         for t, n in pairs(batches):
-            if clean(t) and not model.outdone(t):
+            if model.clean(t) and not model.outdone(t, n):
                 kept[held_out(t)][t] = n
         yield _sparse(np.concatenate([count_tokens(c) for c in kept]))
 
@@ -340,7 +351,7 @@ def train(messages: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
         for t, _ in pairs(batches):
             if BROKEN.search(t) or whole.best(t)[0] > HINT:
                 cases[cell_of(t)] = 1
-            if held_out(t) and clean(t):
+            if held_out(t) and whole.clean(t):
                 out[bin_of(model.best(t)[0])] += 1
                 if (g := garble(t)) is not None:
                     out[BINS + bin_of(model.best(g)[0])] += 1
