@@ -10,6 +10,3 @@ def canonical_source(col: Column) -> Column:
     """Outer white space removed, lower case, each run of blanks, hyphens and underscores as one underscore; null stays null."""
     trimmed = F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
     return F.regexp_replace(F.lower(trimmed), r"(?U)[\s_\-]+", "_")
-
-
-CANONICAL_SOURCE_SQL = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '[\s_\-]+', '_', 'g')"

@@ -1,8 +1,8 @@
-"""The engine's own queries: curation, splits, overlap, metrics, ranking, series and text, over the message table.
+"""All queries of the engine, and the simple plans among them that are one text in two spellings: counts, summaries, metrics, pivots, series.
 
-Each plan is a function of a dialect that returns SQL over named tables. Catalyst gets the Spark spelling; the other spelling is the
-independent check. ``run`` binds tables, so a plan works on any tables of the same columns.
-Shared parts: ``clean`` strips subject and body and drops rows empty in both; ``ord`` is the order of rows (source rank, row, id).
+A plan here is a function of a dialect that returns SQL over named tables: Catalyst gets the Spark spelling, the second engine the other. ``run``
+binds the tables a plan names. Plans with rules of their own are in the other modules, with SQL written from the rules.
+Shared part: ``clean`` strips subject and body and drops rows empty in both.
 """
 
 from __future__ import annotations
@@ -150,18 +150,6 @@ def training_lines(d):
     return f"with {clean(d)} select message_id, concat('__label__', case when label = 1 then 'spam' else 'ham' end, ' ', {strip(d, body)}) as line from clean where label in (0, 1)"
 
 
-@plan
-def first_line_subject(d):
-    return f"select message_id, {strip(d, 'f')} as first_line, length(body) - length(f) as rest from (select message_id, body, {d.first_line('body')} as f from combine where body is not null) x"
-
-
-@plan
-def parse_labels(d):
-    """Strict reading of a reply's first line: spam over ham over valid over yes over no."""
-    w = lambda x: d.like("t", rf"\b{x}\b")
-    return f"select message_id, case when {w('spam')} then 1 when {w('ham')} then 0 when {w('valid')} then 0 when {w('yes')} then 1 when {w('no')} then 0 end as parsed from (select message_id, lower({d.first_line('body')}) as t from combine where body is not null) x"
-
-
 @plan
 def normalize_labels(d):
     return f"select duplicate_group_id, case when lower({strip(d, 'labels')}) in ('[1]', '1', 'spam', 'true') then 1 when lower({strip(d, 'labels')}) in ('[0]', '0', 'ham', 'valid', 'false') then 0 end as label, {d.number(strip(d, d.text('duplicate_count')))} as n from duplicate_report"
@@ -174,10 +162,11 @@ def length_quantiles(d):
 
 def run(spark, name: str, folder: str):
     """A plan over the tables of a folder."""
+    sql = PLANS[name](Spark())
     for t in TABLES:
-        path = os.path.join(folder, f"{t}.parquet")
-        spark.read.parquet(path).createOrReplaceTempView(t)
-    return spark.sql(PLANS[name](Spark()))
+        if f" {t}" in sql:
+            spark.read.parquet(os.path.join(folder, f"{t}.parquet")).createOrReplaceTempView(t)
+    return spark.sql(sql)
 
 
 def queries():

@@ -12,30 +12,9 @@ class Spark:
     def rx(self, x, pattern, to=""):
         return f"regexp_replace({x}, r'{pattern}', '{to}')"
 
-    def like(self, x, pattern):
-        return f"({x} rlike r'{pattern}')"
-
-    def sha(self, x):
-        return f"sha2({x}, 256)"
-
-    def even(self, x):
-        return f"bround({x}, 0)"
-
     def quantile(self, x, p):
         return f"percentile({x}, {p})"
 
-    def set_list(self, x):
-        return f"array_join(sort_array(collect_set({x})), ',')"
-
-    def ordered_list(self, x, order):
-        return f"array_join(transform(sort_array(collect_list(named_struct('o', {order}, 'x', {x}))), e -> e.x), '')"
-
-    def words(self, x):
-        return f"filter(split({x}, r'[^a-z0-9]+'), w -> w <> '')"
-
-    def explode(self, table, array, alias):
-        return f"{table} lateral view explode({array}) e as {alias}"
-
     def size(self, a):
         return f"size({a})"
 
@@ -51,18 +30,6 @@ class Spark:
     def text(self, x):
         return f"cast({x} as string)"
 
-    def extract(self, x, pattern, group):
-        return f"regexp_extract({x}, r'{pattern}', {group})"
-
-    def norm(self, v):
-        return f"sqrt(aggregate({v}, cast(0 as double), (a, x) -> a + cast(x as double) * x))"
-
-    def first_line(self, x):
-        return f"substring_index({x}, '\\n', 1)"
-
-    def hash_order(self, seed, x):
-        return f"md5(concat('{seed}|', cast({x} as string)))"
-
 
 class Duck(Spark):
     name = "duck"
@@ -70,30 +37,9 @@ class Duck(Spark):
     def rx(self, x, pattern, to=""):
         return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
 
-    def like(self, x, pattern):
-        return f"regexp_matches({x}, '{pattern}')"
-
-    def sha(self, x):
-        return f"sha256({x})"
-
-    def even(self, x):
-        return f"round_even({x}, 0)"
-
     def quantile(self, x, p):
         return f"quantile_cont({x}, {p})"
 
-    def set_list(self, x):
-        return f"coalesce(string_agg(distinct {x}, ',' order by {x}), '')"
-
-    def ordered_list(self, x, order):
-        return f"string_agg({x}, '' order by {order})"
-
-    def words(self, x):
-        return f"[w for w in regexp_split_to_array({x}, '[^a-z0-9]+') if w <> '']"
-
-    def explode(self, table, array, alias):
-        return f"(select *, unnest({array}) as {alias} from {table})"
-
     def size(self, a):
         return f"len({a})"
 
@@ -106,17 +52,5 @@ class Duck(Spark):
     def text(self, x):
         return f"cast({x} as varchar)"
 
-    def extract(self, x, pattern, group):
-        return f"regexp_extract({x}, '{pattern}', {group})"
-
-    def norm(self, v):
-        return f"sqrt(list_sum([cast(x as double) * x for x in {v}]))"
-
     def number(self, x):
         return f"try_cast({x} as double)"
-
-    def first_line(self, x):
-        return f"split_part({x}, chr(10), 1)"
-
-    def hash_order(self, seed, x):
-        return f"md5(concat('{seed}|', cast({x} as varchar)))"
