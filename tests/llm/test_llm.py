@@ -264,3 +264,62 @@ def test_new_text(spark):
     assert {n for i, n in got if i == 3} == {5, 6, 8, 9, 10} and not {i for i, _ in got} & {90, 91, 92}
     kept = {r.message_id: r.body for r in newtext.new_text(messages(spark, rows)).collect()}
     assert kept[3] == "Hi U3,\n\nPlease see the list > 5 items."
+
+
+CLASHING = ["fp", "n", "a", "b", "key", "root", "low", "high", "class_id", "token", "digest", "line_no", "bucket", "size", "at", "tile", "component", "part", "is_train", "split_name", "group", "text_", "i", "word"]
+
+
+def dirty(spark, empty=False):
+    """Messages with nulls in every column, empty, blank and very long texts, repeated rows and ids, and extra columns named as inner ones."""
+    long = "lorem ipsum dolor sit amet " * 40_000
+    rows = [(1, "s", "body of one message with a few words in it", 0, "enron", "x@y"), (1, "s", "body of one message with a few words in it", 0, "enron", "x@y"), (1, "other", "text", 1, None, None), (2, None, None, None, None, None), (None, "s", "b", 1, "ling", "z"),
+            (3, "", "", 0, "", ""), (4, " \n ", "\t\r\n", 1, " Enron ", "s"), (5, "x" * 100_000, long, 1, "ling", "s"), (6, "y", long + "end", 1, "ling", "s"), (7, "\x00", "😀".encode("utf-16", "surrogatepass").decode("utf-16"), 0, "no such source", "s")]
+    df = spark.createDataFrame([] if empty else rows, "message_id long, subject string, body string, label int, source string, sender string")
+    return df.select("*", *[F.lit("clash").alias(c) for c in CLASHING])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_dirty_messages(spark, empty):
+    m = dirty(spark, empty)
+    registry = spark.createDataFrame([("enron", 1), ("ling", None), (None, 2)], "source string, trust_rank int")
+    plan = spark.createDataFrame([("m", "enron", 0, 1.0, 2, 0.5), ("m", None, None, None, None, None), (None, "ling", 1, 1.0, 1, 1.0)], "mix_name string, source string, label int, target_weight double, max_repeats int, pool_ratio double")
+    splits = spark.createDataFrame([] if empty else [(1, "train"), (5, "train"), (6, " TEST"), (None, "test"), (2, None), (3, ""), (5, "train")], "message_id long, split_name string")
+    assert mojibake.garbled_fields(m).count() == 0
+    near = {tuple(r) for r in neardup.near_pairs(m, 0.5, 3, 20).collect()}
+    assert near == (set() if empty else {(5, 6)})
+    assert {tuple(r) for r in leakage.cross_split_pairs(m, splits, 0.5, 3, 20).collect()} == near
+    report = leakage.overlap_report(m, splits, 0.5, 3, 20).collect()
+    assert [(r.split_name, r.overlapping, r.pairs) for r in report] == ([] if empty else [("test", 1, 1)])
+    assert formatting.format_copies(m).count() == 0 and formatting.copy_counts(m).count() == (0 if empty else 7)
+    assert mixing.mix_passes(m, registry, plan).count() == 3 and mixing.draw(m, registry, plan).count() >= 0
+    assert newtext.removed_lines(m).count() >= 0 and newtext.new_text(m).count() == (0 if empty else 8)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_dirty_documents(spark, empty):
+    long = "word " * 60_000
+    rows = [(1, None), (2, ""), (3, " "), (4, long), (4, long), (None, "no id"), (5, "x" * 30_000), (6, "\u0000�")]
+    d = spark.createDataFrame([] if empty else rows, "doc_id long, text string").select("*", *[F.lit("clash").alias(c) for c in [*CLASHING, "ids", "n_tokens", "length", "limit_id"]])
+    limits = spark.createDataFrame([(1, "pack", "byte_bpe_50k", 512, 0), (2, "split", "byte_bpe_50k", 64, 100), (3, "split", "byte_bpe_50k", None, None), (None, "pack", "byte_bpe_50k", 10, 0)], "limit_id int, purpose string, tokenizer_name string, max_tokens int, overlap_tokens int")
+    ids = tokens.token_ids(d).collect()
+    assert len(ids) == (0 if empty else 8) and all(r.ids == [] for r in ids if r.doc_id in (1, 2))
+    packed = packing.containers(d, limits).groupBy("container_no").agg(F.sum(F.col("end_token") - F.col("start_token")).alias("n"))
+    assert packed.where("n > 512").count() == 0
+    pieces = splitting.pieces(d, limits)
+    assert pieces.where("end_token - start_token > 64").count() == 0 and (pieces.count() > 0) != empty
+
+
+def test_trees_beyond_the_seed_rules():
+    """On messages not fitted on, lines that go are found as the rules do; a notice in words the rules do not know is found, too, where it stands like one."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.01/combine.parquet", columns=["sender", "body"])
+    rows = [(b, s) for b, s in zip(t["body"].to_pylist(), t["sender"].to_pylist()) if b]
+    bodies, senders = [b for b, _ in rows], [s for _, s in rows]
+    level = np.full(1 << 20, 8, np.uint8)
+    odds, model = newtext.fit(bodies[::2], senders[::2], level)
+    x = newtext.Lines(bodies[1::2], senders[1::2])
+    gone = [newtext.Body(b).gone for b in bodies[1::2]]
+    y = np.array([gone[o][n] for o, n in zip(x.owner.tolist(), x.number.tolist())])
+    p = model.predict(newtext.features(x, level, odds)) >= 0.5
+    assert (p & y).sum() >= 0.97 * y.sum() and (p & y).sum() >= 0.97 * p.sum()
