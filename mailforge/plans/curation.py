@@ -13,7 +13,7 @@ from mailforge.functions import text as X
 from mailforge.functions.sources import canonical_source
 from mailforge.operators import balance, sampling
 from mailforge.plans.rules import CLEAN, GROUPS, KEYED, PRINTS, collapse, hashed, normal_form, ranked, strip
-from mailforge.session import cut, table
+from mailforge.session import cut, spread, table
 
 QUERIES, SQL = {}, {}
 #: Parameters of the queries.
@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "combine")
+    m = spread(table(spark, d, "combine").select("message_id", "subject", "body", "label", "source", "source_rank", "row_in_source"))
     source = F.coalesce(F.nullif(canonical_source(X.strip(X.text(F.col("source")))), F.lit("")), F.lit("unknown"))
     pos = F.struct(F.coalesce("source_rank", F.lit(999)).alias("rank"), F.coalesce("row_in_source", F.lit(0)).alias("row"), F.col("message_id").alias("id"))
     c = m.select("message_id", X.strip(X.text(F.col("subject"))).alias("subject"), X.strip(X.text(F.col("body"))).alias("body"), F.col("label").cast("int").alias("label"), source.alias("source"), pos.alias("pos"))

@@ -44,6 +44,12 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores at least: for small files of few row groups, before work that costs far more than moving the rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from the files, which outlive any executor."""
     ensure_checkpoint_dir(df.sparkSession)
