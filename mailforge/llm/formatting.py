@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailforge.session import spread
+
 NOT_WORD = r"[^\p{L}\p{N}]+"
 FORM_LINE = r"(?U)^\s*\p{L}[^:=]{0,39}[:=]\s*\S"
 
@@ -28,7 +30,7 @@ def leaf(text: Column) -> Column:
 def structure(messages: DataFrame) -> DataFrame:
     """(message_id, label, is_form, leaves): the canonical nested record of each body with words."""
     lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(r"(?U)\S"))
-    m = messages.select("message_id", F.col("label").cast("int").alias("label"), "body").where("body is not null and message_id is not null")
+    m = spread(messages.select("message_id", F.col("label").cast("int").alias("label"), "body").where("body is not null and message_id is not null"))
     # the first line decides for nearly all rows, so that only likely forms are split
     m = m.withColumn("lines", F.when(F.col("body").rlike(r"(?U)^\s*\p{L}[^:=]{0,39}[:=]\s*\S"), lines))
     m = m.withColumn("is_form", F.coalesce((F.size("lines") >= 2) & F.forall("lines", lambda x: x.rlike(FORM_LINE)), F.lit(False)))

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailforge.session import cut
+from mailforge.session import cut, spread
 
 #: Encodings a text may have been read in, and those it may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp437", "cp850", "cp852", "mac_roman", "cp1251", "koi8-r", "cp866", "iso8859-15", "cp1254", "iso8859-5")
@@ -233,7 +233,7 @@ def garble(token: str) -> str | None:
 
 def foreign(messages: DataFrame, *ids: str) -> DataFrame:
     """The fields with a sign beyond ASCII, others null; rows without such a field are left out before Python sees them."""
-    m = messages.select(*ids, *[F.when(F.octet_length(c) > F.length(c), F.col(c)).alias(c) for c in ("subject", "body")])
+    m = spread(messages.select(*ids, "subject", "body")).select(*ids, *[F.when(F.octet_length(c) > F.length(c), F.col(c)).alias(c) for c in ("subject", "body")])
     return m.where("subject is not null or body is not null")
 
 

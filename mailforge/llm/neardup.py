@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mailforge.llm.components import components
 from mailforge.llm.words import distinct_by_text, fingerprints, grams, inside_text, mix, text_of, word_hashes
-from mailforge.session import cut
+from mailforge.session import cut, spread
 
 #: Texts of one shingle and of one component, from which they are dealt to sub-tiles; texts in a part of the shingles.
 RUN, TILE, PART = 2048, 8192, 50_000
@@ -143,7 +143,7 @@ class Bitmaps:
 
 
 def source(messages: DataFrame) -> DataFrame:
-    return messages.select("message_id", "subject", "body").where("message_id is not null")
+    return spread(messages.select("message_id", "subject", "body").where("message_id is not null"))
 
 
 def counts_table(keys: DataFrame, bits: int) -> np.ndarray:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from mailforge.llm.neardup import SPARSE, counts_table, sparse_counts, table_bits
 from mailforge.llm.trees import Boosted
 from mailforge.llm.words import fingerprints, grams, mix, word_hashes
+from mailforge.session import spread
 
 #: Messages the trees are fitted on; bits of the table of log-odds; counts from which a word has log-odds of its own.
 TRAIN, ODDS_BITS, LEAST = 8000, 20, 3
@@ -311,7 +312,7 @@ def fit(bodies: list[str], senders: list[str | None], level: np.ndarray) -> tupl
 def removed_lines(messages: DataFrame, train: int = TRAIN) -> DataFrame:
     """(message_id, line_no) of the lines that go."""
     spark = messages.sparkSession
-    m = messages.select("message_id", "sender", "body").where("message_id is not null and body is not null and body <> ''")
+    m = spread(messages.select("message_id", "sender", "body").where("message_id is not null and body is not null and body <> ''"))
     bits = table_bits(m.count())
 
     def count(batches):

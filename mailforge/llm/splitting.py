@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mailforge.llm.tokens import TOKENIZERS, encode, encoding, token_lengths
+from mailforge.session import spread
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE, CHARACTER = 6, 5, 4, 3, 2, 1, 0
 
@@ -198,4 +199,4 @@ def pieces(documents: DataFrame, limits: DataFrame, folder: str = TOKENIZERS, wi
 
     if not wanted:
         return documents.sparkSession.createDataFrame([], schema)
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, schema)

@@ -21,6 +21,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from mailforge.session import spread
+
 #: Where the public vocabularies lie; a parameter of every operator.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
@@ -110,7 +112,7 @@ def token_ids(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TO
                 ids = [encode(t, enc, pool) for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, name: str, folder: str = TOKENIZERS) -> DataFrame:
@@ -122,4 +124,4 @@ def token_counts(documents: DataFrame, name: str, folder: str = TOKENIZERS) -> D
             n = [len(encode(t, enc)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32())], ["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens int")
