@@ -5,9 +5,10 @@
 2. A text keeps the first n - ceil(t * n) + 1 of its n distinct shingles, rarest first. Two texts of similarity t share at least t times the
    larger one's shingles, so their first common shingle in this order is kept by both (any order common to all texts will do, so hash collisions in
    the counts cost time, never links). Shingles counted once cannot meet and are dropped.
-3. Tiles: texts meeting in a shingle are compared when their sizes lie in the same band. Their places in the order bound the overlap, then parity
-   bitmaps of 128 to 4,096 bits do: the bits in which two bitmaps differ are at most the shingles the texts do not share. A tile's links leave
-   it as stars. A shingle kept by more than RUN texts is dealt to sub-tiles, one for each two blocks of its texts, so no task compares more than
+3. Tiles: texts meeting in a shingle are compared when their sizes lie in the same band. Their places in the order bound the overlap: of a run sorted
+   by size, only the stretch that the smaller text's place allows is listed. Then parity bitmaps of 128 to 4,096 bits do: the bits in which two
+   bitmaps differ are at most the shingles the texts do not share. They are wide enough that texts without much in common hardly pass, as
+   such links grow with the square of the texts and would join all of them to one component. A tile's links leave it as stars. A shingle kept by more than RUN texts is dealt to sub-tiles, one for each two blocks of its texts, so no task compares more than
    2 * RUN texts in one shingle.
 4. Components of these links are tiles again: their shingle sets come together once per distinct text, are compared by size band, bitmap and exact
    sorted-array intersection, and give the classes. Components of more than TILE texts are dealt to sub-tiles by size band and two blocks.
@@ -30,10 +31,12 @@ from mailforge.llm.components import components
 from mailforge.llm.words import distinct_by_text, fingerprints, grams, inside_text, mix, text_of, word_hashes
 from mailforge.session import cut, spread
 
-#: Texts of one shingle and of one component, from which they are dealt to sub-tiles; texts in a part of the shingles.
-RUN, TILE, PART = 2048, 8192, 50_000
+#: Texts of one shingle and of one component, from which they are dealt to sub-tiles.
+RUN, TILE = 2048, 8192
+#: Texts that may lie in one part of the shingles, and the kept shingles of a text by which the parts are reckoned.
+PART, KEPT = 600_000, 45
 #: Bitmap widths in 64-bit words, and the distinct shingles up to which each but the last is used.
-WIDTHS, STEPS = (2, 4, 8, 16, 32, 64), (64, 128, 256, 512, 1024)
+WIDTHS, STEPS = (2, 4, 8, 16, 32, 64), (40, 96, 208, 448, 1024)
 #: Steps of the scale of counts for each doubling; the level of a count of one.
 SCALE = 8
 ONE = SCALE
@@ -48,10 +51,11 @@ def signed_bytes(x: np.ndarray) -> bytes:
 
 
 class Texts:
-    """Hashed words of a batch, without the texts under min_words words."""
+    """Hashed words of a batch's subjects, if it has them, and bodies, without the texts under min_words words."""
 
     def __init__(self, batch: pa.RecordBatch, min_words: int):
-        s, b = batch.column("subject").to_pylist(), batch.column("body").to_pylist()
+        b = batch.column("body").to_pylist()
+        s = batch.column("subject").to_pylist() if "subject" in batch.schema.names else [""] * len(b)
         h, bounds = word_hashes([f"{x or ''} {y or ''}" for x, y in zip(s, b)])
         keep = np.diff(bounds) >= min_words
         self.id = batch.column("message_id").to_numpy(zero_copy_only=False)[keep]
@@ -203,6 +207,22 @@ def union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = higher
 
 
+#: Pairs listed at once.
+PAIRS = 500_000
+
+
+def stretches(first: np.ndarray, size: np.ndarray):
+    """(i, j) in blocks: each i with the size[i] places from first[i] on."""
+    for block in blocks_of(size, PAIRS):
+        n = size[block]
+        yield np.repeat(block, n), np.repeat(first[block] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def most_size(n: np.ndarray, rest: np.ndarray, t: float) -> np.ndarray:
+    """The largest size of a text that may have similarity t to one of size n with rest shingles still to come."""
+    return np.floor(np.minimum(n / t, rest * ((1 + t) / t) - n) + 1e-6).astype(np.int64)
+
+
 def links_of_runs(key: np.ndarray, text: np.ndarray, place: np.ndarray, maps: Bitmaps, t: float) -> np.ndarray:
     """root of each text after linking the texts of equal keys (rows sorted by key, then size) that places, sizes and bitmaps allow to be similar.
 
@@ -211,26 +231,17 @@ def links_of_runs(key: np.ndarray, text: np.ndarray, place: np.ndarray, maps: Bi
     n = maps.n[text]
     rest = n - (place.astype(np.int64) * n >> 8)
     root = np.arange(len(maps.n))
-    i, d, held = np.arange(len(key)), 0, []
-    while True:
-        d += 1
-        i = i[i + d < len(key)]
-        i = i[key[i] == key[i + d]]
-        n1 = n[i]
-        i = i[n1 >= t * n[i + d] - 1e-9]  # sizes grow in a run: too large once is too large for good
-        if not len(i):
-            break
-        for part in np.array_split(i, len(i) // 500_000 + 1):
-            a, b = text[part], text[part + d]
-            ok = (np.minimum(rest[part], rest[part + d]) >= (n[part] + n[part + d]) * (t / (1 + t)) - 1e-9) & (root[a] != root[b])
-            a, b = a[ok], b[ok]
-            ok = maps.near(a, maps, b, t)
-            if ok.any():
-                held.append((a[ok], b[ok]))
-        if held and (d & (d - 1) == 0 or sum(len(a) for a, _ in held) > 2000):
-            root = union(root, *map(np.concatenate, zip(*held)))
-            held = []
-    return union(root, *map(np.concatenate, zip(*held))) if held else root
+    run = np.cumsum(np.diff(key, prepend=key[:1]) != 0) << 32
+    end = np.searchsorted(run + n, run + np.maximum(0, most_size(n, rest, t)), "right")
+    first = np.arange(1, len(key) + 1)
+    for i, j in stretches(first, np.maximum(0, end - first)):
+        a, b = text[i], text[j]
+        ok = (rest[j] >= (n[i] + n[j]) * (t / (1 + t)) - 1e-9) & (root[a] != root[b])
+        a, b = a[ok], b[ok]
+        ok = maps.near(a, maps, b, t)
+        if ok.any():
+            root = union(root, a[ok], b[ok])
+    return root
 
 
 def by_runs(batches, column: str):
@@ -284,12 +295,89 @@ def slices(batches, rows: int = 10_000):
             yield b.slice(at, rows)
 
 
+def parts_of(texts: int, cores: int) -> int:
+    """Parts of the shingles, of which none has more than about PART of the texts: a text lies in as many parts as it has kept shingles, while there are
+    that many."""
+    share = min(1.0, PART / max(1, texts))
+    return cores if share == 1 else max(cores, math.ceil(1 / (1 - (1 - share) ** (1 / KEPT))))
+
+
+def part_rows(fp: np.ndarray, n: np.ndarray, maps: Bitmaps, text: np.ndarray, key: np.ndarray, place: np.ndarray, parts: int) -> list[tuple]:
+    """A row of PARTS for each part of the shingles, with the texts that have keys there, their bitmaps, and the keys."""
+    part = (key % np.uint64(parts)).astype(np.int64)
+    short = (mix(key) >> np.uint64(32)).astype(np.uint32)  # keys of one part; chance equality costs time only
+    order = np.lexsort((maps.kind[text], part))
+    text, part, short, place = text[order], part[order], short[order], place[order].astype(np.uint8)
+    edges, out = np.searchsorted(part, np.arange(parts + 1)), []
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        own = slice(edges[p], edges[p + 1])
+        there = np.unique(text[own])
+        there = there[np.argsort(maps.kind[there], kind="stable")]
+        index = np.zeros(len(n), np.uint16)
+        index[there] = np.arange(len(there))
+        bm = b"".join(signed_bytes(r) for r in maps.take(there).rows)
+        out.append((p, signed_bytes(fp[there]), signed_bytes(n[there].astype(np.int32)), bm, signed_bytes(short[own]), signed_bytes(index[text[own]]), signed_bytes(place[own])))
+    return out
+
+
+def id_row(number: int, x: Texts, parts: int) -> tuple:
+    """A row of PARTS with ids (as keys) and fingerprints."""
+    return ((number + int(x.fp[0])) % parts, signed_bytes(x.fp), None, None, signed_bytes(x.id.astype(np.int64)), None, None)
+
+
+PARTS = "part int, fp binary, n binary, bm binary, key binary, text binary, place binary"
+
+
+def parts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "fp", "n", "bm", "key", "text", "place"])
+
+
+class Part:
+    """The texts and keys of a part, put together row by row."""
+
+    def __init__(self):
+        self.fps, self.sizes, self.rows, self.keys, self.texts, self.places, self.base = [], [], [[] for _ in WIDTHS], [], [], [], 0
+
+    def ids_of(self, batches):
+        """Take the rows of the texts; give (ids, fingerprints) of the rows of ids."""
+        for b in batches:
+            for fp, n, bm, key, text, place in zip(*[b.column(c).to_pylist() for c in ("fp", "n", "bm", "key", "text", "place")]):
+                if n is None:
+                    yield np.frombuffer(key, np.int64), np.frombuffer(fp, np.int64)
+                else:
+                    self.add(fp, n, bm, key, text, place)
+
+    def add(self, fp: bytes, n: bytes, bm: bytes, key: bytes, text: bytes, place: bytes) -> None:
+        self.fps.append(np.frombuffer(fp, np.int64))
+        self.sizes.append(np.frombuffer(n, np.int32).astype(np.int64))
+        at = 0
+        for c, m in enumerate(np.bincount(np.searchsorted(STEPS, self.sizes[-1]), minlength=len(WIDTHS)).tolist()):
+            self.rows[c].append(np.frombuffer(bm, np.uint64, m * WIDTHS[c], at).reshape(m, WIDTHS[c]))
+            at += 8 * m * WIDTHS[c]
+        self.keys.append(np.frombuffer(key, np.uint32))
+        self.texts.append(np.frombuffer(text, np.uint16).astype(np.int64) + self.base)
+        self.places.append(np.frombuffer(place, np.uint8))
+        self.base += len(self.fps[-1])
+
+    def whole(self) -> tuple[np.ndarray, Bitmaps, np.ndarray, np.ndarray, np.ndarray]:
+        """(fp, bitmaps, key, text, place): the distinct texts, and their keys sorted by key, then size."""
+        fp, at, text = np.unique(np.concatenate(self.fps), return_index=True, return_inverse=True)
+        maps = Bitmaps(np.concatenate(self.sizes), [np.concatenate(r) for r in self.rows]).take(at)
+        key, text, place = np.concatenate(self.keys), text[np.concatenate(self.texts)], np.concatenate(self.places)
+        order = np.lexsort((place, text, maps.n[text], key))  # of keys equal by chance the lower place counts
+        key, text, place = key[order], text[order], place[order]
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        return fp, maps, key[keep], text[keep], place[keep]
+
+
 def links(m: DataFrame, t: float, k: int, min_words: int, run: int = RUN) -> DataFrame:
     """(a, b, is_link): links, as stars, between fingerprints whose sizes and bitmaps allow similarity t; and each message_id with its fingerprint."""
     spark = m.sparkSession
     texts = m.count()
     bits = table_bits(texts)
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(texts / PART))
+    parts = parts_of(texts, spark.sparkContext.defaultParallelism)
 
     def count(batches):
         found, seen = [], set()
@@ -310,63 +398,27 @@ def links(m: DataFrame, t: float, k: int, min_words: int, run: int = RUN) -> Dat
             x = Texts(batch, min_words)
             if not len(x.fp):
                 continue
-            out = [((number + int(x.fp[0])) % parts, signed_bytes(x.fp), None, None, signed_bytes(x.id.astype(np.int64)), None, None)]
+            ids = id_row(number, x, parts)
             x.unseen(seen)
             st, sv = x.shingles(k)
             n = np.bincount(st, minlength=len(x.fp))
-            maps = Bitmaps.of(st, sv, n)
             text, key, place = sub_tiles(*prefixes(st, sv, n, level.value[sv >> np.uint64(64 - bits)], t), x.fp, run)
-            part = (key % np.uint64(parts)).astype(np.int64)
-            short = (mix(key) >> np.uint64(32)).astype(np.uint32)  # keys of one part; chance equality costs time only
-            order = np.lexsort((maps.kind[text], part))
-            text, part, short, place = text[order], part[order], short[order], place[order].astype(np.uint8)
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)).tolist():
-                own = slice(edges[p], edges[p + 1])
-                there = np.unique(text[own])
-                there = there[np.argsort(maps.kind[there], kind="stable")]
-                index = np.zeros(len(n), np.uint16)
-                index[there] = np.arange(len(there))
-                bm = b"".join(signed_bytes(r) for r in maps.take(there).rows)
-                out.append((p, signed_bytes(x.fp[there]), signed_bytes(n[there].astype(np.int32)), bm, signed_bytes(short[own]), signed_bytes(index[text[own]]), signed_bytes(place[own])))
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "fp", "n", "bm", "key", "text", "place"])
+            yield parts_batch([ids, *part_rows(x.fp, n, Bitmaps.of(st, sv, n), text, key, place, parts)])
 
     def out(a: np.ndarray, b: np.ndarray, is_link: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), is_link))], ["a", "b", "is_link"])
 
     def tiles(batches):
-        fps, sizes, rows, keys, texts, places, base = [], [], [[] for _ in WIDTHS], [], [], [], 0
-        for b in batches:
-            for raw_fp, raw_n, raw_bm, raw_key, raw_text, raw_place in zip(*[b.column(c).to_pylist() for c in ("fp", "n", "bm", "key", "text", "place")]):
-                if raw_n is None:
-                    yield out(np.frombuffer(raw_key, np.int64), np.frombuffer(raw_fp, np.int64), False)
-                    continue
-                fps.append(np.frombuffer(raw_fp, np.int64))
-                sizes.append(np.frombuffer(raw_n, np.int32).astype(np.int64))
-                at = 0
-                for c, m in enumerate(np.bincount(np.searchsorted(STEPS, sizes[-1]), minlength=len(WIDTHS)).tolist()):
-                    rows[c].append(np.frombuffer(raw_bm, np.uint64, m * WIDTHS[c], at).reshape(m, WIDTHS[c]))
-                    at += 8 * m * WIDTHS[c]
-                keys.append(np.frombuffer(raw_key, np.uint32))
-                texts.append(np.frombuffer(raw_text, np.uint16).astype(np.int64) + base)
-                places.append(np.frombuffer(raw_place, np.uint8))
-                base += len(fps[-1])
-        if not fps:
-            return
-        fp, at, text = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)
-        maps = Bitmaps(np.concatenate(sizes), [np.concatenate(r) for r in rows]).take(at)
-        key, text, place = np.concatenate(keys), text[np.concatenate(texts)], np.concatenate(places)
-        order = np.lexsort((place, text, maps.n[text], key))  # of keys equal by chance the lower place counts
-        key, text, place = key[order], text[order], place[order]
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-        root = links_of_runs(key[keep], text[keep], place[keep], maps, t)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        yield out(fp[moved], fp[root[moved]], True)
-
-    schema = "part int, fp binary, n binary, bm binary, key binary, text binary, place binary"
-    return m.mapInArrow(rows, schema).repartitionById(parts, "part").mapInArrow(tiles, "a long, b long, is_link boolean")
+        part = Part()
+        for ids, fp in part.ids_of(batches):
+            yield out(ids, fp, False)
+        if part.fps:
+            fp, maps, key, text, place = part.whole()
+            root = links_of_runs(key, text, place, maps, t)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            yield out(fp[moved], fp[root[moved]], True)
+
+    return m.mapInArrow(rows, PARTS).repartitionById(parts, "part").mapInArrow(tiles, "a long, b long, is_link boolean")
 
 
 class Sets:
