@@ -1,15 +1,17 @@
 """Problem 7: same or near-same records across splits.
 
-The evaluation texts are dealt into shards of bounded size. For each shard a full-text index over words is built: suffixes sorted by
-their first k words, the symbol before each suffix, and for each symbol the positions where it stands there (a Burrows-Wheeler
-index in which one search step is one binary search). Training texts stream through the index: the k-word shingles of each are looked up by
-backward search, which also counts where each stands in the shard. In the order of these counts, rarest first, a text of n distinct shingles must
-meet each text of similarity t in one of its first n - ceil(t * n) + 1, so only these are expanded to the evaluation texts they stand in; the place
-of the first met one bounds what a pair shares, then bitmaps do, then whole shingle sets decide. For the pairs that remain, adjacent matched
-shingles merge into maximal spans of the training text, which are counted with their words.
-
-Training rows are dealt over tasks by hash and copied per shard, evaluation rows per task group, so tasks have even sizes whatever a source
-or group of copies holds; bodies equal when written together are found by an equi-join of digests.
+1. Shingles of k words are counted in a hashed table of fixed size, in training and in evaluation texts; only those found in both can meet. Equal texts of
+   a side are one, by a 64-bit fingerprint.
+2. In one order common to all texts, rarest first, two texts of similarity t meet in one of the first n - ceil(t * n) + 1 of the n distinct shingles of
+   both (see neardup). Each text is routed to the parts of the shingles that it keeps, so work follows the texts, not training times evaluation
+   texts. A shingle of many texts is dealt to sub-tiles of a block of training and a block of evaluation texts.
+3. In a part, the places of the met shingles and the sizes bound the training texts listed for an evaluation text, then bitmaps do.
+4. For the pairs that remain, the shingles of both come together in their order: whole shingle sets decide, and adjacent matched
+   shingles merge into maximal spans of the training text, which are counted with their words.
+
+Which side a message is on, tables of bits say while texts are read: a wrong bit costs time, and the sides themselves are joined to the pairs at the end.
+Bodies equal when written together are found by an equi-join of digests. Index is a full-text index of one shard for searches of single patterns; the
+pairs do without it.
 
 Defined results: null, empty and wordless bodies have no case; split names count without outer blanks and in any case; rows in no
 split or with a blank split name are left out; rows listed twice count once; extra columns are ignored; empty tables give no rows. Pairs equal only
@@ -27,11 +29,16 @@ from pyspark.sql import functions as F
 
 from mailforge.functions.sources import canonical_source
 from mailforge.llm.formatting import leaf
-from mailforge.llm.neardup import Sets, blocks_of
-from mailforge.llm.words import fingerprints, grams, inside_text, text_of, word_hashes
+from mailforge.llm.neardup import PARTS, RUN, SCALE, SPARSE, Bitmaps, Part, Sets, Texts, blocks_of, counts_table, most_size, part_rows, parts_batch, parts_of, prefixes, slices, sparse_counts, stretches, table_bits
+from mailforge.llm.words import grams, inside_text, mix, text_of
+from mailforge.session import cut, spread
 
-#: Characters of evaluation text in one index; hits expanded at once.
-SHARD_CHARS, HITS = 48_000_000, 4_000_000
+#: Steps of a scale of counts in four bits; each stands for counts up to its own.
+COUNTS = np.array([0, 1, 2, 4, 8, 16, 32, 64, 128, 512, 2048, 1 << 13, 1 << 15, 1 << 17, 1 << 20, 1 << 24])
+#: Most bits of the table of counts and, for each side, of the table of sides; bits of the table of wanted messages.
+COUNT_BITS, SIDE_BITS, WANTED_BITS = 25, 25, 24
+#: Pairs of a part that are held before repeated ones are dropped.
+HELD = 4_000_000
 
 
 class Index:
@@ -95,59 +102,58 @@ class Index:
         return low, high
 
 
-class Batch:
-    """Distinct texts of min_words words or more: hashed words, positions and shingle sets; members[i] are the ids of text i."""
-
-    def __init__(self, ids: np.ndarray, bodies: list[str], k: int, min_words: int):
-        h, bounds = word_hashes(bodies)
-        size = np.diff(bounds)
-        keep = size >= min_words
-        _, first, same = np.unique(fingerprints(h, bounds)[keep], return_index=True, return_inverse=True)
-        order = np.argsort(same, kind="stable")
-        self.ids, self.ends = np.asarray(ids, np.int64)[keep][order], np.concatenate([[0], np.cumsum(np.bincount(same, minlength=len(first)))])
-        chosen = np.flatnonzero(keep)[first]
-        self.h = h[np.repeat(bounds[chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(int(size[chosen].sum()))]
-        self.bounds = np.concatenate([[0], np.cumsum(size[chosen])])
-        ok = inside_text(self.bounds, k)
-        self.text, self.at, self.gram = text_of(self.bounds, len(ok))[ok], np.flatnonzero(ok), grams(self.h, k)[ok]
-        self.sets = Sets.of(self.text, self.gram, len(chosen))
-        self.maps = self.sets.maps()
+class Ordered:
+    """The shingles of texts in their order, 40 bits each (one after another in raw), and as sets."""
+
+    def __init__(self, raw: list[bytes]):
+        whole = Sets.unpack(raw)
+        self.text, self.gram = np.repeat(np.arange(len(raw)), whole.n), whole.value << np.uint64(24)
+        self.at = np.arange(len(self.gram))
+        self.sets = Sets.of(self.text, self.gram, len(raw))
 
     def __len__(self) -> int:
-        return len(self.bounds) - 1
-
-
-def candidates(index: Index, x: Batch, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(training text, evaluation text, place): pairs that meet in one of the training text's first shingles, with the first such place."""
-    order = np.lexsort((x.gram, x.text))
-    text, gram = x.text[order], x.gram[order]
-    keep = np.ones(len(text), bool)
-    keep[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
-    text, gram, start = text[keep], gram[keep], x.at[order[keep]]
-    _, once, of = np.unique(gram, return_index=True, return_inverse=True)
-    low, high = index.search(index.symbols(x.h), start[once])
-    low, hits = low[of], (high - low)[of]
-    order = np.lexsort((hits, text))
-    text, low, hits = text[order], low[order], hits[order]
-    n = np.bincount(text, minlength=len(x))
-    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    keep = (place <= (n - np.ceil(t * n - 1e-9).astype(np.int64))[text]) & (hits > 0)
-    text, low, hits, place = text[keep], low[keep], hits[keep], place[keep]
-    out = []
-    for block in blocks_of(hits, HITS):
-        size = hits[block]
-        at = np.repeat(low[block] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        key = np.repeat(text[block], size) << 32 | index.doc[index.suffix[at]]
-        key, first = np.unique(key, return_index=True)  # places grow within a text, so the first is the least
-        out.append((key, np.repeat(place[block], size)[first]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    key, at = (np.concatenate(c) for c in zip(*out))
-    key, first = np.unique(key, return_index=True)  # ... and so over the blocks
-    return key >> 32, key & 0xFFFFFFFF, at[first]
-
-
-def spans_of(x: Batch, a: np.ndarray, y: Batch, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return len(self.sets.n)
+
+
+def pairs_of_runs(key: np.ndarray, text: np.ndarray, place: np.ndarray, maps: Bitmaps, train: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(training text, evaluation text): the distinct pairs of texts of equal keys (rows sorted by key, then size) that places, sizes and bitmaps allow to be
+    similar; see neardup.links_of_runs."""
+    n = maps.n[text]
+    rest = n - (place.astype(np.int64) * n >> 8)
+    run = np.cumsum(np.diff(key, prepend=key[:1]) != 0) << 32
+    x, y = np.flatnonzero(train[text]), np.flatnonzero(~train[text])
+    sizes = (run + n)[x]
+    first = np.searchsorted(sizes, run[y] + np.ceil(t * n[y] - 1e-6).astype(np.int64))
+    end = np.searchsorted(sizes, run[y] + np.maximum(0, most_size(n[y], rest[y], t)), "right")
+    found, held = [np.zeros(0, np.int64)], 0
+    for i, j in stretches(first, np.maximum(0, end - first)):
+        i, j = y[i], x[j]
+        ok = rest[j] >= (n[i] + n[j]) * (t / (1 + t)) - 1e-9
+        pair = np.unique(text[j[ok]] << 32 | text[i[ok]])
+        pair = pair[maps.near(pair >> 32, maps, pair & 0xFFFFFFFF, t)]
+        found.append(pair)
+        held += len(pair)
+        if held > HELD:
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0]) // 2
+    pair = np.unique(np.concatenate(found))
+    return pair >> 32, pair & 0xFFFFFFFF
+
+
+def blocks_by_side(text: np.ndarray, key: np.ndarray, place: np.ndarray, fp: np.ndarray, own: np.ndarray, other: np.ndarray, is_train: int) -> tuple[np.ndarray, ...]:
+    """(text, key, place) with each key of more than one block of texts on either side dealt: a text goes to its own block with each block of the other."""
+    many, rest = np.flatnonzero(own * other > 1), np.flatnonzero(own * other <= 1)
+    if not len(many):
+        return text, key, place
+    at = np.repeat(many, other[many])
+    there = np.arange(len(at)) - np.repeat(np.cumsum(other[many]) - other[many], other[many])
+    here = (mix(fp[text[at]].view(np.uint64)) % own[at].astype(np.uint64)).astype(np.int64)
+    a, b = (here, there) if is_train else (there, here)
+    dealt = mix(key[at] + mix(a.astype(np.uint64) * np.uint64(1 << 32) + b.astype(np.uint64) + np.uint64(1)))
+    return np.concatenate([text[rest], text[at]]), np.concatenate([key[rest], dealt]), np.concatenate([place[rest], place[at]])
+
+
+def spans_of(x: Ordered, a: np.ndarray, y: Ordered, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(spans, words) of each pair: maximal runs of the training text's shingles that stand in the evaluation text, and the words they cover."""
     spans, words = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     size, start = np.bincount(x.text, minlength=len(x)), np.searchsorted(x.text, np.arange(len(x)))
@@ -170,26 +176,6 @@ def spans_of(x: Batch, a: np.ndarray, y: Batch, b: np.ndarray, k: int) -> tuple[
     return spans, words
 
 
-def overlaps(y: Batch, index: Index, x: Batch, k: int, t: float):
-    """(training id, evaluation id, spans, words) of the pairs with similarity t or more, members of equal texts one by one."""
-    a, b, place = candidates(index, x, t)
-    n1, n2 = x.sets.n[a], y.sets.n[b]
-    ok = n1 - place >= (n1 + n2) * (t / (1 + t)) - 1e-9
-    a, b = a[ok], b[ok]
-    ok = x.maps.near(a, y.maps, b, t)
-    a, b = a[ok], b[ok]
-    both = x.sets.common(a, y.sets, b)
-    ok = both >= t * (x.sets.n[a] + y.sets.n[b] - both)
-    a, b = a[ok], b[ok]
-    spans, words = spans_of(x, a, y, b, k)
-    m1, m2 = np.diff(x.ends)[a], np.diff(y.ends)[b]
-    for block in blocks_of(m1 * m2, HITS):
-        size = m1[block] * m2[block]
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        pair = np.repeat(block, size)
-        yield x.ids[x.ends[a[pair]] + at // m2[pair]], y.ids[y.ends[b[pair]] + at % m2[pair]], spans[pair], words[pair]
-
-
 def split_sides(splits: DataFrame) -> DataFrame:
     """(message_id, split_name, is_train), each message once."""
     name = F.lower(F.regexp_replace("split_name", r"(?U)^\s+|\s+$", ""))
@@ -197,57 +183,144 @@ def split_sides(splits: DataFrame) -> DataFrame:
     return s.groupBy("message_id").agg(F.min("split_name").alias("split_name")).withColumn("is_train", F.col("split_name") == "train")
 
 
-def group_labels(spark, n: int) -> list[int]:
-    """n numbers whose hashes fall into n different partitions."""
-    rows = spark.range(60 * n + 100).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
-    found = {r.p: r.id for r in rows}
-    return [found.get(i, i) for i in range(n)]
+def sides_table(sides: DataFrame) -> np.ndarray:
+    """Bits by hash of message_id: first those of evaluation messages, then those of training messages; its size is bounded, so other messages may share them."""
+    bits = min(SIDE_BITS, max(16, math.ceil(math.log2(16 * max(1, sides.count())))))
+
+    def mark(batches):
+        yield sparse_counts([hashed(b.column("message_id"), b.column("is_train").to_numpy(zero_copy_only=False).astype(np.uint64)) for b in batches], bits + 1)
+
+    return np.packbits(counts_table(sides.mapInArrow(mark, SPARSE), bits + 1) > 0)
+
+
+def hashed(ids: pa.Array | np.ndarray, side: np.ndarray | int) -> np.ndarray:
+    """Hash of each message_id, with the side as its top bit."""
+    ids = ids.to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) else ids
+    return mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(1) | np.uint64(side) << np.uint64(63)
+
+
+def bits_at(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes >> np.uint64(64 - (8 * len(table)).bit_length() + 1)
+    return table[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7))).astype(np.uint8) & 1
+
+
+def unseen(x: Texts, sides: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """Keep the first text of each fingerprint and side this task meets; sides: bit 0 evaluation, bit 1 training. Gives the sides of those kept."""
+    fresh = np.zeros(len(sides), np.uint8)
+    for i, (f, s) in enumerate(zip(x.fp.tolist(), sides.tolist())):
+        if new := s & ~seen.get(f, 0):
+            seen[f] = seen.get(f, 0) | new
+            fresh[i] = new
+    x.only(fresh > 0)
+    return fresh[fresh > 0]
 
 
-def near_overlaps(messages: DataFrame, splits: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 1) -> DataFrame:
+def near_overlaps(messages: DataFrame, splits: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 1, run: int = RUN) -> DataFrame:
     """(train_id, other_id, spans, words) of cross-split pairs with similarity threshold or more."""
-    spark = messages.sparkSession
-    min_words = max(min_words, shingle_words)  # shorter texts have no shingle, so no similarity
-    sides = split_sides(splits)
-    bodies = messages.select("message_id", "body").where("body is not null").join(sides.select("message_id", "is_train"), "message_id")
-    chars = messages.agg(F.avg(F.length("body"))).first()[0] or 0
-    held_out = sides.where("not is_train").count()
-    shards = max(1, math.ceil(chars * held_out / SHARD_CHARS))
-    tasks = max(spark.sparkContext.defaultParallelism, 2 * shards)
-    salts = max(1, tasks // shards)
-    labels = F.array(*[F.lit(x) for x in group_labels(spark, shards * salts)])
-    own = F.pmod(F.xxhash64("message_id"), F.lit(10**6)).cast("int")
-    groups = F.when(F.col("is_train"), F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s * salts + own % salts)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: (own % shards) * salts + s)
-    )
-    dealt = bodies.select("message_id", "body", "is_train", F.explode(groups).alias("group")).withColumn("group", F.element_at(labels, F.col("group") + 1))
-    dealt = dealt.repartition(shards * salts, "group").sortWithinPartitions("group", "is_train")
-
-    def run(batches):
-        group, shard, index, ids, texts = None, None, None, [], []
+    spark, k, t = messages.sparkSession, shingle_words, threshold
+    min_words = max(min_words, k)  # shorter texts have no shingle, so no similarity
+    sides = split_sides(splits).select("message_id", "is_train")
+    m = spread(messages.select("message_id", "body").where("message_id is not null and body is not null"))
+    texts = m.count()
+    bits, parts = min(COUNT_BITS, table_bits(texts)), parts_of(texts, spark.sparkContext.defaultParallelism)
+    where = spark.sparkContext.broadcast(sides_table(sides))
+
+    def read(batches):
+        """(texts of the batch on a side, those of them not met before, their sides)"""
+        seen: dict[int, int] = {}
+        for batch in slices(batches):
+            x = Texts(batch, min_words)
+            s = bits_at(where.value, hashed(x.id, 0)) | bits_at(where.value, hashed(x.id, 1)) << 1
+            x.only(s > 0)
+            if len(x.fp):
+                all_ids, all_fp = x.id, x.fp
+                s = unseen(x, s[s > 0], seen)
+                yield all_ids, all_fp, x, s
+
+    def count(batches):
+        found = []
+        for _, _, x, s in read(batches):
+            if len(x.fp):
+                st, sv = x.shingles(k)
+                found += [sv[(s[st] >> side & 1) > 0] >> np.uint64(1) | np.uint64(side) << np.uint64(63) for side in (0, 1)]
+        yield sparse_counts(found, bits + 1)
+
+    step = np.searchsorted(COUNTS[:-1], np.round(2.0 ** (np.arange(256) / SCALE) - 1)).astype(np.uint8)
+    both = step[counts_table(m.mapInArrow(count, SPARSE), bits + 1)]
+    table = spark.sparkContext.broadcast(both[: 1 << bits] | both[1 << bits :] << 4)  # 2**bits bytes
+    del both
+
+    def rows(batches):
+        for number, (ids, fps, x, s) in enumerate(read(batches)):
+            out = [((number + int(fps[0])) % parts, (fps & ~1).tobytes(), None, None, ids.astype(np.int64).tobytes(), None, None)]
+            if len(x.fp):
+                st, sv = x.shingles(k)
+                n = np.bincount(st, minlength=len(x.fp))
+                maps, code = Bitmaps.of(st, sv, n), table.value[sv >> np.uint64(64 - bits)]
+                level = np.where((code & 15 > 0) & (code >> 4 > 0), 2 * SCALE + (code & 15) + (code >> 4), 0)  # those of one side come first and are dropped
+                text, key, place, _ = prefixes(st, sv, n, level, t)
+                code = table.value[key >> np.uint64(64 - bits)]
+                blocks = [np.maximum(1, -(-COUNTS[c] // run)) for c in (code & 15, code >> 4)]
+                for side in (0, 1):
+                    own = (s[text] >> side & 1) > 0
+                    dealt = blocks_by_side(text[own], key[own], place[own], x.fp, blocks[side][own], blocks[1 - side][own], side)
+                    out += part_rows(x.fp & ~1 | side, n, maps, *dealt, parts)
+            yield parts_batch(out)
+
+    def pairs(a: np.ndarray, b: np.ndarray, is_pair: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), is_pair))], ["a", "b", "is_pair"])
+
+    def tiles(batches):
+        part = Part()
+        for ids, fp in part.ids_of(batches):
+            yield pairs(ids, fp, False)
+        if part.fps:
+            fp, maps, key, text, place = part.whole()
+            a, b = pairs_of_runs(key, text, place, maps, fp & 1 > 0, t)
+            for at in range(0, len(a), 100_000):
+                yield pairs(fp[a[at : at + 100_000]] & ~1, fp[b[at : at + 100_000]] & ~1, True)
+
+    met = cut(m.mapInArrow(rows, PARTS).repartitionById(parts, "part").mapInArrow(tiles, "a long, b long, is_pair boolean"))
+    candidates = cut(met.where("is_pair").select(F.col("a").alias("train_fp"), F.col("b").alias("other_fp")).distinct())
+    nodes = candidates.select(F.explode(F.array("train_fp", "other_fp")).alias("fp")).distinct()
+    members = cut(met.where("not is_pair").select(F.col("a").alias("message_id"), F.col("b").alias("fp")).join(nodes, "fp", "left_semi").distinct())
+    chosen = cut(members.groupBy("fp").agg(F.min("message_id").alias("low")))
+
+    def mark(batches):
+        yield sparse_counts([hashed(b.column("low"), 0) for b in batches], WANTED_BITS)
+
+    wanted = spark.sparkContext.broadcast(np.packbits(counts_table(chosen.select("low").mapInArrow(mark, SPARSE), WANTED_BITS) > 0))  # 2 MB
+
+    def ordered(batches):
         for batch in batches:
-            g, train = batch.column("group").to_numpy(), batch.column("is_train").to_numpy(zero_copy_only=False).astype(bool)
-            edges = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (train[1:] != train[:-1])) + 1).tolist(), len(g)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if g[a] != group:
-                    group, shard, index, ids, texts = g[a], None, None, [], []
-                part = batch.slice(a, b - a)
-                if not train[a]:
-                    ids += part.column("message_id").to_pylist()
-                    texts += part.column("body").to_pylist()
-                    continue
-                if shard is None:
-                    shard = Batch(np.array(ids, np.int64), texts, shingle_words, min_words)
-                    index = Index(shard.h, shard.bounds, shingle_words)
-                    ids, texts = [], []
-                x = Batch(part.column("message_id").to_numpy(), part.column("body").to_pylist(), shingle_words, min_words)
-                if len(shard) and len(x):
-                    for out in overlaps(shard, index, x, shingle_words, threshold):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in out], ["train_id", "other_id", "spans", "words"])
-
-    return dealt.mapInArrow(run, "train_id long, other_id long, spans long, words long")
+            ok = bits_at(wanted.value, hashed(batch.column("message_id"), 0)) > 0
+            x = Texts(batch.filter(pa.array(ok)), min_words)
+            if len(x.fp):
+                ok = inside_text(x.bounds, k)
+                size = np.bincount(text_of(x.bounds, len(ok))[ok], minlength=len(x.fp))
+                raw = Sets(size, grams(x.h, k)[ok] >> np.uint64(24)).pack()
+                yield pa.RecordBatch.from_arrays([pa.array(x.id, pa.int64()), pa.array(x.fp & ~1), pa.array(raw, pa.binary())], ["low", "fp", "shingles"])
+
+    def verify(batches):
+        for part in slices(batches, 2_000):
+            sides = []
+            for name in ("train", "other"):
+                fp, first, of = np.unique(part.column(f"{name}_fp").to_numpy(), return_index=True, return_inverse=True)
+                sides.append((Ordered(part.column(f"{name}_shingles").take(pa.array(first)).to_pylist()), of, fp))
+            (x, a, train_fp), (y, b, other_fp) = sides
+            shared = x.sets.common(a, y.sets, b)
+            ok = shared >= t * (x.sets.n[a] + y.sets.n[b] - shared)
+            a, b = a[ok], b[ok]
+            spans, words = spans_of(x, a, y, b, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (train_fp[a], other_fp[b], spans, words)], ["train_fp", "other_fp", "spans", "words"])
+
+    shingles = m.mapInArrow(ordered, "low long, fp long, shingles binary").join(chosen, ["low", "fp"]).select("fp", "shingles").dropDuplicates(["fp"])
+    side = lambda name: shingles.select(F.col("fp").alias(f"{name}_fp"), F.col("shingles").alias(f"{name}_shingles"))
+    similar = candidates.join(side("train"), "train_fp").join(side("other"), "other_fp").mapInArrow(verify, "train_fp long, other_fp long, spans long, words long")
+    ids = cut(members.join(sides, "message_id"))
+    train = ids.where("is_train").select(F.col("message_id").alias("train_id"), F.col("fp").alias("train_fp"))
+    other = ids.where("not is_train").select(F.col("message_id").alias("other_id"), F.col("fp").alias("other_fp"))
+    return similar.join(train, "train_fp").join(other, "other_fp").select("train_id", "other_id", "spans", "words")
 
 
 #: Tasks over which the training rows of one digest are dealt.
@@ -260,7 +333,7 @@ def same_overlaps(messages: DataFrame, splits: DataFrame) -> DataFrame:
     digest = F.unhex(F.md5(leaf(F.col("body")).cast("binary")))
     empty = F.unhex(F.md5(F.lit("").cast("binary")))
     d = messages.where("body is not null").select("message_id", digest.alias("digest")).where(F.col("digest") != empty)
-    d = d.join(split_sides(splits).select("message_id", "is_train"), "message_id")
+    d = cut(d.join(split_sides(splits).select("message_id", "is_train"), "message_id"))
     a = d.where("is_train").select(F.col("message_id").alias("train_id"), "digest", F.pmod(F.xxhash64("message_id"), F.lit(SALTS)).cast("int").alias("salt"))
     b = d.where("not is_train").select(F.col("message_id").alias("other_id"), "digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return a.join(b, ["digest", "salt"]).select("train_id", "other_id")
